@@ -1 +1,174 @@
+"""Queries: continuous jobs, run over the tables as staged files until everything is processed."""
 
+from pyspark.sql import functions as F
+
+from tapework import schemas as S
+from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
+from tapework.catalog.features import FULL_SQL, LAG_SQL, MEAN_SQL, NAMES, SERVED, STD_SQL
+from tapework.session import materialize, scratch
+from tapework.sources import topics
+from tapework.sources.fixtures import messages, ticks
+from tapework.streaming import candles as C
+
+NTZ = "timestamp_ntz"
+CHUNKS = 4
+
+
+def staged(spark, sf, rows=None, broken=False):
+    """Messages as topic records, written in order as a few groups of files."""
+    rows = messages(spark, sf) if rows is None else rows
+    value = F.to_json(F.struct(*topics.FIELDS))
+    if broken:
+        value = F.when(F.col("offset") % 10 == 0, F.lit("not json")).when(
+            F.col("offset") % 10 == 1, F.to_json(F.struct("timestamp", "close"))).otherwise(value)
+    records = materialize(rows.select(F.col("ticker").alias("key"), value.alias("value"), "topic", "partition", "offset"), "records")
+    last = records.agg(F.max("offset").alias("m")).select("m").scalar()
+    path = scratch(spark, "topic")
+    for k in range(CHUNKS):
+        part = records.where(F.floor(F.col("offset") * CHUNKS / (last + 1)) == k)
+        part.write.mode("append").parquet(path)
+    return C.from_files(spark, path, files_per_trigger=64)
+
+
+def paths(spark, *names):
+    return [scratch(spark, n) for n in (*names, "checkpoint")]
+
+
+@query("stream_decode", using("messages", """SELECT topic, partition, "offset", ticker, "timestamp", period, "interval", open, high,
+    low, close, volume FROM messages"""))
+def stream_decode(spark, sf):
+    out, chk = paths(spark, "landed")
+    C.land(staged(spark, sf), out, chk).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("stream_quarantine", using("messages", """SELECT 'good' AS sink, count(*) AS rows, sum("offset")::BIGINT AS offsets FROM messages
+    WHERE "offset" % 10 > 1 UNION ALL SELECT 'bad', count(*), sum("offset")::BIGINT FROM messages WHERE "offset" % 10 <= 1"""))
+def stream_quarantine(spark, sf):
+    good, bad, chk = paths(spark, "good", "bad")
+    C.quarantine(staged(spark, sf, broken=True), good, bad, chk).awaitTermination()
+    count = lambda p, n: spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows"), F.sum("offset").alias("offsets")).select(
+        F.lit(n).alias("sink"), "rows", "offsets")
+    return count(good, "good").unionByName(count(bad, "bad"))
+
+
+@query("stream_suppress", using("messages", """SELECT ticker, "timestamp", close, "offset" * 2 AS "offset" FROM messages"""))
+def stream_suppress(spark, sf):
+    one = messages(spark, sf).withColumn("offset", F.col("offset") * 2)
+    pairs = one.unionByName(one.withColumn("offset", F.col("offset") + 1))
+    out, chk = paths(spark, "changed")
+    decoded = topics.decode(staged(spark, sf, pairs))
+    C.to_table(C.suppressed(decoded), out, chk).awaitTermination()
+    return spark.read.parquet(out)
+
+
+LATEST = """SELECT ticker, period, "interval", "offset", "timestamp", close FROM messages
+    QUALIFY row_number() OVER (PARTITION BY ticker, period, "interval" ORDER BY "offset" DESC) = 1"""
+
+
+def latest_table(spark, sf):
+    out, chk = paths(spark, "latest")
+    return out, C.keep_latest(topics.decode(staged(spark, sf)), out, chk)
+
+
+@query("stream_latest", using("messages", LATEST))
+def stream_latest(spark, sf):
+    out, q = latest_table(spark, sf)
+    q.awaitTermination()
+    return C.read_latest(spark, out).select("ticker", "period", "interval", "offset", "timestamp", "close")
+
+
+@query("stream_ttl_latest", using("messages", """SELECT ticker, period, "interval", close, ttl FROM (SELECT *, row_number() OVER (
+    PARTITION BY ticker, period, "interval" ORDER BY "offset" DESC) AS k FROM messages) CROSS JOIN (VALUES (60), (300), (3600)) t(ttl)
+    WHERE k = 1 AND (SELECT max(event_ts) FROM messages) - event_ts < to_seconds(ttl)"""))
+def stream_ttl_latest(spark, sf):
+    out, q = latest_table(spark, sf)
+    q.awaitTermination()
+    now = F.lit(ticks(spark, sf).agg(F.max("ts")).first()[0])
+    parts = [C.read_fresh(spark, out, now, s).select("ticker", "period", "interval", "close", F.lit(s).alias("ttl"))
+             for s in (C.LATEST_TTL, C.CACHE_TTL, 3600)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def candle_sql(width, keys, views="messages"):
+    k = ", ".join(keys)
+    return f"""SELECT {k}, bucket, arg_min(close, "offset") AS open, max(high) AS high, min(low) AS low, arg_max(close, "offset") AS close,
+        count(*) AS volume FROM (SELECT *, CAST(date_trunc('{width}', event_ts) AS TIMESTAMP) AS bucket FROM m)
+        WHERE bucket + INTERVAL 1 {width} <= (SELECT max(event_ts) FROM messages) - INTERVAL 1 HOUR GROUP BY {k}, bucket"""
+
+
+@query("stream_ohlc", using("messages", candle_sql("day", ["ticker"]), m="SELECT * FROM messages"))
+def stream_ohlc(spark, sf):
+    out, chk = paths(spark, "candles")
+    C.to_table(C.candles(C.with_event_time(topics.decode(staged(spark, sf))), "1 day"), out, chk).awaitTermination()
+    return spark.read.parquet(out).withColumn("bucket", F.col("bucket").cast(NTZ))
+
+
+@query("stream_tick_merge", using("messages", candle_sql("hour", ["ticker", '"interval"']),
+       m="""SELECT * REPLACE (CASE WHEN "interval" = 'tick' THEN '1m' ELSE "interval" END AS "interval") FROM messages"""))
+def stream_tick_merge(spark, sf):
+    out, chk = paths(spark, "merged")
+    folded = C.fold_ticks(C.with_event_time(topics.decode(staged(spark, sf))), "1m")
+    C.to_table(C.candles(folded, "1 hour", keys=("ticker", "interval")), out, chk).awaitTermination()
+    return spark.read.parquet(out).withColumn("bucket", F.col("bucket").cast(NTZ))
+
+
+@query("stream_publish", using("messages", """SELECT 'price_update' AS type, ticker, '1d_' || "interval" AS partition, "offset", close
+    FROM messages"""))
+def stream_publish(spark, sf):
+    out, chk = paths(spark, "updates")
+    C.publish(topics.decode(staged(spark, sf)), out, chk).awaitTermination()
+    return spark.read.parquet(out).select("type", "ticker", "partition", "offset",
+                                          F.get_json_object("data", "$.close").cast("double").alias("close"))
+
+
+@query("stream_dual_sink", using("messages", """SELECT 'table' AS sink, ticker, count(*) AS rows FROM messages GROUP BY 2
+    UNION ALL SELECT 'topic', ticker, 2 * count(*) FROM messages GROUP BY 2"""))
+def stream_dual_sink(spark, sf):
+    """Every message arrives twice: the table keeps one row per key, the topic gets both."""
+    one = messages(spark, sf).withColumn("offset", F.col("offset") * 2)
+    pairs = one.unionByName(one.withColumn("offset", F.col("offset") + 1))
+    table, updates, chk = paths(spark, "daily", "topic_out")
+    C.dual_sink(C.with_event_time(topics.decode(staged(spark, sf, pairs))), table, updates, chk, mode=None).awaitTermination()
+    stored = spark.read.parquet(table).groupBy("ticker").agg(F.count(F.lit(1)).alias("rows")).withColumn("sink", F.lit("table"))
+    sent = spark.read.parquet(updates).groupBy(F.col("key").alias("ticker")).agg(
+        F.count(F.lit(1)).alias("rows")).withColumn("sink", F.lit("topic"))
+    return stored.unionByName(sent)
+
+
+@query("stream_status")
+def stream_status(spark, sf):
+    out, q = latest_table(spark, sf)
+    q.awaitTermination()
+    return C.status(q, spark, "instant", messages(spark, sf), C.read_latest(spark, out))
+
+
+@query("stream_latency")
+def stream_latency(spark, sf):
+    out, chk = paths(spark, "timed")
+    q = C.to_table(C.measured(C.with_event_time(topics.decode(staged(spark, sf)))), out, chk)
+    q.awaitTermination()
+    return C.latency_rows(q, spark)
+
+
+# The newest 450 candle messages per ticker, one row per time, then the serving features' last row.
+ONLINE = {
+    "recent": """SELECT ticker, event_ts AS date, open, high, low, close, volume FROM messages WHERE "interval" <> 'tick'
+        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "offset" DESC) <= 450""",
+    "rlog": "SELECT *, " + ", ".join(f"ln(nullif({p}, 0)) AS {p}_log" for p in PRICES) + " FROM recent",
+    "ret": "SELECT *, " + ", ".join(
+        f"coalesce({p}_log - lag({p}_log) OVER (PARTITION BY ticker ORDER BY date), 0.0) AS {p}_log_return" for p in PRICES) + " FROM rlog",
+    "raw_frame": f"SELECT *, {LAG_SQL}, {MEAN_SQL}, {STD_SQL} FROM ret",
+    "filled": "SELECT ticker, date AS ts, " + ", ".join(
+        f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 0.0) AS {c}"
+        for c in SERVED) + " FROM raw_frame",
+}
+
+
+@query("online_features", using("messages", f"""SELECT ticker, ts, {rsql(NAMES)} FROM filled
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1""", **ONLINE))
+def online_features(spark, sf):
+    out, chk = paths(spark, "landed")
+    C.land(staged(spark, sf), out, chk).awaitTermination()
+    rows = C.online_features(spark.read.parquet(out), NAMES)
+    return rounded(rows, NAMES).withColumn("ts", F.col("ts").cast(NTZ))
