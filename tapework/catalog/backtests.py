@@ -15,13 +15,17 @@ from tapework.sources.fixtures import bars
 KEYS = ["ticker", "fold"]
 
 
+def xy(spark, sf):
+    return materialize(model.lag_frame(bars(spark, sf)), "lags")
+
+
 def preds(spark, sf):
     return forecast.predictions(bars(spark, sf))
 
 
 @query("ols1_forecast", using("preds", f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM preds"))
 def ols1_forecast(spark, sf):
-    out = model.ols1_forecast(bars(spark, sf)).select(*KEYS, "date", "pred", "actual")
+    out = model.ols1_forecast(xy(spark, sf)).select(*KEYS, "date", "pred", "actual")
     return rounded(out, ["pred", "actual"])
 
 

@@ -6,6 +6,7 @@ from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import clean, resample, series as R
 from tapework.operators.features import plain
+from tapework.schemas import MAX_POINTS
 from tapework.session import materialize
 from tapework.sources.fixtures import bars, messages, ticks
 
@@ -146,7 +147,7 @@ def ohlc_resample(spark, sf):
 def retention_trim(spark, sf):
     rows = ticks(spark, sf).select("ticker", "ts", "seq", "price")
     cap = X.max_points(F.lit("1d"), F.lit("5m"))
-    return R.tail(rows, ["ticker"], ["ts", "seq"], cap).withColumn("ts", F.col("ts").cast(NTZ))
+    return R.tail(rows, ["ticker"], ["ts", "seq"], cap, most=MAX_POINTS).withColumn("ts", F.col("ts").cast(NTZ))
 
 
 @query("retention_caps", using("messages", """SELECT period, "interval", CASE WHEN "interval" = 'tick' THEN 2000

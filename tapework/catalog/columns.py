@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapework import schemas as S
+from tapework.catalog.backtests import xy
 from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import columns as C
@@ -148,7 +149,7 @@ def drop_volume(spark, sf):
 @query("direction_label", using("preds", f"""SELECT ticker, fold, date, {r('pred')} AS predicted_log_return,
     CASE WHEN pred > 0.0001 THEN 'UP' WHEN pred < -0.0001 THEN 'DOWN' ELSE 'SIDEWAYS' END AS direction FROM preds"""))
 def direction_label(spark, sf):
-    out = model.ols1_forecast(bars(spark, sf))
+    out = model.ols1_forecast(xy(spark, sf))
     return out.select("ticker", "fold", "date", rnd("pred").alias("predicted_log_return"),
                       X.direction_label(F.col("pred")).alias("direction"))
 
@@ -158,7 +159,7 @@ def direction_label(spark, sf):
     {r('CASE WHEN pred > 0.0001 THEN 100 - c ELSE c END', 2)} AS short_share
     FROM (SELECT *, greatest(10.0, least(95.0, abs(pred) * 10000)) AS c FROM preds)"""))
 def confidence_split(spark, sf):
-    out = model.ols1_forecast(bars(spark, sf)).withColumn("c", X.confidence(F.col("pred")))
+    out = model.ols1_forecast(xy(spark, sf)).withColumn("c", X.confidence(F.col("pred")))
     up = X.direction_label(F.col("pred")) == "UP"
     return out.select("ticker", "fold", "date", rnd("c", 2).alias("confidence"),
                       rnd(F.when(up, F.col("c")).otherwise(100 - F.col("c")), 2).alias("long_share"),
@@ -173,7 +174,7 @@ def confidence_split(spark, sf):
     WHEN '4-NOT SPECIFIED' THEN 'signup' ELSE 'view' END AS ticker, arg_max(pred, date) AS predicted_log_return FROM preds GROUP BY 1"""))
 def forecast_point(spark, sf):
     same = {"1-URGENT": "click", "2-HIGH": "error", "3-MEDIUM": "purchase", "4-NOT SPECIFIED": "signup", "5-LOW": "view"}
-    last = model.ols1_forecast(bars(spark, sf)).groupBy("ticker").agg(F.max_by("pred", "date").alias("predicted_log_return"))
+    last = model.ols1_forecast(xy(spark, sf)).groupBy("ticker").agg(F.max_by("pred", "date").alias("predicted_log_return"))
     predictions = last.select(X.lookup(F.col("ticker"), same).alias("ticker"), "predicted_log_return")
     return rounded(joins.forecast_point(ticks(spark, sf), predictions), ["predicted_price"])
 

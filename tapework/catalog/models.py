@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapework import schemas as S
-from tapework.catalog.backtests import FOLD_COLUMNS, LOSS, MAPE, R2, preds
+from tapework.catalog.backtests import FOLD_COLUMNS, LOSS, MAPE, R2, preds, xy
 from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import backtest, clean, features, joins, model, ranking, splits
@@ -38,7 +38,7 @@ def standardize(spark, sf):
     parts="SELECT xy.*, fold, n - (4 - fold) * (n // 5) AS test_start, n // 5 AS size FROM xy CROSS JOIN folds",
     t="SELECT ticker, fold, avg(y) AS m, coalesce(nullif(stddev_pop(y), 0), 1.0) AS d FROM parts WHERE pos < test_start GROUP BY 1, 2"))
 def target_scale(spark, sf):
-    frame = materialize(model.lag_frame(bars(spark, sf)), "xy")
+    frame = xy(spark, sf)
     scaled = model.standardize(frame, ["y"])
     stats = model.train_stats(splits.with_segments(frame), ["y"])
     return rounded(model.invert_scale(scaled, stats, "y"), ["y", "y_original"])
@@ -52,7 +52,7 @@ WALK = """SELECT p.ticker, p.fold, p.date, l.slope * p.x + l.intercept AS pred,
 
 @query("walk_forward_forecast", using("xy", f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM w", w=WALK))
 def walk_forward_forecast(spark, sf):
-    out = model.walk_forward_forecast(bars(spark, sf)).select(*KEYS, "date", "pred", "actual")
+    out = model.walk_forward_forecast(xy(spark, sf)).select(*KEYS, "date", "pred", "actual")
     return rounded(out, ["pred", "actual"])
 
 
@@ -104,7 +104,7 @@ def config_fallback(spark, sf):
 
 def line_models(spark, sf):
     """A one-feature model row per ticker, as the registry would hold it: the last fold's line."""
-    rows = splits.with_segments(model.lag_frame(bars(spark, sf)))
+    rows = splits.with_segments(xy(spark, sf))
     train = rows.where("segment < 4").groupBy("ticker").agg(
         F.array(F.avg("x")).alias("mean"), F.array(F.stddev_pop("x")).alias("scale"),
         F.array(F.regr_slope("y", "x") * F.stddev_pop("x")).alias("weights"), F.avg("y").alias("intercept"))
@@ -117,7 +117,7 @@ SCORED = """SELECT x.ticker, date, l.slope * x + l.intercept AS pred FROM xy x J
 
 @query("score_join", using("xy", f"SELECT ticker, date, {r('pred')} AS pred FROM s", s=SCORED))
 def score_join(spark, sf):
-    rows = model.lag_frame(bars(spark, sf)).select("ticker", "date", "x")
+    rows = xy(spark, sf).select("ticker", "date", "x")
     return rounded(joins.score_join(rows, line_models(spark, sf), ["x"]).select("ticker", "date", "pred"), ["pred"])
 
 
@@ -125,7 +125,7 @@ def score_join(spark, sf):
     WHEN pred < -0.0001 THEN 'DOWN' ELSE 'SIDEWAYS' END AS direction FROM s QUALIFY date = max(date) OVER (PARTITION BY ticker)""", s=SCORED))
 def batch_score(spark, sf):
     """Latest row of every ticker, scored and labelled."""
-    last = clean.latest(model.lag_frame(bars(spark, sf)).select("ticker", "date", "x"), ["ticker"], "date")
+    last = clean.latest(xy(spark, sf).select("ticker", "date", "x"), ["ticker"], "date")
     out = joins.score_join(last, line_models(spark, sf), ["x"])
     return out.select("ticker", "date", rnd("pred").alias("predicted_log_return"),
                       X.direction_label(F.col("pred")).alias("direction"))

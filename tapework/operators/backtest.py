@@ -44,7 +44,7 @@ def net_returns(preds: DataFrame, convention: str = "flat", rate: float = S.COST
         rows = rows.withColumn("previous", F.lag("position", 1, 0.0).over(w))
         rows = rows.withColumn("cost", cost(convention, rate))
         return rows.withColumn("net", F.col("position") * F.col("actual") - F.col("cost"))
-    return R.tiled(numbered(preds), KEYS, build, lookback=1, keep_block=keep_block)
+    return R.tiled(numbered(preds), KEYS, build, lookback=1, block_rows=R.RUN_ROWS, keep_block=keep_block)
 
 
 def cumulative(preds: DataFrame, convention: str = "flat", rate: float = S.COST) -> DataFrame:

@@ -19,6 +19,7 @@ from tapework.functions import metrics as M
 from tapework.operators import features, joins, splits
 from tapework.operators import series as R
 from tapework.operators.stats import gram, square
+from tapework.session import materialize
 
 KEYS = ["ticker", "fold"]
 
@@ -50,9 +51,9 @@ def _line(n="n", sx="sx", sy="sy", sxx="sxx", sxy="sxy") -> tuple[Column, Column
     return slope, (sy - slope * sx) / n
 
 
-def ols1_forecast(bars: DataFrame, n_splits: int = S.N_SPLITS) -> DataFrame:
-    """Least-squares line on the lagged return, per expanding fold, applied to its test rows."""
-    rows = splits.with_segments(lag_frame(bars), n_splits=n_splits)
+def ols1_forecast(frame: DataFrame, n_splits: int = S.N_SPLITS) -> DataFrame:
+    """Least-squares line of ``y`` on ``x``, per expanding fold, applied to its test rows."""
+    rows = splits.with_segments(frame, n_splits=n_splits)
     earlier = Window.partitionBy("ticker").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     sums = _pair_sums(rows, ["ticker", "segment"]).select(
         "ticker", "segment", *[F.sum(c).over(earlier).alias(c) for c in _SUMS])
@@ -64,9 +65,9 @@ def ols1_forecast(bars: DataFrame, n_splits: int = S.N_SPLITS) -> DataFrame:
                     F.col("y").alias("actual"), R.POS, R.ROWS))
 
 
-def walk_forward_forecast(bars: DataFrame, start: int = S.LOOKBACK, step: int = S.WALK_STEP) -> DataFrame:
+def walk_forward_forecast(frame: DataFrame, start: int = S.LOOKBACK, step: int = S.WALK_STEP) -> DataFrame:
     """Line refitted before every step on all earlier rows, from running sums over the steps."""
-    rows = R.with_position(lag_frame(bars), ["ticker"], ["date"])
+    rows = R.with_position(frame, ["ticker"], ["date"])
     # Piece 0 holds the first training rows, piece k the rows of step k.
     pieces = rows.withColumn("piece", F.greatest(F.expr(f"({R.POS} - {start}) div {step} + 1"), F.lit(0)))
     pieces = pieces.withColumn("piece", F.when(F.col(R.POS) < start, F.lit(0)).otherwise(F.col("piece")))
@@ -198,13 +199,15 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
     """Boosted trees per (ticker, fold), each fitted by a distributed job; a few run at once.
 
     The last part of the training rows decides when to stop (the reference watches the training
-    rows themselves). The list of (ticker, fold) pairs is the only thing read by the driver.
+    rows themselves). Rows are stored by ticker, so a fit reads its own folder only. The list of
+    (ticker, fold) pairs is the only thing read by the driver.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=list(names), outputCol="x").transform(
-        splits.with_segments(frame, n_splits=n_splits)).select("ticker", "date", "segment", "x", target, R.POS, R.ROWS)
+    stored = materialize(splits.with_segments(frame, n_splits=n_splits), "gbt", partition_by=["ticker"])
+    rows = VectorAssembler(inputCols=list(names), outputCol="x").transform(stored).select(
+        "ticker", "date", "segment", "x", target, R.POS, R.ROWS)
     pairs = [(r.ticker, r.segment) for r in rows.select("ticker", "segment").distinct().where("segment > 0").collect()]
 
     def fit(pair):

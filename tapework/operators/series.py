@@ -25,11 +25,17 @@ ROWS = "_rows"
 BLOCK = "_block"
 SLOT = "_slot"
 
+# Rows per block. Windows copy edge rows between blocks, so their blocks hold at least EDGE_SHARE
+# times the edge; running columns copy nothing and use long blocks, which keeps the table of block
+# totals (rows / RUN_ROWS per key) small enough to be summed along in one task.
 BLOCK_ROWS = 1024
+EDGE_SHARE = 16
+RUN_ROWS = 65536
 SLOT_DAYS = 512
 SLOT_SECONDS = 600
 SLOT_INTEGERS = 65536
-VALUE_BINS = 4096
+VALUE_BINS = 1024
+SALTS = 32
 
 
 def time_slot(df: DataFrame, column: str, width: int | None = None) -> Column:
@@ -69,7 +75,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def tiled(df: DataFrame, keys: Sequence[str], build: Callable[[DataFrame, WindowSpec], DataFrame],
-          lookback: int = 0, lookahead: int = 0, block_rows: int = BLOCK_ROWS,
+          lookback: int = 0, lookahead: int = 0, block_rows: int | None = None,
           keep_block: bool = False) -> DataFrame:
     """Evaluate ``build(rows, window)`` per block of positions, with copied edge rows.
 
@@ -77,7 +83,9 @@ def tiled(df: DataFrame, keys: Sequence[str], build: Callable[[DataFrame, Window
     after a row its result may depend on; they also bound the number of copied rows per block.
     ``keep_block`` leaves the block column, so a following ``running`` needs no second shuffle.
     """
-    block_rows = max(block_rows, lookback, lookahead)
+    block_rows = block_rows or max(BLOCK_ROWS, EDGE_SHARE * max(lookback, lookahead))
+    if block_rows < max(lookback, lookahead):
+        raise ValueError("a block must hold at least as many rows as its neighbours need")
     home = F.expr(f"{POS} div {block_rows}")
     inside = F.pmod(F.col(POS), F.lit(block_rows))
     copies = [home]
@@ -99,13 +107,13 @@ _EARLIER = (Window.unboundedPreceding, -1)
 
 
 def running(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, Column]],
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int | None = None) -> DataFrame:
     """Cumulative columns over positions: ``{name: (kind, value)}``.
 
     Kinds: ``sum``, ``max``, ``last`` (latest non-null so far), ``next`` (next non-null).
     The carry window runs over one row per block, not over the rows.
     """
-    keys = list(keys)
+    keys, block_rows = list(keys), block_rows or RUN_ROWS
     blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, F.expr(f"{POS} div {block_rows}"))
     totals, carries = [], []
     local = Window.partitionBy(*keys, BLOCK).orderBy(POS)
@@ -145,54 +153,67 @@ def running(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, Co
     )
 
 
-def tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column | int,
+def tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column | int, most: int | None = None,
          slot_width: int | None = None) -> DataFrame:
-    """Last ``limit`` rows of each series.
+    """Last ``limit`` rows of each series; ``most`` bounds a limit that is a column.
 
-    Slots that lie wholly before the tail are discarded from their counts alone, so only the
-    surviving slots (at most ``limit`` rows and one slot more per key) are numbered.
+    Slots that lie wholly before the tail are discarded from their counts alone. What is left is
+    ranked in salted parts first, so even a slot with very many rows reaches the final ranking as
+    at most ``SALTS * most`` rows.
     """
     keys = list(keys)
+    most = limit if isinstance(limit, int) else most
+    if most is None:
+        raise ValueError("a limit column needs an upper bound")
     limit = F.lit(limit) if isinstance(limit, int) else limit
     slotted = df.withColumn(SLOT, time_slot(df, order[0], slot_width)).withColumn("_limit", limit)
     after = Window.partitionBy(*keys).orderBy(F.col(SLOT).desc()).rowsBetween(*_EARLIER)
     needed = (
-        slotted.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_c"), F.max("_limit").alias("_cap"))
+        slotted.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_after", F.coalesce(F.sum("_c").over(after), F.lit(0)))
-        .where(F.col("_after") < F.col("_cap")).select(*keys, SLOT, "_after")
+        .where(F.col("_after") < most).select(*keys, SLOT, "_after")
     )
-    inside = Window.partitionBy(*keys, SLOT).orderBy(*[F.col(c).desc() for c in order])
+    newest = [F.col(c).desc() for c in order]
+    parts = Window.partitionBy(*keys, SLOT, "_salt").orderBy(*newest)
+    inside = Window.partitionBy(*keys, SLOT).orderBy(*newest)
     return (
         slotted.join(needed, [*keys, SLOT])
-        .withColumn("_rank", F.row_number().over(inside) + F.col("_after"))
-        .where(F.col("_rank") <= F.col("_limit"))
-        .drop(SLOT, "_limit", "_after", "_rank")
+        .withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        .withColumn("_rank", F.row_number().over(parts)).where(F.col("_rank") <= most)
+        .withColumn("_rank", F.row_number().over(inside) + F.col("_after")).where(F.col("_rank") <= F.col("_limit"))
+        .drop(SLOT, "_limit", "_after", "_rank", "_salt")
     )
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], column: str, bins: int = VALUE_BINS) -> DataFrame:
+def _bin(value: str, low: str, high: str, bins: int) -> Column:
+    width = F.nullif(F.col(high) - F.col(low), F.lit(0.0))
+    return F.coalesce(F.floor((F.col(value) - F.col(low)) / width * bins), F.lit(0)).cast("bigint")
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], column: str, bins: int | None = None) -> DataFrame:
     """One row per (key, distinct value): its count and the number of smaller values.
 
-    Equal values are merged before the shuffle, values are spread over equal-width bins, and
-    the running count inside a bin is lifted by the totals of the lower bins.
+    Equal values are merged before the shuffle. Values are spread over equal-width bins of the
+    key's range and then over equal-width parts of each bin's own range, so a few far-out values
+    do not push all others into one task. The running count inside a part is lifted by the totals
+    of the lower parts. Bins depend on minima and maxima only, which do not change between runs.
     """
-    keys = list(keys)
-    present = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
-    counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    span = present.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    binned = counted.join(span, keys).select(
-        *keys, "_v", "_n",
-        F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(0)).cast("bigint").alias("_bin"),
-    )
-    along = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*_EARLIER)
+    keys, bins = list(keys), bins or VALUE_BINS
+    counted = (df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    coarse = counted.join(span, keys).select(*keys, "_v", "_n", _bin("_v", "_lo", "_hi", bins).alias("_bin"))
+    inner = coarse.groupBy(*keys, "_bin").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    binned = coarse.join(inner, [*keys, "_bin"]).select(
+        *keys, "_v", "_n", "_bin", _bin("_v", "_lo", "_hi", bins).alias("_part"))
+    along = Window.partitionBy(*keys).orderBy("_bin", "_part").rowsBetween(*_EARLIER)
     lower = (
-        binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_t"))
-        .select(*keys, "_bin", F.coalesce(F.sum("_t").over(along), F.lit(0)).alias("_below"),
+        binned.groupBy(*keys, "_bin", "_part").agg(F.sum("_n").alias("_t"))
+        .select(*keys, "_bin", "_part", F.coalesce(F.sum("_t").over(along), F.lit(0)).alias("_below"),
                 F.sum("_t").over(Window.partitionBy(*keys)).alias("total"))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*_EARLIER)
-    return binned.join(lower, [*keys, "_bin"]).select(
+    inside = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v").rowsBetween(*_EARLIER)
+    return binned.join(lower, [*keys, "_bin", "_part"]).select(
         *keys, F.col("_v").alias(column), F.col("_n").alias("count"),
         (F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("smaller"), "total",
     )

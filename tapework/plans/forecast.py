@@ -9,8 +9,10 @@ from tapework.session import materialize
 
 
 def predictions(bars: DataFrame, walk_forward: bool = False) -> DataFrame:
-    """Out-of-sample predictions, written once because the reports read them several times."""
-    made = model.walk_forward_forecast(bars) if walk_forward else model.ols1_forecast(bars)
+    """Out-of-sample predictions. The lagged frame and the predictions are each written once,
+    because the steps after them read them several times."""
+    frame = materialize(model.lag_frame(bars), "lags")
+    made = model.walk_forward_forecast(frame) if walk_forward else model.ols1_forecast(frame)
     return materialize(made, "preds")
 
 

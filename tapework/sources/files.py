@@ -20,17 +20,17 @@ def path_ticker(path: Column) -> Column:
     return F.try_url_decode(plus(F.try_url_decode(plus(found))))
 
 
-def land_raw(bars: DataFrame, prefix: str, ingest_date: str, files_per_ticker: int = 1) -> str:
+def land_raw(bars: DataFrame, prefix: str, ingest_date: str) -> str:
     """Write raw CSV under ``{prefix}/raw/ticker=.../ingest_date=...``; a rerun replaces its own day.
 
-    Rows are spread by ticker and year, so a long history is written by many tasks.
+    Files are sized at run time: small tickers share a task, a large one is split over several.
     """
     names = {"date": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close",
              "adj_close": "Adj Close", "volume": "Volume"}
     out = C.conform(bars).select("ticker", F.lit(ingest_date).alias("ingest_date"),
                                  *[F.col(k).alias(v) for k, v in names.items()])
     target = f"{prefix}/raw"
-    (out.repartition("ticker", F.year("Date")).write.mode("overwrite").partitionBy("ticker", "ingest_date")
+    (out.hint("rebalance", "ticker").write.mode("overwrite").partitionBy("ticker", "ingest_date")
      .option("partitionOverwriteMode", "dynamic").option("header", True).csv(target))
     return target
 
@@ -49,8 +49,10 @@ def write_bars(bars: DataFrame, path: str) -> None:
     """Bars by ticker and year, sorted by date inside a file; a rerun replaces the years it holds.
 
     One folder per ticker and day would leave a file per row, so days are a sort order here.
+    Rebalancing splits a large ticker-year over several files instead of one task.
     """
-    (bars.withColumn("year", F.year("date")).repartition("ticker", "year").sortWithinPartitions("ticker", "year", "date")
+    (bars.withColumn("year", F.year("date")).hint("rebalance", "ticker", "year")
+     .sortWithinPartitions("ticker", "year", "date")
      .write.mode("overwrite").partitionBy("ticker", "year")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
