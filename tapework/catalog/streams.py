@@ -52,7 +52,15 @@ def stream_quarantine(spark, sf):
     return count(good, "good").unionByName(count(bad, "bad"))
 
 
-@query("stream_suppress", using("messages", """SELECT ticker, "timestamp", close, "offset" * 2 AS "offset" FROM messages"""))
+# Every message is delivered twice in a row; quotes are compared with the latest candle's close.
+@query("stream_suppress", using("messages", """SELECT ticker, "timestamp", "interval", close, "offset" FROM (SELECT *,
+    last_value(CASE WHEN "interval" <> 'tick' THEN "timestamp" END IGNORE NULLS) OVER w AS old_time,
+    last_value(CASE WHEN "interval" <> 'tick' THEN close END IGNORE NULLS) OVER w AS old_close FROM pairs
+    WINDOW w AS (PARTITION BY ticker ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE NOT coalesce(CASE WHEN "interval" = 'tick' THEN close = old_close
+        ELSE "timestamp" = old_time AND abs(close - old_close) < 1e-12 END, false)""",
+    pairs="""SELECT ticker, "timestamp", "interval", close, "offset" * 2 AS "offset" FROM messages UNION ALL
+    SELECT ticker, "timestamp", "interval", close, "offset" * 2 + 1 FROM messages"""))
 def stream_suppress(spark, sf):
     one = messages(spark, sf).withColumn("offset", F.col("offset") * 2)
     pairs = one.unionByName(one.withColumn("offset", F.col("offset") + 1))

@@ -206,8 +206,8 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
     from pyspark.ml.regression import GBTRegressor
 
     stored = materialize(splits.with_segments(frame, n_splits=n_splits), "gbt", partition_by=["ticker"])
-    rows = VectorAssembler(inputCols=list(names), outputCol="x").transform(stored).select(
-        "ticker", "date", "segment", "x", target, R.POS, R.ROWS)
+    rows = VectorAssembler(inputCols=list(names), outputCol="_features").transform(stored).select(
+        "ticker", "date", "segment", "_features", target, R.POS, R.ROWS)
     pairs = [(r.ticker, r.segment) for r in rows.select("ticker", "segment").distinct().where("segment > 0").collect()]
 
     def fit(pair):
@@ -216,7 +216,7 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
         end = F.col(R.ROWS) - (n_splits - seg + 1) * size
         train = (rows.where((F.col("ticker") == ticker) & (F.col("segment") < seg))
                  .withColumn("late", F.col(R.POS) >= end * (1 - holdout)))
-        model = GBTRegressor(featuresCol="x", labelCol=target, predictionCol="pred", maxDepth=5, maxIter=rounds,
+        model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred", maxDepth=5, maxIter=rounds,
                              stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42,
                              validationIndicatorCol="late").fit(train)
         test = rows.where((F.col("ticker") == ticker) & (F.col("segment") == seg))

@@ -36,6 +36,14 @@ METRICS = T.StructType([
     for n in ("mae", "rmse", "ic", "dir_acc", "sharpe", "max_dd", "hit_rate")
 ])
 
+# A linear model over standardised features; the arrays follow the order of ``features``.
+PARAMETERS = T.StructType([
+    T.StructField("mean", T.ArrayType(T.DoubleType())),
+    T.StructField("scale", T.ArrayType(T.DoubleType())),
+    T.StructField("weights", T.ArrayType(T.DoubleType())),
+    T.StructField("intercept", T.DoubleType()),
+])
+
 REGISTRY = T.StructType([
     T.StructField("ticker", T.StringType()),
     T.StructField("fold", T.LongType()),
@@ -48,6 +56,7 @@ REGISTRY = T.StructType([
     T.StructField("performance_status", T.StringType()),
     T.StructField("prediction_target", T.StringType()),
     T.StructField("scaler", T.StringType()),
+    T.StructField("parameters", PARAMETERS),
 ])
 
 # Lags and window lengths of the training features.

@@ -36,13 +36,15 @@ def land_raw(bars: DataFrame, prefix: str, ingest_date: str) -> str:
 
 
 def read_raw(spark: SparkSession, path: str, default_ticker: str | None = None,
-             schema: T.StructType = S.RAW_CSV) -> DataFrame:
-    """Raw CSV tree to canonical bars."""
+             schema: T.StructType = S.RAW_CSV, with_source: bool = False) -> DataFrame:
+    """Raw CSV tree to canonical bars, optionally with each row's file."""
     raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
            .option("recursiveFileLookup", True).csv(path))
     named = C.normalize_columns(raw.select("*", F.col("_metadata.file_path").alias("source_file")))
     tagged = named.withColumn("ticker", C.default_ticker(path_ticker(F.col("source_file")), default_ticker))
-    return C.canonical(C.with_date(tagged.drop("source_file")))
+    dated = C.with_date(tagged)
+    bars = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in S.BAR if f.name in dated.columns]
+    return dated.select(*bars, "source_file") if with_source else C.canonical(dated)
 
 
 def write_bars(bars: DataFrame, path: str) -> None:

@@ -11,8 +11,14 @@ from tapework import schemas as S
 from tapework.functions import scalar as X
 
 
-def records(best: DataFrame, features: Sequence[str], lookback: int = S.LOOKBACK, horizon: int = S.HORIZON) -> DataFrame:
-    """Registry rows of the best fold per ticker."""
+def records(best: DataFrame, features: Sequence[str], models: DataFrame | None = None,
+            lookback: int = S.LOOKBACK, horizon: int = S.HORIZON) -> DataFrame:
+    """Registry rows of the best fold per ticker, with that fold's model when ``models`` has it."""
+    if models is None:
+        best = best.withColumn("parameters", F.lit(None).cast(S.PARAMETERS))
+    else:
+        held = models.select("ticker", "fold", F.struct(*S.PARAMETERS.names).alias("parameters"))
+        best = best.join(held, ["ticker", "fold"], "left")
     metrics = F.struct(*[F.col(f.name).alias(f.name) for f in S.METRICS])
     return best.select(
         "ticker", F.col("fold").cast("bigint").alias("fold"), F.lit(lookback).cast("bigint").alias("lookback"),
@@ -20,7 +26,7 @@ def records(best: DataFrame, features: Sequence[str], lookback: int = S.LOOKBACK
         F.array(*[F.lit(f) for f in features]).alias("features"), F.array(F.lit("parameters")).alias("model_formats"),
         metrics.alias("metrics"), F.col("performance").alias("performance_status"),
         F.lit(f"Next-period log returns (H={horizon})").alias("prediction_target"),
-        F.lit("StandardScaler").alias("scaler"))
+        F.lit("StandardScaler").alias("scaler"), "parameters")
 
 
 def write(registry: DataFrame, path: str) -> None:
@@ -45,3 +51,8 @@ def summary(registry: DataFrame, names: dict[str, str] | None = None) -> DataFra
         F.round(m("mae"), 6).alias("mae"), F.round(m("rmse"), 6).alias("rmse"), F.round(m("sharpe"), 2).alias("sharpe"),
         F.round(m("max_dd"), 4).alias("max_dd"), F.round(m("ic"), 3).alias("ic"),
         F.round(m("hit_rate"), 3).alias("hit_rate"))
+
+
+def models(registry: DataFrame) -> DataFrame:
+    """Model rows for scoring: ``ticker, mean, scale, weights, intercept``."""
+    return registry.where("parameters is not null").select("ticker", "parameters.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,14 @@ def upsert_bars(batch: DataFrame, path: str, arrival: str | None = None) -> None
     it is being replaced and a failed run can simply be repeated.
     """
     spark = batch.sparkSession
+    try:
+        current = files.read_bars(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files.write_bars(batch if arrival is None else keep_last(batch, KEYS, arrival).drop(arrival), path)
+        return
     touched = batch.select("ticker", F.year("date").alias("_y")).distinct()
-    current = files.read_bars(spark, path)
     part = current.withColumn("_y", F.year("date")).join(touched, ["ticker", "_y"], "left_semi").drop("_y")
     files.write_bars(materialize(upsert(part, batch, KEYS, arrival).select(*current.columns), "upsert"), path)
 
@@ -59,8 +66,3 @@ def append_sql(df: DataFrame, url: str, table: str, partitions: int | None = Non
     rows = df if partitions is None else df.coalesce(partitions)
     rows.write.mode("append").jdbc(url, table, properties=options)
     return df.count()
-
-
-def upsert_plan_columns(columns: Sequence[str], keys: Sequence[str] = KEYS) -> list[str]:
-    """Columns an upsert updates; none means insert-if-absent."""
-    return [c for c in columns if c not in keys]

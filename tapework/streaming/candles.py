@@ -76,18 +76,27 @@ def quarantine(records: DataFrame, good: str, bad: str, checkpoint: str, mode: s
 
 
 def _unchanged(key, parts: Iterator[pd.DataFrame], state: GroupState, tolerance: float = 1e-12) -> Iterator[pd.DataFrame]:
+    """Rows of one ticker that say something new; the state is its last candle's time and close."""
     last_time, last_close = state.get if state.exists else (None, float("nan"))
     rows = pd.concat(list(parts)).sort_values("offset")
-    times = np.concatenate([[last_time], rows["timestamp"].to_numpy(dtype=object)[:-1]])
-    closes = np.concatenate([[last_close], rows["close"].to_numpy(dtype=float)[:-1]])
-    same = (rows["timestamp"].to_numpy(dtype=object) == times) & (np.abs(rows["close"].to_numpy() - closes) < tolerance)
-    state.update((rows["timestamp"].iloc[-1], float(rows["close"].iloc[-1])))
+    quote = (rows["interval"] == "tick").to_numpy()
+    time, close = rows["timestamp"].to_numpy(dtype=object), rows["close"].to_numpy(dtype=float)
+    # Index of the latest candle before each row; -1 stands for the candle in the state.
+    seen = np.maximum.accumulate(np.where(quote, -1, np.arange(len(rows))))
+    before = np.concatenate([[-1], seen[:-1]])
+    old_time = np.where(before < 0, last_time, time[np.maximum(before, 0)])
+    old_close = np.where(before < 0, last_close, close[np.maximum(before, 0)])
+    repeated = (time == old_time) & (np.abs(close - old_close) < tolerance)
+    same = np.where(quote, close == old_close, repeated)
+    if seen[-1] >= 0:
+        state.update((time[seen[-1]], float(close[seen[-1]])))
     yield rows[~same]
 
 
 def suppressed(decoded: DataFrame) -> DataFrame:
-    """Messages without repeats of the ticker's previous (time, close)."""
-    rows = topics.well_formed(decoded).select("ticker", "timestamp", "close", "offset")
+    """Candles that differ from the ticker's previous candle in time or close, and tick quotes
+    whose price differs from the latest candle's close."""
+    rows = topics.well_formed(decoded).select("ticker", "timestamp", "interval", "close", "offset")
     return rows.groupBy("ticker").applyInPandasWithState(
         _unchanged, rows.schema, "timestamp string, close double", "append", GroupStateTimeout.NoTimeout)
 
