@@ -49,7 +49,7 @@ def net_returns(preds: DataFrame, convention: str = "flat", rate: float = S.COST
 
 def cumulative(preds: DataFrame, convention: str = "flat", rate: float = S.COST) -> DataFrame:
     """Add the running profit ``cum`` of each fold."""
-    return R.running(net_returns(preds, convention, rate, keep_block=True), KEYS, {"cum": ("sum", F.col("net"))})
+    return R.running(net_returns(preds, convention, rate, keep_block=True), KEYS, {"cum": ("sum", "net")})
 
 
 def drawdown(preds: DataFrame, convention: str = "flat", rate: float = S.COST) -> DataFrame:
@@ -118,7 +118,7 @@ def equity(preds: DataFrame, as_is: bool = False, rate: float = S.COST) -> DataF
     starts = folds.select(*KEYS, F.coalesce(F.sum("_c").over(
         earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     rows = nets.join(starts, KEYS).withColumn(R.POS, F.col(R.POS) + F.col("_start"))
-    return R.running(rows, keys, {"equity": ("sum", F.col("net"))}).drop("_start")
+    return R.running(rows, keys, {"equity": ("sum", "net")}).drop("_start")
 
 
 def pnl_log(preds: DataFrame, convention: str = "turnover", rate: float = S.COST) -> DataFrame:

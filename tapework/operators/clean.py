@@ -37,25 +37,29 @@ def align(bars: DataFrame, chunk: int = 65536) -> DataFrame:
 
 def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Carry the last known value forward. Rows must carry positions."""
-    return R.running(df, keys, {c: ("last", F.col(c)) for c in columns})
+    return R.running(df, keys, {c: ("last", f"`{c}`") for c in columns})
 
 
 def bfill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Carry the next known value backward; this leaks later values into earlier rows."""
-    return R.running(df, keys, {c: ("next", F.col(c)) for c in columns})
+    return R.running(df, keys, {c: ("next", f"`{c}`") for c in columns})
 
 
 def fill_chain(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ticker",),
                default: float | None = 0.0) -> DataFrame:
-    """Forward fill, then backward fill, then ``default``; one pass for both directions."""
+    """Forward fill, then backward fill, then ``default``.
+
+    After the forward fill only leading rows can be empty, so the backward fill is the first known
+    value of the series and needs no second ordering.
+    """
     spec = {}
     for c in columns:
-        spec[f"_f_{c}"] = ("last", F.col(c))
-        spec[f"_b_{c}"] = ("next", F.col(c))
+        spec[f"_f_{c}"] = ("last", f"`{c}`")
+        spec[f"_b_{c}"] = ("first", f"`{c}`")
     filled = R.running(df, keys, spec)
     kept = [c for c in df.columns if c not in columns]
-    rest = [] if default is None else [F.lit(default)]
-    return filled.select(*kept, *[F.coalesce(f"_f_{c}", f"_b_{c}", *rest).alias(c) for c in columns])
+    rest = "" if default is None else f", double({default})"
+    return filled.select(*kept, *[F.expr(f"coalesce(`_f_{c}`, `_b_{c}`{rest}) as `{c}`") for c in columns])
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:

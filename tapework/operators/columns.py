@@ -54,9 +54,9 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def infinities_to_null(df: DataFrame) -> DataFrame:
-    return df.select(*[X.inf_to_null(F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                       for f in df.schema])
+    """Infinite and not-a-number values of every floating column become NULL."""
+    return df.select(*[F.expr(f"if(abs(`{f.name}`) < double('infinity'), `{f.name}`, null) as `{f.name}`")
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f.name for f in df.schema])
 
 
 def finite_rows(df: DataFrame, column: str = "close") -> DataFrame:

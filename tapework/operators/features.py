@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tapework import schemas as S
 from tapework.operators import clean, columns
 from tapework.operators import series as R
+from tapework.session import materialize
 
 
 def log_price(price: str) -> Column:
@@ -153,7 +154,8 @@ def inference_frame(bars: DataFrame, lookback: int = S.LOOKBACK, order: str = "d
 
     numbered = R.with_position(bars, ["ticker"], [order])
     frame = R.tiled(numbered, ["ticker"], build, lookback=max(S.LAGS) + 1)
-    frame = columns.infinities_to_null(frame)
+    # The fill reads the frame twice (rows and block totals), so it is computed once and stored.
+    frame = materialize(columns.infinities_to_null(frame), "serving")
     fill = [c for c in frame.columns if c not in ("ticker", order, R.POS, R.ROWS) and c not in bars.columns]
     return plain(clean.fill_chain(frame, [*S.PRICES, *fill]))
 

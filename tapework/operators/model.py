@@ -72,7 +72,7 @@ def walk_forward_forecast(frame: DataFrame, start: int = S.LOOKBACK, step: int =
     pieces = rows.withColumn("piece", F.greatest(F.expr(f"({R.POS} - {start}) div {step} + 1"), F.lit(0)))
     pieces = pieces.withColumn("piece", F.when(F.col(R.POS) < start, F.lit(0)).otherwise(F.col("piece")))
     sums = _pair_sums(pieces, ["ticker", "piece"]).withColumn(R.POS, F.col("piece")).withColumn(R.ROWS, F.lit(0))
-    totals = R.running(sums, ["ticker"], {f"t_{c}": ("sum", F.col(c)) for c in _SUMS})
+    totals = R.running(sums, ["ticker"], {f"t_{c}": ("sum", c) for c in _SUMS})
     slope, intercept = _line(*[f"t_{c}" for c in _SUMS])
     lines = totals.select("ticker", F.col("piece").alias("fold"), slope.alias("slope"), intercept.alias("intercept"))
     test = (pieces.where(F.col("piece") > 0).withColumn("fold", F.col("piece") - 1)

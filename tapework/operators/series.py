@@ -102,55 +102,50 @@ def tiled(df: DataFrame, keys: Sequence[str], build: Callable[[DataFrame, Window
     return result if keep_block else result.drop(BLOCK)
 
 
-_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
-def running(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, Column]],
+def running(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, str]],
             block_rows: int | None = None) -> DataFrame:
-    """Cumulative columns over positions: ``{name: (kind, value)}``.
+    """Cumulative columns over positions: ``{name: (kind, SQL expression)}``.
 
-    Kinds: ``sum``, ``max``, ``last`` (latest non-null so far), ``next`` (next non-null).
-    The carry window runs over one row per block, not over the rows.
+    Kinds: ``sum``, ``max``, ``last`` (latest non-null so far), ``next`` (next non-null), ``first``
+    (first non-null of the whole series). Each is a local pass inside a block combined with a carry
+    from the other blocks; the carry windows run over one row per block, not over the rows.
     """
     keys, block_rows = list(keys), block_rows or RUN_ROWS
     blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, F.expr(f"{POS} div {block_rows}"))
-    totals, carries = [], []
-    local = Window.partitionBy(*keys, BLOCK).orderBy(POS)
-    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    part = "".join(f"`{k}`, " for k in keys)
+    whole = f"partition by {part.rstrip(', ')}" if keys else ""
+    earlier = "rows between unbounded preceding and 1 preceding"
+    so_far = "rows between unbounded preceding and current row"
     # Looking forward is looking back in reverse order: frames that end at the last row are
     # re-evaluated for every row, running frames are not.
-    local_back = Window.partitionBy(*keys, BLOCK).orderBy(F.col(POS).desc())
-    blocks_back = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc())
-    combined = {}
+    local = {way: f"(partition by {part}{BLOCK} order by {POS} {way} {so_far})" for way in ("asc", "desc")}
+    blocks = {way: f"({whole} order by {BLOCK} {way} {earlier})" for way in ("asc", "desc")}
+    # kind: (total of a block, carry into a block, local value combined with the carry `c`).
+    forms = {
+        "sum": ("sum({v})", f"coalesce(sum({{t}}) over {blocks['asc']}, 0)", f"sum({{v}}) over {local['asc']} + {{c}}"),
+        "max": ("max({v})", f"max({{t}}) over {blocks['asc']}", f"greatest(max({{v}}) over {local['asc']}, {{c}})"),
+        "last": (f"max_by({{v}}, {POS}) filter (where {{v}} is not null)",
+                 f"last({{t}}) ignore nulls over {blocks['asc']}",
+                 f"coalesce(last({{v}}) ignore nulls over {local['asc']}, {{c}})"),
+        "next": (f"min_by({{v}}, {POS}) filter (where {{v}} is not null)",
+                 f"last({{t}}) ignore nulls over {blocks['desc']}",
+                 f"coalesce(last({{v}}) ignore nulls over {local['desc']}, {{c}})"),
+        "first": (f"min_by({{v}}, {POS}) filter (where {{v}} is not null)",
+                  f"min_by({{t}}, if({{t}} is null, null, {BLOCK})) over ({whole})", "{c}"),
+    }
+    totals, carries, combined = [], [], []
     for name, (kind, value) in columns.items():
-        t, c = f"_t_{name}", f"_c_{name}"
-        if kind == "sum":
-            totals.append(F.sum(value).alias(t))
-            carries.append(F.coalesce(F.sum(t).over(blocks.rowsBetween(*_EARLIER)), F.lit(0)).alias(c))
-            combined[name] = F.sum(value).over(local.rowsBetween(*_SO_FAR)) + F.col(c)
-        elif kind == "max":
-            totals.append(F.max(value).alias(t))
-            carries.append(F.max(t).over(blocks.rowsBetween(*_EARLIER)).alias(c))
-            combined[name] = F.greatest(F.max(value).over(local.rowsBetween(*_SO_FAR)), F.col(c))
-        elif kind == "last":
-            totals.append(F.max_by(value, F.when(value.isNotNull(), F.col(POS))).alias(t))
-            carries.append(F.last(t, ignorenulls=True).over(blocks.rowsBetween(*_EARLIER)).alias(c))
-            combined[name] = F.coalesce(
-                F.last(value, ignorenulls=True).over(local.rowsBetween(*_SO_FAR)), F.col(c))
-        elif kind == "next":
-            totals.append(F.min_by(value, F.when(value.isNotNull(), F.col(POS))).alias(t))
-            carries.append(F.last(t, ignorenulls=True).over(blocks_back.rowsBetween(*_EARLIER)).alias(c))
-            combined[name] = F.coalesce(
-                F.last(value, ignorenulls=True).over(local_back.rowsBetween(*_SO_FAR)), F.col(c))
-        else:
-            raise ValueError(f"unknown running kind: {kind}")
+        names = {"v": f"({value})", "t": f"`_t_{name}`", "c": f"`_c_{name}`"}
+        total, carry, column = (form.format(**names) for form in forms[kind])
+        totals.append(F.expr(f"{total} as {names['t']}"))
+        carries.append(F.expr(f"{carry} as {names['c']}"))
+        combined.append(F.expr(f"{column} as `{name}`"))
     carry = blocked.groupBy(*keys, BLOCK).agg(*totals).select(*keys, BLOCK, *carries)
     kept = [c for c in df.columns if c not in columns and c != BLOCK]
-    return (
-        blocked.join(carry, [*keys, BLOCK])
-        .select(*kept, *[value.alias(name) for name, value in combined.items()])
-    )
+    return blocked.join(carry, [*keys, BLOCK]).select(*kept, *combined)
 
 
 def tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column | int, most: int | None = None,

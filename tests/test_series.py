@@ -41,18 +41,19 @@ def test_tiled_rejects_blocks_smaller_than_their_edges(walk_df):
 
 def test_running_equals_whole_window(small_blocks, walk, walk_df):
     holes = walk_df.withColumn("h", F.when(F.pmod(F.xxhash64("date", "ticker"), F.lit(4)) == 0, F.col("close")))
-    spec = {"s": ("sum", F.col("close")), "m": ("max", F.col("low")), "l": ("last", F.col("h")), "n": ("next", F.col("h"))}
+    spec = {"s": ("sum", "close"), "m": ("max", "low"), "l": ("last", "h"), "n": ("next", "h"), "f": ("first", "h")}
     got = frame(R.running(numbered(holes), ["ticker"], spec))
     want = frame(holes).groupby("ticker")
     same(got["s"], want["close"].cumsum())
     same(got["m"], want["low"].cummax())
     same(got["l"], want["h"].ffill())
     same(got["n"], want["h"].bfill())
+    same(got["f"], want["h"].transform("first"))
 
 
 def test_running_over_all_rows_without_a_key(small_blocks, walk_df):
     rows = R.with_position(walk_df.select("date").distinct(), [], ["date"])
-    got = frame(R.running(rows, [], {"c": ("sum", F.lit(1))}), ["date"])
+    got = frame(R.running(rows, [], {"c": ("sum", "1")}), ["date"])
     assert got["c"].tolist() == list(range(1, len(got) + 1))
 
 
