@@ -24,21 +24,29 @@ def live_override(history: DataFrame, live: DataFrame, period: str, interval: st
         "ticker", "last_close", "live_close", F.coalesce("live_close", "last_close").alias("latest_price"))
 
 
-def linear_score(features: Sequence[str], mean: str = "mean", scale: str = "scale", weights: str = "weights",
-                 intercept: str = "intercept") -> Column:
-    """Standardise and score one row against a model row's arrays, without leaving the JVM."""
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    z = F.zip_with(F.zip_with(x, F.col(mean), lambda a, m: a - m), F.col(scale), lambda a, s: a / s)
-    terms = F.zip_with(z, F.col(weights), lambda a, w: a * w)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) + F.col(intercept)
+def folded(models: DataFrame) -> DataFrame:
+    """Model rows with the scaling folded into one array: ``_w`` and ``_b``, keys unchanged."""
+    used = ("mean", "scale", "weights", "intercept")
+    kept = [c for c in models.columns if c not in used]
+    w = F.zip_with("weights", "scale", lambda w, s: w / s)
+    shift = F.aggregate(F.zip_with("mean", "_w", lambda m, w: m * w), F.lit(0.0), lambda acc, t: acc + t)
+    return models.withColumn("_w", w).select(*kept, "_w", (F.col("intercept") - shift).alias("_b"))
+
+
+def linear_score(features: Sequence[str]) -> Column:
+    """Dot product of a row with its folded model, written out term by term so that it compiles."""
+    return F.expr(" + ".join(["`_b`", *[f"double(`{f}`) * `_w`[{i}]" for i, f in enumerate(features)]]))
 
 
 def score_join(rows: DataFrame, models: DataFrame, features: Sequence[str], keys: Sequence[str] = ("ticker",),
-               output: str = "pred") -> DataFrame:
-    """Rows scored by the model of their key. The model side is one row per key; whether it is
-    broadcast is decided from its measured size, and skewed keys are split otherwise."""
+               output: str = "pred", extra: Sequence[str] = ()) -> DataFrame:
+    """Rows scored by the model (or models) of their key; ``extra`` keeps columns of the model side.
+
+    The model side is one row per key and trial; whether it is broadcast is decided from its
+    measured size, and skewed keys are split otherwise.
+    """
     kept = rows.columns
-    return rows.join(models, list(keys)).select(*kept, linear_score(features).alias(output))
+    return rows.join(folded(models), list(keys)).select(*kept, *extra, linear_score(features).alias(output))
 
 
 def batch_outcomes(requests: DataFrame, supported: DataFrame, scores: DataFrame) -> DataFrame:

@@ -6,13 +6,15 @@ that are accumulated along the segments. No training set is copied per fold and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapework import schemas as S
 from tapework.functions import metrics as M
@@ -171,12 +173,9 @@ def param_sweep(frame: DataFrame, names: Sequence[str], strengths: Sequence[floa
                 n_splits: int = S.N_SPLITS) -> DataFrame:
     """Composite loss of every ridge strength for every fold; all strengths share one pass."""
     rows = splits.with_segments(frame, n_splits=n_splits)
-    per_fold = ridge_models(rows, names, target, strengths).groupBy(*KEYS).agg(
-        F.collect_list(F.struct("trial", "strength", "mean", "scale", "weights", "intercept")).alias("models"))
-    test = splits.test_rows(rows, n_splits).join(per_fold, KEYS).withColumn("m", F.explode("models"))
-    scored = test.select(*KEYS, "m.trial", "m.strength", F.col(target).alias("actual"), joins.linear_score(
-        names, "m.mean", "m.scale", "m.weights", "m.intercept").alias("pred"))
-    return trial_losses(scored, [*KEYS, "trial", "strength"])
+    models = ridge_models(rows, names, target, strengths)
+    scored = joins.score_join(splits.test_rows(rows, n_splits), models, names, KEYS, extra=["trial", "strength"])
+    return trial_losses(scored.withColumn("actual", F.col(target)), [*KEYS, "trial", "strength"])
 
 
 def shrinkage_trials(preds: DataFrame, factors: Sequence[float]) -> DataFrame:
@@ -239,3 +238,45 @@ def run_log(folds: DataFrame, run_id: str, keys: Sequence[str] = KEYS) -> DataFr
 
 def read_run_log(log: DataFrame, names: Sequence[str]) -> DataFrame:
     return log.groupBy("run_id", *KEYS).pivot("key", list(names)).agg(F.max("value"))
+
+
+_LOADED: dict = {}
+
+
+def loaded_score(rows: DataFrame, features: Sequence[str], load: Callable[[str], Callable[[np.ndarray], np.ndarray]],
+                 key: str = "ticker", output: str = "pred") -> DataFrame:
+    """Scores of models that are not linear: ``load(key)`` returns a function of a feature matrix.
+
+    Rows are scored in Arrow batches where they lie; a worker loads the model of a key once and
+    keeps it for its later batches.
+    """
+    features = list(features)
+    schema = T.StructType([*rows.schema.fields, T.StructField(output, T.DoubleType())])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = np.full(len(pdf), np.nan)
+            for name, part in pdf.groupby(key).indices.items():
+                if (load, name) not in _LOADED:
+                    _LOADED[(load, name)] = load(name)
+                out[part] = _LOADED[(load, name)](pdf[features].to_numpy(dtype=float)[part])
+            yield pdf.assign(**{output: out})
+
+    return rows.mapInPandas(score, schema)
+
+
+@dataclass(frozen=True)
+class OnnxModels:
+    """Loads ``{folder}/{ticker}/model.onnx`` from a file system every worker mounts.
+
+    Two loaders of one folder are equal, so a worker's models outlive the task that loaded them.
+    """
+
+    folder: str
+
+    def __call__(self, ticker: str) -> Callable[[np.ndarray], np.ndarray]:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(f"{self.folder}/{ticker}/model.onnx")
+        name = session.get_inputs()[0].name
+        return lambda x: session.run(None, {name: x.astype(np.float32)})[0].reshape(len(x), -1)[:, 0]

@@ -59,11 +59,14 @@ def write_bars(bars: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars table with the partition columns typed as text and year."""
+def read_bars(spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """Bars table; a range of years reads only those folders."""
     schema = T.StructType([*[f for f in S.BAR if f.name != "ticker"],
                            T.StructField("ticker", T.StringType()), T.StructField("year", T.IntegerType())])
-    return C.conform(spark.read.schema(schema).parquet(path))
+    rows = spark.read.schema(schema).parquet(path)
+    if first_year is not None:
+        rows = rows.where(F.col("year").between(first_year, last_year))
+    return C.conform(rows)
 
 
 def write_report(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -45,12 +45,15 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY
 def upsert_bars(batch: DataFrame, path: str, arrival: str | None = None) -> None:
     """Upsert into a bar table, rewriting only the ticker/year partitions the batch touches.
 
-    The merged partitions are written to the shared folder first, so the table is never read while
+    The years of the batch select the folders to read. The merged partitions are written to the shared folder first, so the table is never read while
     it is being replaced and a failed run can simply be repeated.
     """
     spark = batch.sparkSession
+    years = batch.agg(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last")).first()
+    if years["first"] is None:
+        return
     try:
-        current = files.read_bars(spark, path)
+        current = files.read_bars(spark, path, years["first"], years["last"])
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

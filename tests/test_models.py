@@ -186,3 +186,36 @@ def test_candles_hold_their_prices(spark):
     assert [b.minute for b in got["bucket"]] == [0, 7, 14, 21, 28, 35, 42, 49, 56]
     assert ((got.low <= got.open) & (got.open <= got.high) & (got.low <= got.close) & (got.close <= got.high)).all()
     assert got["volume"].sum() == 30
+
+
+def dot_model(weights):
+    """Smallest model file for onnxruntime: one matrix product, encoded by hand."""
+    def field(number, data, wire=2):
+        def varint(n):
+            out = b""
+            while n > 127:
+                out, n = out + bytes([n & 127 | 128]), n >> 7
+            return out + bytes([n])
+        head = varint(number << 3 | wire)
+        return head + (varint(data) if wire == 0 else varint(len(data)) + data)
+
+    n = len(weights)
+
+    def value(name, rows, cols):
+        dims = b"".join(field(1, field(1, d, 0) if d else field(2, b"n")) for d in (rows, cols))
+        return field(1, name) + field(2, field(1, field(1, 1, 0) + field(2, dims)))
+
+    tensor = field(1, n, 0) + field(1, 1, 0) + field(2, 1, 0) + field(8, b"w") + field(9, np.asarray(weights, "<f4").tobytes())
+    node = field(1, b"x") + field(1, b"w") + field(2, b"y") + field(4, b"MatMul")
+    graph = field(1, node) + field(2, b"g") + field(5, tensor) + field(11, value(b"x", 0, n)) + field(12, value(b"y", 0, 1))
+    return field(1, 8, 0) + field(7, graph) + field(8, field(1, b"") + field(2, 13, 0))
+
+
+def test_model_files_are_scored_per_ticker(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    for ticker, w in (("A", [1.0, 2.0]), ("B", [-1.0, 0.5])):
+        (tmp_path / ticker).mkdir()
+        (tmp_path / ticker / "model.onnx").write_bytes(dot_model(w))
+    rows = spark.createDataFrame([("A", 1.0, 2.0), ("B", 4.0, 2.0), ("A", 0.0, 1.0)], "ticker string, p double, q double")
+    got = model.loaded_score(rows.repartition(2), ["p", "q"], model.OnnxModels(str(tmp_path))).collect()
+    assert sorted((r.ticker, r.p, r.pred) for r in got) == [("A", 0.0, 2.0), ("A", 1.0, 5.0), ("B", 4.0, -3.0)]
