@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tapework import schemas as S
 from tapework.catalog.base import grade_sql, query, r, rnd, rounded, rsql, using
 from tapework.functions import metrics as M
 from tapework.functions import scalar as X
-from tapework.operators import backtest, features, model, quality, ranking, stats
+from tapework.operators import backtest, model, ranking, stats
 from tapework.plans import forecast
 from tapework.session import materialize
 from tapework.sources import files

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
+from tapework.catalog.base import PRICES, query, rounded, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import clean, resample, series as R
 from tapework.operators.features import plain

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tapework import schemas as S
 from tapework.catalog.backtests import xy
 from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
 from tapework.functions import scalar as X

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tapework import schemas as S
 from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
-from tapework.operators import clean, features as X, joins, series as R  # noqa: F401
+from tapework.operators import clean, features as X, series as R
 from tapework.sources.fixtures import bars
 
 W = "(PARTITION BY ticker ORDER BY date)"

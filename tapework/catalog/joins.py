@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from tapework.catalog.backtests import preds
-from tapework.catalog.base import query, r, rnd, rounded, using
+from tapework.catalog.base import query, r, rounded, using
 from tapework.operators import clean, joins, ranking
-from tapework.operators import series as R
-from tapework.session import materialize
 from tapework.sources.fixtures import bars, messages, table, ticks
 
 NTZ = "timestamp_ntz"

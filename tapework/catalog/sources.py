@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from tapework import schemas as S
-from tapework.catalog.backtests import FOLD_COLUMNS, preds
-from tapework.catalog.base import PRICES, grade_sql, query, r, rnd, rounded, rsql, using
+from tapework.catalog.backtests import preds
+from tapework.catalog.base import PRICES, grade_sql, query, r, rnd, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import backtest, columns as C, features, quality, ranking
 from tapework.operators import series as R
 from tapework.session import scratch
 from tapework.sources import files, registry, tables, topics
-from tapework.sources.fixtures import bars, messages, ticks
+from tapework.sources.fixtures import bars, messages
 
 DAY = "2024-01-31"
 BAR_SQL = "SELECT ticker, date, open, high, low, close, close AS adj_close, volume FROM bars"

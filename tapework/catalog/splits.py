@@ -1,9 +1,7 @@
 """Queries: time-ordered splits."""
 
-from tapework import schemas as S
 from tapework.catalog.base import query, using
 from tapework.operators import splits
-from tapework.operators import series as R
 from tapework.sources.fixtures import bars
 
 NUMBERED = """SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,

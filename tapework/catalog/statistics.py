@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
+from tapework.catalog.base import PRICES, query, r, rnd, rounded, using
 from tapework.operators import clean, features, quality, stats
 from tapework.operators import series as R
 from tapework.sources.fixtures import bars

@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tapework import schemas as S
-from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
-from tapework.catalog.features import FULL_SQL, LAG_SQL, MEAN_SQL, NAMES, SERVED, STD_SQL
+from tapework.catalog.base import PRICES, query, rounded, rsql, using
+from tapework.catalog.features import LAG_SQL, MEAN_SQL, NAMES, SERVED, STD_SQL
 from tapework.session import materialize, scratch
 from tapework.sources import topics
 from tapework.sources.fixtures import messages, ticks

@@ -197,8 +197,8 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
                  rounds: int = 500, holdout: float = 0.1, parallelism: int = 4) -> DataFrame:
     """Boosted trees per (ticker, fold), each fitted by a distributed job; a few run at once.
 
-    The last part of the training rows decides when to stop (the reference watches the training
-    rows themselves). Rows are stored by ticker, so a fit reads its own folder only. The list of
+    The last part of the training rows decides when to stop; rows that were fitted would never say
+    so. Rows are stored by ticker, so a fit reads its own folder only. The list of
     (ticker, fold) pairs is the only thing read by the driver.
     """
     from pyspark.ml.feature import VectorAssembler

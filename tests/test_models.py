@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import frame, same
 from tapework import schemas as S
-from tapework.operators import features, joins, model, ranking, resample, splits, stats
+from tapework.operators import features, joins, model, ranking, resample, stats
 
 
 @pytest.fixture(scope="module")

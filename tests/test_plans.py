@@ -1,12 +1,9 @@
 """Whole jobs."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
 from conftest import SF, frame
-from tapework import schemas as S
-from tapework.operators import quality
 from tapework.plans import forecast, ingest, scoring
 from tapework.sources import files, registry
 from tapework.sources.fixtures import bars
@@ -52,3 +49,12 @@ def test_no_whole_series_window(spark):
     assert windows
     for line in windows:
         assert "_slot" in line or "_block" in line or "sum(_c" in line, line
+
+
+def test_plans_hold_no_cross_join(spark):
+    from tapework.operators import clean, model, stats
+    rows = bars(spark, SF)
+    for df in (clean.fill_chain(clean.align(rows), ["close"]), stats.box_stats(rows), stats.density_curve(rows),
+               model.ols1_forecast(model.lag_frame(rows)), model.walk_forward_forecast(model.lag_frame(rows))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -6,7 +6,6 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame, same
 from tapework import schemas as S
 from tapework.functions import scalar as X
 from tapework.operators import columns as C
