@@ -8,8 +8,9 @@ is; the fraction is an inclusion probability, and the cube method turns the prob
 1 while it keeps the expected number of documents and of words: probabilities move along directions
 in the null space of the constraints until one reaches 0 or 1. The flight runs in blocks of bounded
 size (a hot source has many blocks); each block leaves at most two undecided documents, which meet
-again in the next level, until one block a source is left, and the last undecided ones are decided
-by trying the few combinations (landing).
+again in the next level, until one block a source is left. Its last undecided documents are decided
+by trying the few combinations, and single decisions of that block are reversed while that brings
+the words of the source nearer to the target (landing).
 
 Blocks, orders and random numbers come from hashes of the documents, so reruns agree.
 """
@@ -108,12 +109,29 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.rint(np.where(p <= _EPS, 0, np.where(p >= 1 - _EPS, 1, p)) * 1e9) / 1e9
 
 
+def settle(p: np.ndarray, size: np.ndarray, want: float, open_: np.ndarray, most: int = 24) -> np.ndarray:
+    """Second half of the landing: large documents may leave the words of a source off by part of
+    their size, so single decisions among ``open_`` are reversed while that brings the sum nearer."""
+    p = p.copy()
+    for _ in range(most):
+        off = want - float((p * size).sum())
+        gain = np.where(open_, abs(off) - np.abs(off - np.where(p > 0.5, -size, size)), -np.inf)
+        i = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[i] <= 1e-6:
+            break
+        p[i] = 1 - p[i]
+    return p
+
+
 def _flown(last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_size", "_tag"], ascending=[False, True], kind="stable").reset_index(drop=True)
         size = frame["_size"].to_numpy(np.float64)
-        p = flight(frame["_p"].to_numpy(np.float64), size, np.random.default_rng(int(frame["_tag"].min()) & 0x7FFFFFFF))
-        return frame.assign(_p=landing(p, size) if last else p)
+        aim = frame["_p"].to_numpy(np.float64)
+        p = flight(aim, size, np.random.default_rng(int(frame["_tag"].min()) & 0x7FFFFFFF))
+        if last:
+            p = settle(landing(p, size), size, float((aim * size).sum()), (aim > _EPS) & (aim < 1 - _EPS))
+        return frame.assign(_p=p)
     return run
 
 

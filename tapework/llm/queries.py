@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapework.llm import ann, mixing, secrets, simhash, warc
+from tapework.llm import ann, decontam, htmltree, licenses, mixing, pii, quality, secrets, simhash, warc
 from tapework.llm.common import table
 
 
+def document_path(docs: DataFrame):
+    """Documents laid out as files: ``source/lang/<hundreds>/<id>``; short ones are licence files of
+    the directory above."""
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    return F.when(F.char_length("text") <= 300, F.concat_ws("/", source, lang, F.concat(F.lit("LICENSE."), F.col("doc_id")))).otherwise(
+        F.concat_ws("/", source, lang, F.floor(F.col("doc_id") / 100), F.col("doc_id")))
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, document_path(docs))
+
+
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -33,8 +58,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash, "op5_secrets": op5_secrets, "op7_nearest": op7_nearest, "op8_mix": op8_mix, "op9_warc": op9_warc,
+    "op1_licenses": op1_licenses, "op2_personal": op2_personal, "op3_simhash": op3_simhash, "op4_main_text": op4_main_text,
+    "op5_secrets": op5_secrets, "op6_decontaminate": op6_decontaminate, "op7_nearest": op7_nearest, "op8_mix": op8_mix,
+    "op9_warc": op9_warc, "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {

@@ -99,7 +99,7 @@ def _near(ids: DataFrame, others: DataFrame, scope: int) -> DataFrame:
         F.floor((F.col("span.start") - scope) / scope), F.floor((F.col("span.stop") + scope) / scope))).alias("bin"))
     held = others.select("row_key", F.col("span").alias("part"), F.explode(F.sequence(
         F.floor(F.col("span.start") / scope), F.floor(F.col("span.stop") / scope))).alias("bin"))
-    return (reach.join(held, ["row_key", "bin"])
+    return (reach.hint("merge").join(held, ["row_key", "bin"])
             .where((F.col("part.start") <= F.col("id.stop") + scope) & (F.col("part.stop") >= F.col("id.start") - scope))
             .select("row_key", "id", "part").distinct())
 

@@ -187,7 +187,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     crowded = stored(index.groupBy("part", "key").count().where(F.col("count") > bucket).select("part", "key"), "crowded")
     # Row counts and flags of the crowded keys decide the joins; the keys themselves stay in a table.
     calm = index.join(crowded, ["part", "key"], "left_anti").withColumnRenamed("fp", "other")
-    near = (probe.join(calm, ["part", "key"]).where(F.col("fp") < F.col("other"))
+    # Spark sizes the exploded keys by the rows before; the merge hint keeps them out of broadcasts.
+    near = (probe.hint("merge").join(calm, ["part", "key"]).where(F.col("fp") < F.col("other"))
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)
             .select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
     if crowded.isEmpty():
@@ -203,9 +204,9 @@ def _midpoint_links(members: DataFrame, distance: int) -> DataFrame:
     if odd:  # one side looks one step further
         further = members.select("fp", F.explode(F.transform(F.lit(_flips(bits, radius + 1)), lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
         lows = around.groupBy("point").agg(F.min("fp").alias("low"))
-        return further.join(lows, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+        return further.hint("merge").join(lows, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     lows = around.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("point", "low")
-    return around.join(lows, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    return around.hint("merge").join(lows, "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, distance: int) -> tuple[DataFrame, DataFrame]:
