@@ -48,11 +48,12 @@ VIEWS = {
         FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN (SELECT DISTINCT date FROM bars) d
         LEFT JOIN bars b ON b.ticker = t.ticker AND b.date = d.date"""),
     "ticks": ((), """SELECT event_type AS ticker, ts, event_id AS seq, value AS price, user_id
-        FROM events WHERE value > 0"""),
+        FROM events"""),
     "messages": (("ticks",), """SELECT 'instant_' || lower(ticker) AS topic, CAST(user_id % 16 AS INTEGER) AS partition,
         seq AS "offset", ticker, '1d' AS period, CASE WHEN user_id % 5 = 0 THEN 'tick' ELSE '1m' END AS "interval",
         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || (CASE seq % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+00:00' ELSE '' END)
-        AS "timestamp", price AS open, price AS high, price AS low, price AS close, CAST(0 AS BIGINT) AS volume,
+        AS "timestamp", price * 1.25::DOUBLE AS open, price * 2 AS high, price / 2 AS low, price AS close,
+        CAST(user_id % 1000 + 1 AS BIGINT) AS volume,
         ts AS event_ts FROM ticks"""),
     "doubled": (("messages",), """SELECT * FROM messages UNION ALL
         SELECT * REPLACE ("offset" + 1000000000 AS "offset") FROM messages"""),

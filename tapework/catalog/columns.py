@@ -186,8 +186,9 @@ NATIONS = """SELECT 'NATION_' || (o_orderkey % 30) AS code, o_orderkey, o_totalp
 def display_name(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderkey", F.concat(F.lit("NATION_"), (F.col("o_orderkey") % 30).cast("string")).alias("code"))
-    names = table(spark, sf, "nation").select(F.col("n_name").alias("code"), F.concat(F.lit("Nation no. "), "n_nationkey").alias("label"))
-    return rows.join(names, "code", "left").select("o_orderkey", "code", F.coalesce("label", "code").alias("name"))
+    # The mapping is a literal of the operator; this table has one row per nation.
+    names = {n.n_name: f"Nation no. {n.n_nationkey}" for n in table(spark, sf, "nation").collect()}
+    return rows.select("o_orderkey", "code", X.display_name(F.col("code"), names).alias("name"))
 
 
 @query("ticker_search", """SELECT c_custkey, c_name, c_mktsegment FROM customer

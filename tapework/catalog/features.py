@@ -69,10 +69,31 @@ EMA_SQL = "WITH RECURSIVE " + using("ret", "", ema="""SELECT ticker, pos, date,
     f"SELECT ticker, date, {r('e5', 3)} AS close_ema_5, {r('e12', 3)} AS close_ema_12, {r('e26', 3)} AS close_ema_26 FROM ema")
 
 
-@query("ema", EMA_SQL)
+# The recursion as it is: a NULL keeps the mean and lets its weight decay.
+EMA_TESTED = (1, 2, 5, 12, 26, 50, 200)
+
+
+def _ema_step(s):
+    q = f"(1 - (2.0::DOUBLE / {s + 1}))"
+    return f"""CASE WHEN n.x IS NULL THEN e.y{s} WHEN e.y{s} IS NULL THEN n.x
+        ELSE (e.w{s} * {q} * e.y{s} + (2.0::DOUBLE / {s + 1}) * n.x) / (e.w{s} * {q} + (2.0::DOUBLE / {s + 1})) END AS y{s},
+        CASE WHEN n.x IS NULL THEN e.w{s} * {q} ELSE 1.0::DOUBLE END AS w{s}"""
+
+
+NULL_EMA_SQL = "WITH RECURSIVE " + using(
+    "bars", "", gaps="""SELECT ticker, date, CASE WHEN day(date) IN (3, 4, 17) THEN NULL ELSE close END AS x,
+    row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos FROM bars""",
+    ema="SELECT ticker, pos, date, " + ", ".join(f"x AS y{s}, 1.0::DOUBLE AS w{s}" for s in EMA_TESTED) + " FROM gaps WHERE pos = 0 UNION ALL "
+    "SELECT n.ticker, n.pos, n.date, " + ", ".join(_ema_step(s) for s in EMA_TESTED)
+    + " FROM ema e JOIN gaps n ON n.ticker = e.ticker AND n.pos = e.pos + 1").removeprefix("WITH ") + (
+    "SELECT ticker, date, " + ", ".join(f"{r(f'y{s}', 3)} AS close_ema_{s}" for s in EMA_TESTED) + " FROM ema")
+
+
+@query("ema", NULL_EMA_SQL)
 def ema(spark, sf):
-    names = [f"close_ema_{s}" for s in S.EMA_SPANS]
-    rows = X.with_emas(X.positioned(bars(spark, sf).select("ticker", "date", "close")))
+    names = [f"close_ema_{s}" for s in EMA_TESTED]
+    gaps = bars(spark, sf).select("ticker", "date", F.when(~F.dayofmonth("date").isin(3, 4, 17), F.col("close")).alias("close"))
+    rows = X.with_emas(X.positioned(gaps), spans=EMA_TESTED)
     return rounded(rows.select("ticker", "date", *names), names, 3)
 
 
@@ -182,10 +203,21 @@ def latest_features(spark, sf):
     return rounded(clean.latest(served, ["ticker"], "date"), SERVED)
 
 
-@query("sequences")
+SEQUENCE_SQL = using("ret", f"""SELECT ticker, date, x, y FROM (SELECT ticker, date,
+    list([{', '.join(r(f'{p}_log_return') for p in PRICES)}]) OVER (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING) AS x,
+    list({r('close_log_return')}) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS y
+    FROM ret WHERE close_log_return IS NOT NULL) WHERE len(x) = 30 AND len(y) = 3""")
+
+
+def rounded_sequences(made):
+    each = lambda v: F.transform(v, lambda e: F.round(e, 6))
+    return made.select("ticker", "date", F.transform("x", each).alias("x"), each(F.col("y")).alias("y"))
+
+
+@query("sequences", SEQUENCE_SQL)
 def sequences(spark, sf):
     rows = on_bars(spark, sf, X.with_log_returns, 1).where("close_log_return is not null")
-    return X.sequences(X.plain(rows), RETURNS, "close_log_return", 30, 3)
+    return rounded_sequences(X.sequences(X.plain(rows), RETURNS, "close_log_return", 30, 3))
 
 
 @query("sequence_sizes", using("ret", """SELECT ticker, greatest(count(*) - 30 - 3 + 1, 0) AS sequences

@@ -72,6 +72,55 @@ def gbt_forecast(spark, sf):
     return model.gbt_forecast(training(spark, sf), NAMES)
 
 
+# Ridge of y on two returns in closed form: standardised features, so the system is [[n+s, n r], [n r, n+s]].
+TWO = using("ret", "", two="""SELECT ticker, date, x1, x2, y, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+    count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, lag(close_log_return) OVER w AS x1,
+    lag(open_log_return) OVER w AS x2, lead(close_log_return) OVER w AS y FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date))
+    WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL""",
+    cut="SELECT two.*, fold, n - (4 - fold) * (n // 5) AS test_start, n // 5 AS size FROM two CROSS JOIN (SELECT unnest([0, 1, 2, 3])::BIGINT AS fold)",
+    m="""SELECT ticker, fold, count(*) AS k, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2,
+    corr(x1, x2) AS rho, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM cut WHERE pos < test_start GROUP BY 1, 2""",
+    s="SELECT i AS trial, power(10.0, (i - 5) / 2.0) AS strength FROM range(15) t(i)",
+    w="""SELECT ticker, fold, trial, strength, m1, m2, my, d1, d2,
+    ((k + strength) * k * c1 / d1 - k * rho * k * c2 / d2) / ((k + strength) * (k + strength) - k * rho * k * rho) AS w1,
+    ((k + strength) * k * c2 / d2 - k * rho * k * c1 / d1) / ((k + strength) * (k + strength) - k * rho * k * rho) AS w2 FROM m CROSS JOIN s""",
+    p="""SELECT c.ticker, c.fold, c.date, trial, strength, my + w1 * (x1 - m1) / d1 + w2 * (x2 - m2) / d2 AS pred, y AS actual FROM cut c
+    JOIN w ON w.ticker = c.ticker AND w.fold = c.fold WHERE pos >= test_start AND pos < test_start + size""")
+
+
+def two_features(spark, sf):
+    rows = R.tiled(features.positioned(bars(spark, sf)), ["ticker"], lambda t, w: features.with_log_returns(t, w).select(
+        "*", F.lag("close_log_return").over(w).alias("x1"), F.lag("open_log_return").over(w).alias("x2"),
+        F.lead("close_log_return").over(w).alias("target")), lookback=2, lookahead=1)
+    return materialize(rows.select("ticker", "date", "x1", "x2", "target").na.drop(), "two")
+
+
+# The fifth of the fifteen strengths is 0.316..., the tenth 100.
+@query("ridge_two", TWO + f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM p WHERE trial = 9")
+def ridge_two(spark, sf):
+    out = model.ridge_forecast(two_features(spark, sf), ["x1", "x2"], strength=100.0)
+    return rounded(out.select(*KEYS, "date", "pred", "actual"), ["pred", "actual"])
+
+
+@query("sweep_two", TWO + f"""SELECT ticker, fold, CAST(trial AS INTEGER) AS trial, {r('avg(abs(actual - pred))')} AS mae,
+    {r('sqrt(avg((actual - pred) * (actual - pred)))')} AS rmse FROM p GROUP BY 1, 2, 3""")
+def sweep_two(spark, sf):
+    strengths = [10.0 ** (k / 2) for k in range(-5, 10)]
+    out = model.param_sweep(two_features(spark, sf), ["x1", "x2"], strengths)
+    return rounded(out.select(*KEYS, "trial", "mae", "rmse"), ["mae", "rmse"])
+
+
+@query("score_two", TWO + f"""SELECT ticker, fold, date, {r('pred')} AS pred, CASE WHEN pred > 0.0001 THEN 'UP' WHEN pred < -0.0001 THEN 'DOWN'
+    ELSE 'SIDEWAYS' END AS direction FROM p WHERE trial = 5 AND fold = 3""")
+def score_two(spark, sf):
+    """Models of several features through the registry table and back, joined to the rows they score."""
+    rows = materialize(splits.with_segments(two_features(spark, sf)), "segments")
+    made = materialize(model.ridge_models(rows, ["x1", "x2"], strengths=[1.0]).where("fold = 3"), "models")
+    test = splits.test_rows(rows).where("fold = 3")
+    out = joins.score_join(test, made, ["x1", "x2"], KEYS)
+    return out.select(*KEYS, "date", rnd("pred").alias("pred"), X.direction_label(F.col("pred")).alias("direction"))
+
+
 FACTORS = (0.25, 0.5, 0.75, 1.0)
 TRIALS = f"""SELECT ticker, fold, trial, factor, {LOSS} AS loss FROM (SELECT ticker, fold, trial, factor,
     avg(abs(actual - pred)) AS mae, {MAPE} AS mape, {R2} AS r2, avg(abs(actual)) AS mean_abs FROM

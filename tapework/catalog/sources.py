@@ -1,9 +1,12 @@
 """Queries: scans, sinks, topics and the registry."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from tapework import schemas as S
 from tapework.catalog.backtests import preds
+from tapework.catalog.features import SEQUENCE_SQL, rounded_sequences
 from tapework.catalog.base import PRICES, grade_sql, query, r, rnd, rsql, using
 from tapework.functions import scalar as X
 from tapework.operators import backtest, columns as C, features, quality, ranking
@@ -29,6 +32,27 @@ def csv_scan_bars(spark, sf):
     return files.read_raw(spark, landed(spark, sf))
 
 
+MIXED = """SELECT ticker, date, CASE WHEN k = 2 THEN NULL ELSE open END AS open, high, low, close,
+    CASE WHEN k = 0 THEN close END AS adj_close, CASE WHEN k = 1 THEN NULL ELSE volume END AS volume
+    FROM (SELECT *, CAST(o AS INTEGER) % 3 AS k FROM (SELECT *, substr(ticker, 1, 1) AS o FROM bars))"""
+
+
+@query("csv_scan_mixed", using("bars", MIXED))
+def csv_scan_mixed(spark, sf):
+    """One tree whose files differ in columns, their order and the name of the date."""
+    rows, path = full_bars(spark, sf), scratch(spark, "mixed")
+    shapes = {0: ("Date", "Open", "High", "Low", "Close", "Adj Close", "Volume"), 1: ("Close", "Datetime", "Low", "High", "Open"),
+              2: ("timestamp", " HIGH ", "low", "close", "Volume")}
+    for k, names in shapes.items():
+        kind = lambda n: n.strip().lower().replace(" ", "_").replace("datetime", "date").replace("timestamp", "date")
+        part = rows.where(F.substring("ticker", 1, 1).cast("int") % 3 == k)
+        # Volumes are written as decimals, as some feeds do.
+        cells = [(F.col(kind(n)).cast("double") if kind(n) == "volume" else F.col(kind(n))).alias(n) for n in names]
+        part.select("ticker", *cells).write.partitionBy("ticker").option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).mode("append").csv(f"{path}/raw")
+    return files.read_raw(spark, f"{path}/raw")
+
+
 @query("raw_landing", using("bars", f"SELECT ticker, '{DAY}' AS ingest_date, count(*) AS rows FROM bars GROUP BY 1"))
 def raw_landing(spark, sf):
     path = landed(spark, sf)
@@ -92,21 +116,21 @@ FIELDS = "ticker, \"timestamp\", period, \"interval\", open, high, low, close, v
 
 
 @query("bounded_topic_read", using("messages", f"""SELECT "offset", {FIELDS} FROM messages
-    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "offset" DESC) <= 450"""))
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) <= 450"""))
 def bounded_topic_read(spark, sf):
-    return topics.bounded_read(decoded(spark, sf), 450)
+    return topics.bounded_read(decoded(spark, sf), 450).drop("topic", "partition")
 
 
 @query("bounded_topic_read_oldest", using("messages", f"""SELECT "offset", {FIELDS} FROM messages
-    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "offset") <= 450"""))
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_ts, topic DESC, partition, "offset") <= 450"""))
 def bounded_topic_read_oldest(spark, sf):
-    return topics.bounded_read(decoded(spark, sf), 450, newest=False)
+    return topics.bounded_read(decoded(spark, sf), 450, newest=False).drop("topic", "partition")
 
 
 @query("latest_topic_read", using("messages", f"""SELECT "offset", {FIELDS} FROM messages
-    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "offset" DESC) <= least(50, 450)"""))
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) <= least(50, 450)"""))
 def latest_topic_read(spark, sf):
-    return topics.latest_read(decoded(spark, sf), 450)
+    return topics.latest_read(decoded(spark, sf), 450).drop("topic", "partition")
 
 
 def records(spark, sf):
@@ -116,7 +140,7 @@ def records(spark, sf):
 
 
 def decoded(spark, sf):
-    return topics.well_formed(topics.decode(records(spark, sf))).select("offset", *topics.FIELDS)
+    return topics.well_formed(topics.decode(records(spark, sf))).select("topic", "partition", "offset", *topics.FIELDS)
 
 
 @query("message_encode", using("messages", """SELECT topic, ticker AS key, ticker, "timestamp", close, volume FROM messages"""))
@@ -126,7 +150,12 @@ def message_encode(spark, sf):
     return sent.select("topic", "key", back.alias("m")).select("topic", "key", "m.*")
 
 
-@query("crc_partition")
+# The tickers; the checksum itself has no SQL function.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("crc_partition", using("messages", "SELECT ticker, p.partition, count(*) AS rows FROM messages m JOIN (VALUES " + ", ".join(
+    f"('{t}', {zlib.crc32(t.encode()) % 16})" for t in EVENT_TYPES) + ") p(name, partition) ON p.name = m.ticker GROUP BY 1, 2"))
 def crc_partition(spark, sf):
     return messages(spark, sf).groupBy("ticker", X.topic_partition(F.col("ticker")).alias("partition")).agg(
         F.count(F.lit(1)).alias("rows"))
@@ -195,14 +224,14 @@ def registry_summary(spark, sf):
     return registry.summary(stored_registry(spark, sf))
 
 
-@query("sequence_sink")
+@query("sequence_sink", SEQUENCE_SQL)
 def sequence_sink(spark, sf):
     rows = R.tiled(features.positioned(bars(spark, sf)), ["ticker"], features.with_log_returns, lookback=1)
     names = [f"{p}_log_return" for p in PRICES]
     made = features.sequences(features.plain(rows.where("close_log_return is not null")), names, "close_log_return", 30, 3)
     path = scratch(spark, "sequences")
     files.write_sequences(made, path)
-    return spark.read.schema(made.schema).parquet(path)
+    return rounded_sequences(spark.read.schema(made.schema).parquet(path))
 
 
 @query("row_counts", using("bars", "SELECT 'raw' AS source, count(*) AS rows FROM bars UNION ALL SELECT 'processed', count(*) FROM bars"))

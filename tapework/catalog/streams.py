@@ -18,8 +18,11 @@ def staged(spark, sf, rows=None, broken=False):
     rows = messages(spark, sf) if rows is None else rows
     value = F.to_json(F.struct(*topics.FIELDS))
     if broken:
-        value = F.when(F.col("offset") % 10 == 0, F.lit("not json")).when(
-            F.col("offset") % 10 == 1, F.to_json(F.struct("timestamp", "close"))).otherwise(value)
+        rest = [c for c in topics.FIELDS if c != "volume"]
+        case = F.col("offset") % 10
+        value = (F.when(case == 0, F.lit("not json")).when(case == 1, F.to_json(F.struct("timestamp", "close")))
+                 .when(case == 2, F.to_json(F.struct(*rest, F.lit("NaN").alias("volume"))))
+                 .when(case == 3, F.to_json(F.struct(*rest, F.lit("1e30").alias("volume")))).otherwise(value))
     records = materialize(rows.select(F.col("ticker").alias("key"), value.alias("value"), "topic", "partition", "offset"), "records")
     last = records.agg(F.max("offset").alias("m")).select("m").scalar()
     path = scratch(spark, "topic")
@@ -42,7 +45,7 @@ def stream_decode(spark, sf):
 
 
 @query("stream_quarantine", using("messages", """SELECT 'good' AS sink, count(*) AS rows, sum("offset")::BIGINT AS offsets FROM messages
-    WHERE "offset" % 10 > 1 UNION ALL SELECT 'bad', count(*), sum("offset")::BIGINT FROM messages WHERE "offset" % 10 <= 1"""))
+    WHERE "offset" % 10 > 3 UNION ALL SELECT 'bad', count(*), sum("offset")::BIGINT FROM messages WHERE "offset" % 10 <= 3"""))
 def stream_quarantine(spark, sf):
     good, bad, chk = paths(spark, "good", "bad")
     C.quarantine(staged(spark, sf, broken=True), good, bad, chk).awaitTermination()
@@ -70,7 +73,7 @@ def stream_suppress(spark, sf):
 
 
 LATEST = """SELECT ticker, period, "interval", "offset", "timestamp", close FROM messages
-    QUALIFY row_number() OVER (PARTITION BY ticker, period, "interval" ORDER BY "offset" DESC) = 1"""
+    QUALIFY row_number() OVER (PARTITION BY ticker, period, "interval" ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) = 1"""
 
 
 def latest_table(spark, sf):
@@ -86,7 +89,7 @@ def stream_latest(spark, sf):
 
 
 @query("stream_ttl_latest", using("messages", """SELECT ticker, period, "interval", close, ttl FROM (SELECT *, row_number() OVER (
-    PARTITION BY ticker, period, "interval" ORDER BY "offset" DESC) AS k FROM messages) CROSS JOIN (VALUES (60), (300), (3600)) t(ttl)
+    PARTITION BY ticker, period, "interval" ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) AS k FROM messages) CROSS JOIN (VALUES (60), (300), (3600)) t(ttl)
     WHERE k = 1 AND (SELECT max(event_ts) FROM messages) - event_ts < to_seconds(ttl)"""))
 def stream_ttl_latest(spark, sf):
     out, q = latest_table(spark, sf)
@@ -99,8 +102,9 @@ def stream_ttl_latest(spark, sf):
 
 def candle_sql(width, keys, views="messages"):
     k = ", ".join(keys)
-    return f"""SELECT {k}, bucket, arg_min(close, "offset") AS open, max(high) AS high, min(low) AS low, arg_max(close, "offset") AS close,
-        count(*) AS volume FROM (SELECT *, CAST(date_trunc('{width}', event_ts) AS TIMESTAMP) AS bucket FROM m)
+    order = 'event_ts, topic, partition, "offset"'
+    return f"""SELECT {k}, bucket, first(open ORDER BY {order}) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY {order}) AS close,
+        CAST(sum(volume) AS BIGINT) AS volume FROM (SELECT *, CAST(date_trunc('{width}', event_ts) AS TIMESTAMP) AS bucket FROM m)
         WHERE bucket + INTERVAL 1 {width} <= (SELECT max(event_ts) FROM messages) - INTERVAL 1 HOUR GROUP BY {k}, bucket"""
 
 
@@ -112,7 +116,9 @@ def stream_ohlc(spark, sf):
 
 
 @query("stream_tick_merge", using("messages", candle_sql("hour", ["ticker", '"interval"']),
-       m="""SELECT * REPLACE (CASE WHEN "interval" = 'tick' THEN '1m' ELSE "interval" END AS "interval") FROM messages"""))
+       m="""SELECT * REPLACE (CASE WHEN "interval" = 'tick' THEN '1m' ELSE "interval" END AS "interval",
+       CASE WHEN "interval" = 'tick' THEN close ELSE open END AS open, CASE WHEN "interval" = 'tick' THEN close ELSE high END AS high,
+       CASE WHEN "interval" = 'tick' THEN close ELSE low END AS low, CASE WHEN "interval" = 'tick' THEN 1 ELSE volume END AS volume) FROM messages"""))
 def stream_tick_merge(spark, sf):
     out, chk = paths(spark, "merged")
     folded = C.fold_ticks(C.with_event_time(topics.decode(staged(spark, sf))), "1m")
@@ -143,25 +149,45 @@ def stream_dual_sink(spark, sf):
     return stored.unionByName(sent)
 
 
-@query("stream_status")
+@query("stream_status", using("messages", """SELECT 'stopped' AS status, CAST(NULL AS VARCHAR) AS mode, count(*) AS input_rows,
+    count(DISTINCT ticker) AS tickers, count(DISTINCT ticker) AS cached_tickers FROM messages"""))
 def stream_status(spark, sf):
     out, q = latest_table(spark, sf)
     q.awaitTermination()
-    return C.status(q, spark, "instant", messages(spark, sf), C.read_latest(spark, out))
+    landed, chk = paths(spark, "landed")
+    C.land(staged(spark, sf), landed, chk).awaitTermination()
+    return C.status(q, spark, "instant", messages(spark, sf), C.read_latest(spark, out), spark.read.parquet(landed))
 
 
-@query("stream_latency")
+# Every message is consumed user_id % 977 milliseconds after it was produced.
+@query("stream_latency", using("messages", """SELECT ticker, count(*) AS messages, CAST(floor(quantile_cont(d, 0.5)) AS BIGINT) AS p50_ms,
+    CAST(floor(quantile_cont(d, 0.95)) AS BIGINT) AS p95_ms, CAST(floor(quantile_cont(d, 0.99)) AS BIGINT) AS p99_ms
+    FROM (SELECT ticker, volume % 977 AS d FROM messages) GROUP BY 1"""))
 def stream_latency(spark, sf):
     out, chk = paths(spark, "timed")
-    q = C.to_table(C.measured(C.with_event_time(topics.decode(staged(spark, sf)))), out, chk)
-    q.awaitTermination()
-    return C.latency_rows(q, spark)
+    timed = C.with_event_time(topics.decode(staged(spark, sf)))
+    stamped = C.consumed(timed, F.timestamp_millis(F.unix_millis("ts") + F.col("volume") % 977))
+    C.to_table(stamped, out, chk).awaitTermination()
+    return C.latency_rows(spark.read.parquet(out))
+
+
+# Clicks come by an instant and a daily topic, purchases by an hourly and a daily one, errors daily, others instant.
+PLACE = """CASE WHEN ticker = 'error' THEN 2 WHEN ticker = 'purchase' THEN CASE WHEN "offset" % 3 = 0 THEN 1 ELSE 2 END
+    WHEN ticker = 'click' THEN CASE WHEN "offset" % 2 = 0 THEN 0 ELSE 2 END ELSE 0 END"""
+
+
+def spread(rows):
+    even, third = F.col("offset") % 2 == 0, F.col("offset") % 3 == 0
+    kind = (F.when(F.col("ticker") == "error", "daily").when(F.col("ticker") == "purchase", F.when(third, "hourly").otherwise("daily"))
+            .when(F.col("ticker") == "click", F.when(even, "instant").otherwise("daily")).otherwise("instant"))
+    return rows.withColumn("topic", F.concat_ws("_", kind, F.lower("ticker")))
 
 
 # The newest 450 candle messages per ticker, one row per time, then the serving features' last row.
 ONLINE = {
-    "recent": """SELECT ticker, event_ts AS date, open, high, low, close, volume FROM messages WHERE "interval" <> 'tick'
-        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "offset" DESC) <= 450""",
+    "recent": f"""SELECT ticker, event_ts AS date, open, high, low, close, volume FROM (SELECT * FROM (SELECT *, {PLACE} AS place
+        FROM messages WHERE "interval" <> 'tick') QUALIFY place = min(place) OVER (PARTITION BY ticker))
+        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) <= 450""",
     "rlog": "SELECT *, " + ", ".join(f"ln(nullif({p}, 0)) AS {p}_log" for p in PRICES) + " FROM recent",
     "ret": "SELECT *, " + ", ".join(
         f"coalesce({p}_log - lag({p}_log) OVER (PARTITION BY ticker ORDER BY date), 0.0) AS {p}_log_return" for p in PRICES) + " FROM rlog",
@@ -176,6 +202,6 @@ ONLINE = {
     QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1""", **ONLINE))
 def online_features(spark, sf):
     out, chk = paths(spark, "landed")
-    C.land(staged(spark, sf), out, chk).awaitTermination()
+    C.land(staged(spark, sf, spread(messages(spark, sf))), out, chk).awaitTermination()
     rows = C.online_features(spark.read.parquet(out), NAMES)
     return rounded(rows, NAMES).withColumn("ts", F.col("ts").cast(NTZ))

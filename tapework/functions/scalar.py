@@ -22,10 +22,22 @@ def numeric_or_zero(value: Column) -> Column:
     return F.coalesce(F.nanvl(value.try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
 
 
+# Other ways in which times are written, month before day where both are numbers.
+TIME_FORMATS = ("yyyyMMdd HHmmss", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy",
+                "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "MMM d yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
+                "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
+
+
 def parse_timestamp(text: Column) -> Column:
-    """Tolerant UTC parse: a trailing Z, an offset, or no zone (UTC); junk gives NULL."""
+    """Tolerant UTC parse: a trailing Z, an offset, or no zone (UTC); then other common ways to write
+    a time (month names, slashes, mail headers, digits only). A time without a day and junk give NULL.
+    """
     cleaned = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
-    return cleaned.try_cast("timestamp")
+    spelled = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9}, *(?=[0-9])", ""), ", *| +", " ")
+    others = F.coalesce(*[F.try_to_timestamp(spelled, F.lit(f)) for f in TIME_FORMATS])
+    return (F.when(cleaned.rlike(r"^\d{8}$"), F.try_to_timestamp(cleaned, F.lit("yyyyMMdd")))
+            .when(cleaned.rlike(r"^T?\d{1,2}:\d{2}"), F.lit(None).cast("timestamp"))
+            .otherwise(F.coalesce(cleaned.try_cast("timestamp"), others)))
 
 
 def epoch_millis(text: Column) -> Column:

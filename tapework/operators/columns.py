@@ -29,16 +29,22 @@ def with_date(df: DataFrame) -> DataFrame:
     return out if found == "date" else out.drop(found)
 
 
+def cast_to(value: Column, kind: T.DataType) -> Column:
+    """``try_cast``; whole numbers may be written as decimals (``1000.0``) or in exponent form."""
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        return F.coalesce(value.try_cast(kind), F.nanvl(value.try_cast("double"), F.lit(None).cast("double")).try_cast(kind))
+    return value.try_cast(kind)
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Canonical bar columns that are present, in order, with their declared types."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name)
-                       for f in S.BAR if f.name in df.columns])
+    return df.select(*[cast_to(F.col(f.name), f.dataType).alias(f.name) for f in S.BAR if f.name in df.columns])
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """All canonical columns; missing ones are typed NULLs."""
-    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns
-                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in S.BAR])
+def conform(df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """All canonical columns, and those named in ``more``; missing ones are typed NULLs."""
+    return df.select(*[(cast_to(F.col(f.name), f.dataType) if f.name in df.columns
+                        else F.lit(None).cast(f.dataType)).alias(f.name) for f in S.BAR], *more)
 
 
 def default_ticker(extracted: Column, default: str | None) -> Column:

@@ -6,11 +6,13 @@ computes a whole frame. A rolling value exists only when its window is full of v
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapework import schemas as S
 from tapework.operators import clean, columns
@@ -68,38 +70,84 @@ def with_shifted_stats(rows: DataFrame, w: WindowSpec, value: str = "close_log_r
     return rows.withColumns(out)
 
 
-def ema_reach(span: int) -> int:
-    """Rows after which an older value's weight is below double precision."""
-    return math.ceil(42.0 / -math.log(1 - 2 / (span + 1)))
+#: Rows per block of an exponential mean. A span of 2 decays by 1.1 e-folds a row, so the powers of
+#: a block stay far inside the range of a double for every span.
+EMA_BLOCK = 512
 
 
 def with_emas(df: DataFrame, value: str = "close", spans: Sequence[int] = S.EMA_SPANS,
-              keys: Sequence[str] = ("ticker",), block_rows: int = 640) -> DataFrame:
-    """Recursive exponential means for several spans in one pass; rows must carry positions.
-
-    With q = 1 - alpha the recursion unrolls to ``q^j * sum(u_i * q^-i)``, where the first row
-    enters whole and later rows enter scaled by alpha: a running sum. Blocks start
-    ``ema_reach`` rows early, where older values no longer change a double, and are short enough
-    (600 e-folds) to keep the powers in range.
+              keys: Sequence[str] = ("ticker",), block_rows: int = EMA_BLOCK) -> DataFrame:
+    """Recursive exponential means for several spans; rows must carry positions.
+
+    The first value enters whole. A NULL keeps the mean, and the gap counts: after d rows without a
+    value the old mean has weight q^d against alpha, with q = 1 - alpha. Written as
+    ``y = a y' + b x``, a block turns the mean before it into the mean after it by one multiplication
+    and one addition. Blocks are reduced to that, the carries run along the block table of a series,
+    and inside a block everything is running sums, so no value is cut off whatever the span.
     """
-    reach = max(ema_reach(s) for s in spans)
-    block_rows = max(block_rows, reach)
-
-    def build(rows, w):
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("_j", F.row_number().over(w) - 1)
-        for s in spans:
-            alpha = 2 / (s + 1)
-            q = 1 - alpha
-            if (reach + block_rows) * -math.log(q) > 600:
-                raise ValueError(f"blocks of {block_rows} rows are too long for span {s}")
-            share = F.when(F.col("_j") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            grown = F.col(value) * share * F.pow(F.lit(1 / q), F.col("_j"))
-            rows = rows.withColumn(f"_g_{s}", grown)
-            rows = rows.withColumn(f"{value}_ema_{s}", F.sum(f"_g_{s}").over(run) * F.pow(F.lit(q), F.col("_j")))
-        return rows.drop("_j", *[f"_g_{s}" for s in spans])
-
-    return R.tiled(df, keys, build, lookback=reach, block_rows=block_rows)
+    keys = list(keys)
+    weights = [(s, 2 / (s + 1), 1 - 2 / (s + 1)) for s in spans]
+    blocked = df.withColumn(R.BLOCK, F.expr(f"{R.POS} div {block_rows}"))
+    w = Window.partitionBy(*keys, R.BLOCK).orderBy(R.POS)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col(value).isNotNull(), F.col(R.POS))
+    rows = blocked.withColumns({"_at": own, "_last": F.last(own, ignorenulls=True).over(before),
+                                "_first": F.min(own).over(so_far), "_x": F.first(value, ignorenulls=True).over(so_far)})
+    # Later values of the block, relative to its first one: mean = keep * first mean + local.
+    step = F.col("_at") - F.col("_last")
+    falls, locals_ = {}, {}
+    for s, alpha, q in weights:
+        if s == 1:
+            falls["_s_1"] = F.lit(0.0)
+            continue
+        falls[f"_s_{s}"] = F.coalesce(F.sum(F.when(step.isNotNull(), F.log1p(F.lit(alpha) * F.pow(F.lit(1 / q), step)))).over(so_far), F.lit(0.0))
+    rows = rows.withColumns(falls)
+    for s, alpha, q in weights:
+        if s == 1:
+            locals_["_l_1"] = F.last(value, ignorenulls=True).over(so_far)
+            continue
+        share = F.lit(alpha) / (F.pow(F.lit(q), step) + F.lit(alpha))
+        grown = F.sum(F.when(step.isNotNull(), share * F.col(value) * F.exp(f"_s_{s}"))).over(so_far)
+        locals_[f"_l_{s}"] = F.coalesce(grown, F.lit(0.0)) * F.exp(-F.col(f"_s_{s}"))
+    rows = rows.withColumns(locals_)
+    ends = rows.groupBy(*keys, R.BLOCK).agg(
+        F.max("_at").alias("_last"), F.min("_at").alias("_first"), F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col(R.POS))).alias("_x"),
+        *[F.max_by(c, R.POS).alias(c) for s in spans for c in (f"_s_{s}", f"_l_{s}")])
+    carries = ends.groupBy(*keys).applyInPandas(
+        _ema_carries(weights), T.StructType([ends.schema[k] for k in (*keys, R.BLOCK)] + [
+            T.StructField(n, T.DoubleType()) for s in spans for n in (f"_in_{s}", f"_f_{s}")]))
+    out = {}
+    for s, _, _ in weights:
+        keep = F.lit(0.0) if s == 1 else F.exp(-F.col(f"_s_{s}"))
+        inside = keep * F.col(f"_f_{s}") + F.col(f"_l_{s}")
+        out[f"{value}_ema_{s}"] = F.when(F.col("_first").isNull(), F.col(f"_in_{s}")).otherwise(inside)
+    kept = [c for c in df.columns]
+    return rows.join(carries, [*keys, R.BLOCK]).select(*kept, *[c.alias(n) for n, c in out.items()])
+
+
+def _ema_carries(weights: Sequence[tuple[int, float, float]]):
+    """Per block of a series, in order: the mean before it and the mean at its first value."""
+    alpha, q = np.array([w[1] for w in weights]), np.array([w[2] for w in weights])
+    one = np.array([w[0] == 1 for w in weights])
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values(R.BLOCK)
+        falls = blocks[[f"_s_{w[0]}" for w in weights]].to_numpy(float)
+        local = blocks[[f"_l_{w[0]}" for w in weights]].to_numpy(float)
+        mean, last = np.full(len(weights), np.nan), None
+        incoming, firsts = np.empty_like(falls), np.full_like(falls, np.nan)
+        for k, (first, x, end) in enumerate(zip(blocks["_first"], blocks["_x"], blocks["_last"])):
+            incoming[k] = mean
+            if first == first and first is not None:
+                old = 0.0 if last is None else q ** (first - last)
+                firsts[k] = x if last is None else (old * mean + alpha * x) / (old + alpha)
+                mean = np.where(one, 0.0, np.exp(-falls[k])) * firsts[k] + local[k]
+                last = end
+        out = blocks[[c for c in blocks.columns if not c.startswith(("_s_", "_l_")) and c not in ("_last", "_first", "_x")]].copy()
+        for i, w in enumerate(weights):
+            out[f"_in_{w[0]}"], out[f"_f_{w[0]}"] = incoming[:, i], firsts[:, i]
+        return out.replace({np.nan: None}).astype({f"_{n}_{w[0]}": "float64" for w in weights for n in ("in", "f")})
+    return run
 
 
 def with_price_features(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -156,8 +204,10 @@ def inference_frame(bars: DataFrame, lookback: int = S.LOOKBACK, order: str = "d
     frame = R.tiled(numbered, ["ticker"], build, lookback=max(S.LAGS) + 1)
     # The fill reads the frame twice (rows and block totals), so it is computed once and stored.
     frame = materialize(columns.infinities_to_null(frame), "serving")
-    fill = [c for c in frame.columns if c not in ("ticker", order, R.POS, R.ROWS) and c not in bars.columns]
-    return plain(clean.fill_chain(frame, [*S.PRICES, *fill]))
+    numbers = [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType) and f.name not in (R.POS, R.ROWS, order)]
+    filled = plain(clean.fill_chain(frame, numbers))
+    whole = {f.name: f.dataType for f in frame.schema if f.name in numbers and not isinstance(f.dataType, T.DoubleType)}
+    return filled.withColumns({c: F.col(c).cast(kind) for c, kind in whole.items()})
 
 
 def inference_frame_raw(bars: DataFrame, lookback: int = S.LOOKBACK) -> DataFrame:

@@ -47,6 +47,13 @@ def _pair_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
 
 
+def centred(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns less their mean over the ticker, which goes to ``_c_{column}``. Sums of squares and
+    products then keep their digits; lines and spreads do not depend on the shift."""
+    means = rows.groupBy("ticker").agg(*[F.avg(c).alias(f"_c_{c}") for c in columns])
+    return rows.join(means, "ticker").withColumns({c: F.col(c) - F.col(f"_c_{c}") for c in columns})
+
+
 def _line(n="n", sx="sx", sy="sy", sxx="sxx", sxy="sxy") -> tuple[Column, Column]:
     n, sx, sy, sxx, sxy = map(F.col, (n, sx, sy, sxx, sxy))
     slope = (sxy - sx * sy / n) / F.nullif(sxx - sx * sx / n, F.lit(0.0))
@@ -55,7 +62,7 @@ def _line(n="n", sx="sx", sy="sy", sxx="sxx", sxy="sxy") -> tuple[Column, Column
 
 def ols1_forecast(frame: DataFrame, n_splits: int = S.N_SPLITS) -> DataFrame:
     """Least-squares line of ``y`` on ``x``, per expanding fold, applied to its test rows."""
-    rows = splits.with_segments(frame, n_splits=n_splits)
+    rows = centred(splits.with_segments(frame, n_splits=n_splits), ["x", "y"])
     earlier = Window.partitionBy("ticker").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     sums = _pair_sums(rows, ["ticker", "segment"]).select(
         "ticker", "segment", *[F.sum(c).over(earlier).alias(c) for c in _SUMS])
@@ -63,13 +70,13 @@ def ols1_forecast(frame: DataFrame, n_splits: int = S.N_SPLITS) -> DataFrame:
     lines = sums.where("segment > 0").select("ticker", (F.col("segment") - 1).alias("fold"),
                                              slope.alias("slope"), intercept.alias("intercept"))
     return (splits.test_rows(rows, n_splits).join(lines, KEYS)
-            .select(*KEYS, "date", (F.col("slope") * F.col("x") + F.col("intercept")).alias("pred"),
-                    F.col("y").alias("actual"), R.POS, R.ROWS))
+            .select(*KEYS, "date", (F.col("slope") * F.col("x") + F.col("intercept") + F.col("_c_y")).alias("pred"),
+                    (F.col("y") + F.col("_c_y")).alias("actual"), R.POS, R.ROWS))
 
 
 def walk_forward_forecast(frame: DataFrame, start: int = S.LOOKBACK, step: int = S.WALK_STEP) -> DataFrame:
     """Line refitted before every step on all earlier rows, from running sums over the steps."""
-    rows = R.with_position(frame, ["ticker"], ["date"])
+    rows = centred(R.with_position(frame, ["ticker"], ["date"]), ["x", "y"])
     # Piece 0 holds the first training rows, piece k the rows of step k.
     pieces = rows.withColumn("piece", F.greatest(F.expr(f"({R.POS} - {start}) div {step} + 1"), F.lit(0)))
     pieces = pieces.withColumn("piece", F.when(F.col(R.POS) < start, F.lit(0)).otherwise(F.col("piece")))
@@ -80,8 +87,8 @@ def walk_forward_forecast(frame: DataFrame, start: int = S.LOOKBACK, step: int =
     test = (pieces.where(F.col("piece") > 0).withColumn("fold", F.col("piece") - 1)
             .where((F.col("fold") + 1) * step + start <= F.col(R.ROWS)))
     return test.join(lines, KEYS).select(
-        *KEYS, "date", (F.col("slope") * F.col("x") + F.col("intercept")).alias("pred"), F.col("y").alias("actual"),
-        (F.col(R.POS) - start - F.col("fold") * step).alias(R.POS), F.lit(step).cast("bigint").alias(R.ROWS))
+        *KEYS, "date", (F.col("slope") * F.col("x") + F.col("intercept") + F.col("_c_y")).alias("pred"),
+        (F.col("y") + F.col("_c_y")).alias("actual"), (F.col(R.POS) - start - F.col("fold") * step).alias(R.POS), F.lit(step).cast("bigint").alias(R.ROWS))
 
 
 def train_stats(segmented: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -90,14 +97,26 @@ def train_stats(segmented: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("_n"),
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.var_pop(c).alias(f"_v_{c}") for c in columns])
     earlier = Window.partitionBy("ticker").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.sum("_n").over(earlier)
-    out = []
-    for c in columns:
-        mean = F.sum(F.col("_n") * F.col(f"_m_{c}")).over(earlier) / n
-        square_mean = F.sum(F.col("_n") * (F.col(f"_v_{c}") + F.col(f"_m_{c}") * F.col(f"_m_{c}"))).over(earlier) / n
-        out += [mean.alias(f"{c}_mean"), F.sqrt(F.greatest(square_mean - mean * mean, F.lit(0.0))).alias(f"{c}_std")]
-    return per.select("ticker", "segment", *out).where("segment > 0").withColumn(
-        "fold", F.col("segment") - 1).drop("segment")
+    # A fold merges a handful of segments. Deviations are taken from the merged mean, so large values
+    # with a small spread lose no digits.
+    merged = per.select("ticker", "segment", F.collect_list(F.struct("_n", *[f"_{k}_{c}" for c in columns for k in "mv"])).over(earlier).alias("_s"))
+
+    def total(value) -> Column:
+        return F.aggregate(F.transform("_s", value), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+    n = F.nullif(total(lambda s: s["_n"]), F.lit(0.0))
+    merged = merged.withColumns({f"{c}_mean": total(_sum_of(c)) / n for c in columns})
+    spread = {f"{c}_std": F.sqrt(total(_about(c)) / n) for c in columns}
+    return merged.withColumns(spread).where("segment > 0").withColumn("fold", F.col("segment") - 1).drop("segment", "_s")
+
+
+def _sum_of(c: str) -> Callable[[Column], Column]:
+    return lambda s: s["_n"] * s[f"_m_{c}"]
+
+
+def _about(c: str) -> Callable[[Column], Column]:
+    """Squared deviations of a segment from the merged mean."""
+    return lambda s: s["_n"] * (s[f"_v_{c}"] + (s[f"_m_{c}"] - F.col(f"{c}_mean")) * (s[f"_m_{c}"] - F.col(f"{c}_mean")))
 
 
 def standardize(frame: DataFrame, columns: Sequence[str], n_splits: int = S.N_SPLITS) -> DataFrame:
@@ -125,11 +144,15 @@ def ridge_models(frame: DataFrame, names: Sequence[str], target: str = "target",
     """
     rows = frame if "segment" in frame.columns else splits.with_segments(frame, n_splits=n_splits)
     columns = [*names, target]
+    # Cross products of values less the ticker's means keep their digits; the means are added back.
+    rows = centred(rows.select("ticker", "segment", *columns), columns)
+    shifts = rows.groupBy("ticker").agg(F.array(*[F.first(f"_c_{c}") for c in columns]).alias("shift"))
+    rows = rows.select("ticker", "segment", *columns)
     earlier = Window.partitionBy("ticker", "i", "j").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     cells = (gram(rows, ["ticker", "segment"], columns)
              .select("ticker", "segment", "i", "j", F.sum("s").over(earlier).alias("s")).where("segment > 0")
              .groupBy("ticker", (F.col("segment") - 1).alias("fold"))
-             .agg(F.collect_list(F.struct("i", "j", "s")).alias("cells")))
+             .agg(F.collect_list(F.struct("i", "j", "s")).alias("cells")).join(shifts, "ticker"))
     d, strengths = len(columns) + 1, [float(s) for s in strengths]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,6 +165,7 @@ def ridge_models(frame: DataFrame, names: Sequence[str], target: str = "target",
                 scale = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
                 scale[scale == 0] = 1.0
                 a, b = n * cov[:-1, :-1] / np.outer(scale, scale), n * cov[:-1, -1] / scale
+                mean = mean + np.asarray(row.shift, dtype=float)
                 for k, s in enumerate(strengths):
                     w = np.linalg.solve(a + s * np.eye(len(b)), b)
                     out.append((row.ticker, row.fold, k, s, mean[:-1].tolist(), scale.tolist(), w.tolist(), mean[-1]))
@@ -197,9 +221,10 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
                  rounds: int = 500, holdout: float = 0.1, parallelism: int = 4) -> DataFrame:
     """Boosted trees per (ticker, fold), each fitted by a distributed job; a few run at once.
 
-    The last part of the training rows decides when to stop; rows that were fitted would never say
-    so. Rows are stored by ticker, so a fit reads its own folder only. The list of
-    (ticker, fold) pairs is the only thing read by the driver.
+    The last part of the training rows decides when to stop: at the first round that makes their
+    error larger. The target is standardised by the fold's training rows and scaled back, so the
+    number of rounds does not depend on its units. Rows are stored by ticker, so a fit reads its own
+    folder only. The list of (ticker, fold) pairs is the only thing read by the driver.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -215,11 +240,13 @@ def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target",
         end = F.col(R.ROWS) - (n_splits - seg + 1) * size
         train = (rows.where((F.col("ticker") == ticker) & (F.col("segment") < seg))
                  .withColumn("late", F.col(R.POS) >= end * (1 - holdout)))
+        mean, std = train.agg(F.avg(target), F.stddev_pop(target)).first()
+        std = std or 1.0
         model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred", maxDepth=5, maxIter=rounds,
                              stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42,
-                             validationIndicatorCol="late").fit(train)
+                             validationIndicatorCol="late", validationTol=0.0).fit(train.withColumn(target, (F.col(target) - mean) / std))
         test = rows.where((F.col("ticker") == ticker) & (F.col("segment") == seg))
-        return model.transform(test).select("ticker", (F.col("segment") - 1).alias("fold"), "date", "pred",
+        return model.transform(test).select("ticker", (F.col("segment") - 1).alias("fold"), "date", (F.col("pred") * std + mean).alias("pred"),
                                             F.col(target).alias("actual"))
 
     with ThreadPoolExecutor(parallelism) as pool:

@@ -154,13 +154,14 @@ def tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column
 
     Slots that lie wholly before the tail are discarded from their counts alone. What is left is
     ranked in salted parts first, so even a slot with very many rows reaches the final ranking as
-    at most ``SALTS * most`` rows.
+    at most ``SALTS * most`` rows. A limit above ``most`` raises.
     """
     keys = list(keys)
     most = limit if isinstance(limit, int) else most
     if most is None:
         raise ValueError("a limit column needs an upper bound")
-    limit = F.lit(limit) if isinstance(limit, int) else limit
+    limit = F.lit(limit) if isinstance(limit, int) else F.when(limit > most, F.raise_error(F.concat(
+        F.lit(f"a limit is above the bound of {most}: "), limit.cast("string"))).cast("int")).otherwise(limit)
     slotted = df.withColumn(SLOT, time_slot(df, order[0], slot_width)).withColumn("_limit", limit)
     after = Window.partitionBy(*keys).orderBy(F.col(SLOT).desc()).rowsBetween(*_EARLIER)
     needed = (

@@ -30,11 +30,16 @@ def local_session(cpus: str = "8", app: str = "tapework") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only on a local master that has none.
+
+    On a cluster every executor would write a temporary folder to its own disk, so that raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tapework-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,16 +39,49 @@ def land_raw(bars: DataFrame, prefix: str, ingest_date: str) -> str:
     return target
 
 
-def read_raw(spark: SparkSession, path: str, default_ticker: str | None = None,
-             schema: T.StructType = S.RAW_CSV, with_source: bool = False) -> DataFrame:
-    """Raw CSV tree to canonical bars, optionally with each row's file."""
-    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-           .option("recursiveFileLookup", True).csv(path))
-    named = C.normalize_columns(raw.select("*", F.col("_metadata.file_path").alias("source_file")))
-    tagged = named.withColumn("ticker", C.default_ticker(path_ticker(F.col("source_file")), default_ticker))
-    dated = C.with_date(tagged)
-    bars = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in S.BAR if f.name in dated.columns]
-    return dated.select(*bars, "source_file") if with_source else C.canonical(dated)
+# A header names its date column; a line of data never does.
+_HEADER = r'(?i)(^|,)\s*"?\s*(date|timestamp|datetime)\s*"?\s*(,|$)'
+
+
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header lines of a raw tree and the files that begin with each of them.
+
+    The lines are found by their date column, in one scan; what reaches the driver is the list of
+    files, which it holds for any read of the tree, and a few kinds of headers.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    found = lines.where(F.col("value").rlike(_HEADER)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    firsts = found.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in firsts.orderBy("file").collect():
+        out.setdefault(r.header, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r.file)))
+    return out
+
+
+def read_raw(spark: SparkSession, path: str, default_ticker: str | None = None, with_source: bool = False) -> DataFrame:
+    """Raw CSV tree to canonical bars, optionally with each row's file.
+
+    Files may differ in their columns, the order of these and the name of the date (``date``,
+    ``timestamp`` or ``datetime``). Columns go by name, missing ones are NULL, others are dropped;
+    files without a date column in their header hold no bars.
+    """
+    parts = []
+    for header, names in headers(spark, path).items():
+        columns, seen = [], set()
+        for k, cell in enumerate(next(csv.reader([header]))):
+            name = cell.strip().lower().replace(" ", "_") or f"_c{k}"
+            columns.append(name if name not in seen else f"_{k}_{name}")
+            seen.add(name)
+        raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).option("header", True).csv(names)
+        dated = C.with_date(raw.select("*", F.col("_metadata.file_path").alias("source_file")))
+        bars = C.conform(dated.withColumn("ticker", C.default_ticker(path_ticker(F.col("source_file")), default_ticker)).select(
+            *[c for c in ("ticker", *dated.columns) if c in S.CANONICAL], "source_file"), ("source_file",))
+        parts.append(bars)
+    out = parts[0] if parts else spark.createDataFrame([], T.StructType([*S.BAR.fields, T.StructField("source_file", T.StringType())]))
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if with_source else out.drop("source_file")
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
@@ -59,14 +96,15 @@ def write_bars(bars: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
-def read_bars(spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, first_year: int | None = None, last_year: int | None = None,
+              with_year: bool = False) -> DataFrame:
     """Bars table; a range of years reads only those folders."""
     schema = T.StructType([*[f for f in S.BAR if f.name != "ticker"],
                            T.StructField("ticker", T.StringType()), T.StructField("year", T.IntegerType())])
     rows = spark.read.schema(schema).parquet(path)
     if first_year is not None:
         rows = rows.where(F.col("year").between(first_year, last_year))
-    return C.conform(rows)
+    return C.conform(rows, ("year",) if with_year else ())
 
 
 def write_report(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -22,7 +22,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("value > 0").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"), F.col("value").alias("price"), "user_id",
     )
@@ -38,8 +38,8 @@ def messages(spark: SparkSession, sf_dir: str, doubled: bool = False) -> DataFra
         F.col("seq").alias("offset"), "ticker", F.lit("1d").alias("period"),
         F.when(F.col("user_id") % 5 == 0, "tick").otherwise("1m").alias("interval"),
         F.concat(text, zone).alias("timestamp"),
-        *[F.col("price").alias(c) for c in ("open", "high", "low", "close")],
-        F.lit(0).cast("bigint").alias("volume"),
+        (F.col("price") * 1.25).alias("open"), (F.col("price") * 2).alias("high"), (F.col("price") / 2).alias("low"),
+        F.col("price").alias("close"), (F.col("user_id") % 1000 + 1).cast("bigint").alias("volume"),
     )
     if doubled:
         rows = rows.unionByName(rows.withColumn("offset", F.col("offset") + F.lit(1_000_000_000)))

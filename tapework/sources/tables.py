@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapework.operators import columns as C
 from tapework.operators.clean import keep_last
 from tapework.session import materialize
 from tapework.sources import files
@@ -17,6 +18,7 @@ KEYS = ("ticker", "date")
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str] = KEYS, arrival: str | None = None) -> DataFrame:
     """Target with the batch's rows inserted or replaced; the latest arrival in a batch wins.
+    A batch may lack columns of the target: existing rows keep theirs, new rows have NULL there.
 
     Only keys decide which target rows stay, so the target is filtered by an anti-join (against a
     broadcast key list when the batch is measured small) and is never sorted or regrouped.
@@ -26,6 +28,9 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str] = KEYS, arri
         rows = keep_last(batch, keys, arrival)
         if arrival not in target.columns:
             rows = rows.drop(arrival)
+    missing = [c for c in target.columns if c not in rows.columns]
+    if missing:  # the batch's columns are set, the others keep what the target has
+        rows = rows.join(target.select(*keys, *missing), list(keys), "left")
     return target.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
 
 
@@ -45,22 +50,27 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY
 def upsert_bars(batch: DataFrame, path: str, arrival: str | None = None) -> None:
     """Upsert into a bar table, rewriting only the ticker/year partitions the batch touches.
 
-    The years of the batch select the folders to read. The merged partitions are written to the shared folder first, so the table is never read while
-    it is being replaced and a failed run can simply be repeated.
+    The batch is stored once. Its years select the folders to read, and its tickers and years join
+    the table's partition columns, so Spark can leave out the other folders when it runs. The merged
+    partitions are written to the shared folder first, so the table is never read while it is being
+    replaced and a failed run can simply be repeated.
     """
     spark = batch.sparkSession
+    batch = materialize(batch, "batch")
     years = batch.agg(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last")).first()
     if years["first"] is None:
         return
     try:
-        current = files.read_bars(spark, path, years["first"], years["last"])
+        current = files.read_bars(spark, path, years["first"], years["last"], with_year=True)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        files.write_bars(batch if arrival is None else keep_last(batch, KEYS, arrival).drop(arrival), path)
+        first = batch if arrival is None else keep_last(batch, KEYS, arrival).drop(arrival)
+        files.write_bars(C.conform(first), path)
         return
-    touched = batch.select("ticker", F.year("date").alias("_y")).distinct()
-    part = current.withColumn("_y", F.year("date")).join(touched, ["ticker", "_y"], "left_semi").drop("_y")
+    touched = batch.select("ticker", F.year("date").alias("year")).distinct()
+    part = current.join(touched, ["ticker", "year"], "left_semi").drop("year")
+    current = current.drop("year")
     files.write_bars(materialize(upsert(part, batch, KEYS, arrival).select(*current.columns), "upsert"), path)
 
 

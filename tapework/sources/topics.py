@@ -6,7 +6,7 @@ work on the columns that source yields (key, value, topic, partition, offset), f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,15 +48,17 @@ def encode(messages: DataFrame) -> DataFrame:
 
 
 def decode(records: DataFrame) -> DataFrame:
-    """Payload fields with both spellings accepted, prices defaulting to 0, period to 1d and interval to 1m.
+    """Payload fields with both spellings accepted, missing prices 0, period 1d and interval 1m by default.
 
-    Undecodable payloads keep their row with a NULL ticker, so a caller can set them aside.
+    Undecodable payloads keep their row with a NULL ticker, and a price or volume that is no finite
+    number (or does not fit) is NULL, so a caller can set such rows aside.
     """
     def text(*names):
         return F.coalesce(*[F.nullif(F.trim(F.try_element_at("_m", F.lit(n))), F.lit("")) for n in names])
 
     def number(name):
-        return F.coalesce(text(name).try_cast("double"), text(name.title()).try_cast("double"), F.lit(0.0))
+        given = text(name, name.title())
+        return F.when(given.isNull(), F.lit(0.0)).otherwise(X.inf_to_null(given.try_cast("double")))
 
     kept = [c for c in records.columns if c not in ("key", "value")]
     return records.withColumn("_m", F.from_json("value", S.MESSAGE)).select(
@@ -64,19 +66,42 @@ def decode(records: DataFrame) -> DataFrame:
         text("timestamp", "date").alias("timestamp"),
         F.coalesce(text("period"), F.lit("1d")).alias("period"),
         F.coalesce(text("interval"), F.lit("1m")).alias("interval"),
-        *[number(p).alias(p) for p in S.PRICES], number("volume").cast("bigint").alias("volume"))
+        *[number(p).alias(p) for p in S.PRICES], number("volume").try_cast("bigint").alias("volume"))
+
+
+def is_well_formed(decoded: DataFrame) -> Column:
+    """A ticker, a time, and numbers that are numbers, as far as the frame has these columns."""
+    good = F.lit(True)
+    for name in ("ticker", "timestamp", *S.PRICES, "volume"):
+        if name in decoded.columns:
+            good = good & F.col(name).isNotNull()
+    return good
 
 
 def well_formed(decoded: DataFrame) -> DataFrame:
-    return decoded.where("ticker is not null and timestamp is not null")
+    return decoded.where(is_well_formed(decoded))
+
+
+def arrival(columns: list[str]) -> list[str]:
+    """Columns that order messages over several topics: offsets compare only inside a partition."""
+    return [c for c in ("ts", "topic", "partition", "offset") if c in columns]
 
 
 def bounded_read(decoded: DataFrame, n: int, newest: bool = True) -> DataFrame:
-    """At most ``n`` records per ticker, the newest (default) or the oldest by offset."""
+    """At most ``n`` records per ticker, the newest (default) or the oldest, by time, topic, partition
+    and offset. Records whose time cannot be read count as the oldest."""
+    if "timestamp" not in decoded.columns:
+        timed, drop = decoded, []
+    else:
+        drop = [] if "ts" in decoded.columns else ["ts"]
+        timed = decoded.withColumn("ts", F.coalesce(X.parse_timestamp(F.col("timestamp")), F.timestamp_seconds(F.lit(0))))
+    order = arrival(timed.columns)
     if newest:
-        return R.tail(decoded, ["ticker"], ["offset"], n)
-    flipped = decoded.withColumn("_back", -F.col("offset"))
-    return R.tail(flipped, ["ticker"], ["_back"], n).drop("_back")
+        return R.tail(timed, ["ticker"], order, n).drop(*drop)
+    back = {"ts": -F.unix_micros("ts") if "ts" in timed.columns else None, "partition": -F.col("partition"), "offset": -F.col("offset")}
+    flipped = timed.withColumns({f"_{c}": back.get(c, F.col(c)) for c in order})
+    width = R.SLOT_SECONDS * 1_000_000 if order[0] == "ts" else None
+    return R.tail(flipped, ["ticker"], [f"_{c}" for c in order], n, slot_width=width).drop(*drop, *[f"_{c}" for c in order])
 
 
 def latest_read(decoded: DataFrame, n: int) -> DataFrame:

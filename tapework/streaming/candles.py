@@ -8,17 +8,17 @@ source's trigger limit, which also bounds what one key can bring into a task at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapework.functions import scalar as X
-from tapework.operators import clean, columns, features, joins
+from tapework.operators import clean, columns, features, joins, ranking
 from tapework.sources import tables, topics
 
 # Run modes and how often each one fires.
@@ -62,9 +62,10 @@ def land(records: DataFrame, path: str, checkpoint: str, mode: str | None = None
 
 
 def quarantine(records: DataFrame, good: str, bad: str, checkpoint: str, mode: str | None = None) -> StreamingQuery:
-    """Good messages to one table, undecodable ones with their payload to another."""
+    """Good messages to one table; undecodable ones and ones with impossible numbers, with their
+    payload, to another."""
     def split(batch: DataFrame, number: int) -> None:
-        fine = F.col("ticker").isNotNull() & F.col("timestamp").isNotNull()
+        fine = topics.is_well_formed(batch)
         batch.persist()
         try:
             _replace_batch(batch.where(fine).drop("payload"), good, number)
@@ -102,23 +103,40 @@ def suppressed(decoded: DataFrame) -> DataFrame:
 
 
 def latest(decoded: DataFrame) -> DataFrame:
-    """Newest message per (ticker, period, interval) by arrival."""
-    rows = topics.well_formed(decoded)
+    """Newest message per (ticker, period, interval), by time, topic, partition and offset."""
+    rows = with_event_time(decoded)
     keys = ["ticker", "period", "interval"]
-    rest = [c for c in ("offset", "timestamp", "open", "high", "low", "close", "volume") if c in rows.columns]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "offset").alias("m")).select(*keys, "m.*")
+    rest = [c for c in ("ts", "topic", "partition", "offset", "timestamp", "open", "high", "low", "close", "volume") if c in rows.columns]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*topics.arrival(rows.columns))).alias("m")).select(*keys, "m.*")
+
+
+def _drop_batches_before(spark: SparkSession, path: str, batch: int) -> None:
+    """Delete the folders of earlier micro-batches."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in system.listStatus(home):
+        name = entry.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch:
+            system.delete(entry.getPath(), True)
 
 
 def keep_latest(decoded: DataFrame, path: str, checkpoint: str, mode: str | None = None) -> StreamingQuery:
-    """Changed latest values per micro-batch; :func:`read_latest` reduces them to the current ones."""
-    writer = (latest(decoded).writeStream.outputMode("update").foreachBatch(lambda b, n: _replace_batch(b, path, n))
-              .option("checkpointLocation", checkpoint))
+    """The table of latest values, written whole after every micro-batch: it has one row per slot.
+    The one before stays for readers that have begun, older ones are deleted."""
+    spark = decoded.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        _replace_batch(batch, path, number)
+        _drop_batches_before(spark, path, number - 1)
+
+    writer = latest(decoded).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint)
     return cadence(writer, mode).start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    return clean.keep_last(rows, ["ticker", "period", "interval"], "offset")
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == newest).drop("batch", "ts")
 
 
 def read_fresh(spark: SparkSession, path: str, now, seconds: int = LATEST_TTL) -> DataFrame:
@@ -128,16 +146,22 @@ def read_fresh(spark: SparkSession, path: str, now, seconds: int = LATEST_TTL) -
 
 
 def fold_ticks(decoded: DataFrame, chart_interval: str = "1m") -> DataFrame:
-    """Tick quotes take the chart's candle interval."""
-    return decoded.withColumn("interval", F.when(F.col("interval") == "tick", chart_interval).otherwise(F.col("interval")))
+    """Tick quotes become candles of the chart's interval: their price is open, high, low and close,
+    and each counts one."""
+    tick = F.col("interval") == "tick"
+    return decoded.withColumns({
+        **{c: F.when(tick, F.col("close")).otherwise(F.col(c)) for c in ("open", "high", "low") if c in decoded.columns},
+        "volume": F.when(tick, F.lit(1).cast("bigint")).otherwise(F.col("volume")),
+        "interval": F.when(tick, chart_interval).otherwise(F.col("interval"))})
 
 
 def candles(timed: DataFrame, width: str, lateness: str = "1 hour", keys=("ticker",)) -> DataFrame:
-    """Candles from messages with event time. Late messages within ``lateness`` are merged by time."""
-    order = F.struct("ts", "offset")
+    """Candles from messages with event time: the first message's open, the last one's close, and the
+    sum of the volumes. Late messages within ``lateness`` are merged by time."""
+    order = F.struct(*topics.arrival(timed.columns))
     return (timed.withWatermark("ts", lateness).groupBy(*keys, F.window("ts", width))
-            .agg(F.min_by("close", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-                 F.max_by("close", order).alias("close"), F.count(F.lit(1)).alias("volume"))
+            .agg(F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+                 F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"))
             .select(*keys, F.col("window.start").alias("bucket"), "open", "high", "low", "close", "volume"))
 
 
@@ -189,36 +213,49 @@ def dual_sink(timed: DataFrame, table: str, updates: str, checkpoint: str, mode:
     return cadence(source.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint), mode).start()
 
 
-def status(query: StreamingQuery, spark: SparkSession, mode: str, tickers: DataFrame, cached: DataFrame) -> DataFrame:
-    """State of a query with the number of its tickers and of the tickers that have values."""
+def status(query: StreamingQuery, spark: SparkSession, mode: str, tickers: DataFrame, cached: DataFrame, received: DataFrame) -> DataFrame:
+    """State of a query with the rows received so far, the number of tickers and of those that have
+    values. Rows are counted in the landed table; a query's own progress keeps its last batches only."""
     running = query.isActive
-    head = spark.createDataFrame([(("streaming" if running else "stopped"), mode if running else None,
-                                   int(sum(p.numInputRows for p in query.recentProgress)))],
-                                 "status string, mode string, input_rows bigint")
-    return head.select("*", tickers.agg(F.count_distinct("ticker")).scalar().alias("tickers"),
+    head = spark.createDataFrame([(("streaming" if running else "stopped"), mode if running else None)], "status string, mode string")
+    return head.select("*", received.agg(F.count(F.lit(1))).scalar().alias("input_rows"),
+                       tickers.agg(F.count_distinct("ticker")).scalar().alias("tickers"),
                        cached.agg(F.count_distinct("ticker")).scalar().alias("cached_tickers"))
 
 
-def measured(timed: DataFrame, name: str = "latency") -> DataFrame:
-    """Attach produce-to-consume latency percentiles to every micro-batch's progress."""
-    delay = F.unix_millis(F.current_timestamp()) - F.unix_millis("ts")
-    return timed.observe(name, F.count(F.lit(1)).alias("n"), F.percentile_approx(delay, [0.5, 0.95, 0.99]).alias("p"))
+def consumed(timed: DataFrame, at: Column | None = None) -> DataFrame:
+    """Stamp messages with the time they were consumed (the micro-batch's, unless given)."""
+    return timed.withColumn("consumed_at", F.current_timestamp() if at is None else at)
+
+
+def latency_rows(landed: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Produce-to-consume latency percentiles over all stamped messages of a landed table."""
+    delay = F.unix_millis("consumed_at") - F.unix_millis("ts")
+    p = lambda q: F.percentile(delay, q).cast("bigint")
+    return landed.groupBy(*keys).agg(F.count(F.lit(1)).alias("messages"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"))
+
+
+# Kinds of topics, the preferred one first.
+TOPIC_ORDER = ("instant", "hourly", "daily")
 
 
-def latency_rows(query: StreamingQuery, spark: SparkSession, name: str = "latency") -> DataFrame:
-    rows = []
-    for p in query.recentProgress:
-        m = p.observedMetrics.get(name)
-        if m is not None and m["p"]:
-            rows.append((int(p.batchId), int(m["n"]), *[int(v) for v in m["p"]]))
-    return spark.createDataFrame(rows, "batch bigint, messages bigint, p50_ms bigint, p95_ms bigint, p99_ms bigint")
+def preferred_topics(rows: DataFrame) -> DataFrame:
+    """Per ticker, the messages of the first kind of topic that has any."""
+    place = F.lit(len(TOPIC_ORDER))
+    for k, kind in reversed(list(enumerate(TOPIC_ORDER))):
+        place = F.when(F.startswith("topic", F.lit(f"{kind}_")), k).otherwise(place)
+    return ranking.first_available(rows, ["ticker"], place)
 
 
 def online_features(landed: DataFrame, names: list[str], lookback: int = 200, newest: bool = True) -> DataFrame:
-    """Latest feature row per ticker from landed messages."""
-    recent = topics.bounded_read(landed.where("interval <> 'tick'"), lookback + 250, newest)
+    """Latest feature row per ticker from landed messages of its preferred kind of topic."""
+    quotes = landed.where("interval <> 'tick'")
+    if "topic" in landed.columns:
+        quotes = preferred_topics(quotes)
+    recent = topics.bounded_read(quotes, lookback + 250, newest)
     timed = recent.withColumn("ts", X.parse_timestamp(F.col("timestamp"))).where("ts is not null")
-    unique = clean.keep_last(timed.select("ticker", "ts", "offset", "open", "high", "low", "close", "volume"),
-                             ["ticker", "ts"], "offset").drop("offset")
+    order = topics.arrival(timed.columns)[1:]
+    unique = clean.keep_last(timed.select("ticker", "ts", F.struct(*order).alias("_arrival"), "open", "high", "low", "close", "volume"),
+                             ["ticker", "ts"], "_arrival").drop("_arrival")
     frame = features.inference_frame(unique, lookback, order="ts")
     return columns.project_features(clean.latest(frame, ["ticker"], "ts"), names, keep=("ticker", "ts"))

@@ -1,7 +1,10 @@
 """Features against pandas, and freedom from look-ahead."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import frame, same
@@ -33,6 +36,30 @@ def test_ema_across_blocks_with_a_long_series(spark):
         same(got[f"close_ema_{s}"], pdf["close"].ewm(span=s, adjust=False).mean(), 1e-12)
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_ema_with_gaps_for_any_span(spark, block):
+    rng = np.random.default_rng(9)
+    values = np.where(rng.random(700) < 0.3, np.nan, 50 + rng.normal(0, 1, 700).cumsum())
+    values[:2] = np.nan
+    values[100:130] = np.nan
+    pdf = pd.DataFrame({"ticker": "a", "date": pd.date_range("2000-01-01", periods=700).date, "close": values})
+    rows = [(r.ticker, r.date, None if np.isnan(r.close) else float(r.close)) for r in pdf.itertuples()]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double")
+    spans = (1, 2, 5, 26, 50, 200)
+    got = frame(X.with_emas(X.positioned(df), spans=spans, block_rows=block))
+    for s in spans:
+        same(got[f"close_ema_{s}"], pdf["close"].ewm(span=s, adjust=False).mean(), 1e-10)
+    known = spark.createDataFrame([("a", dt.date(2020, 1, k + 1), v) for k, v in enumerate([1.0, 2.0, None, 4.0, 5.0])], df.schema)
+    same(frame(X.with_emas(X.positioned(known), spans=(5,)))["close_ema_5"], [1, 4 / 3, 4 / 3, 2.476190476, 3.317460317], 1e-8)
+
+
+def test_serving_frame_fills_every_number(spark):
+    rows = [("a", dt.date(2020, 1, k + 1), *[float(k + 1)] * 4, None if k % 2 else 5.0, None if k == 3 else k) for k in range(6)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, adj_close double, volume bigint")
+    got = frame(X.inference_frame(bars))
+    assert got["adj_close"].tolist() == [5.0] * 6 and got["volume"].tolist() == [0, 1, 2, 2, 4, 5]
+
+
 def want_training(walk, lookback=200):
     out = []
     for ticker, g in walk.sort_values(["ticker", "date"]).groupby("ticker"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import frame, same
 from tapework import schemas as S
-from tapework.operators import features, joins, model, ranking, resample, stats
+from tapework.operators import features, joins, model, ranking, resample, splits, stats
 
 
 @pytest.fixture(scope="module")
@@ -219,3 +219,14 @@ def test_model_files_are_scored_per_ticker(spark, tmp_path):
     rows = spark.createDataFrame([("A", 1.0, 2.0), ("B", 4.0, 2.0), ("A", 0.0, 1.0)], "ticker string, p double, q double")
     got = model.loaded_score(rows.repartition(2), ["p", "q"], model.OnnxModels(str(tmp_path))).collect()
     assert sorted((r.ticker, r.p, r.pred) for r in got) == [("A", 0.0, 2.0), ("A", 1.0, 5.0), ("B", 4.0, -3.0)]
+
+
+def test_moments_of_large_values_keep_their_spread(spark):
+    """Values near 1e8 with a deviation of 0.1, whose squares have no digits left for it."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"ticker": "a", "date": pd.date_range("2000-01-01", periods=500).date, "x": 1e8 + rng.normal(0, 0.1, 500)})
+    df = spark.createDataFrame(pdf, "ticker string, date date, x double")
+    got = model.train_stats(splits.with_segments(df), ["x"]).orderBy("fold").collect()
+    for r in got:
+        train = pdf["x"][: 500 - (4 - r.fold) * 100]
+        assert abs(r.x_std - train.std(ddof=0)) < 1e-6 and abs(r.x_mean - train.mean()) < 1e-5

@@ -52,6 +52,40 @@ def test_plain_raw_layout_and_default_ticker(spark, tmp_path):
     assert files.read_raw(spark, str(tmp_path / "loose")).first().ticker is None
 
 
+def test_raw_files_with_other_headers(spark, tmp_path):
+    """Columns by name, three names for the date, missing columns NULL, other columns dropped."""
+    texts = {"A": "Close,Datetime,Low,High,Open,Extra\n4,2025-01-01 09:30:00,3,2,1,x\n", "B": "timestamp, HIGH ,close,Volume\n2025-01-02T00:00:00Z,7,8,1000.0\n",
+             "C{1}": "Date,Open,High,Low,Close,Adj Close,Volume\n2025-01-03,1,2,3,4,5,1e3\n", "D": "a,b\n1,2\n"}
+    for name, text in texts.items():
+        folder = tmp_path / "raw" / name
+        folder.mkdir(parents=True)
+        (folder / "f.csv").write_text(text)
+    got = {r.ticker: r for r in files.read_raw(spark, str(tmp_path / "raw")).collect()}
+    assert set(got) == {"A", "B", "C{1}"}
+    assert (got["A"].date, got["A"].open, got["A"].close, got["A"].volume) == (dt.date(2025, 1, 1), 1.0, 4.0, None)
+    assert (got["B"].date, got["B"].high, got["B"].close, got["B"].open, got["B"].volume) == (dt.date(2025, 1, 2), 7.0, 8.0, None, 1000)
+    assert (got["C{1}"].adj_close, got["C{1}"].volume) == (5.0, 1000)
+
+
+def test_upsert_of_some_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_bars(bars(spark, bar(), bar("B", "2025-01-02")), path)
+    some = spark.createDataFrame([("EURUSD=X", dt.date(2025, 1, 1), 9.0), ("NEW", dt.date(2025, 1, 1), 3.0)], "ticker string, date date, close double")
+    tables.upsert_bars(some, path)
+    got = {r.ticker: r for r in files.read_bars(spark, path).collect()}
+    assert (got["EURUSD=X"].close, got["EURUSD=X"].high, got["EURUSD=X"].volume) == (9.0, 2.0, 1000)
+    assert (got["NEW"].close, got["NEW"].high) == (3.0, None) and got["B"].close == 1.5
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tapework.session import shared_folder
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
 def test_upsert_inserts_then_updates(spark, tmp_path):
     path = str(tmp_path / "t")
     files.write_bars(bars(spark, bar("OTHER", "2024-05-05"), bar("EURUSD=X", "2024-12-31")), path)
@@ -155,9 +189,24 @@ def test_points_kept(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
+def test_limits_above_the_bound_raise(small_blocks, spark):
+    from tapework.operators import series
+    df = spark.createDataFrame([("a", i) for i in range(20)], "ticker string, offset bigint")
+    with pytest.raises(Exception, match="above the bound"):
+        series.tail(df, ["ticker"], ["offset"], F.lit(9), most=5).collect()
+
+
 def test_time_parsing(spark):
     cases = [("2026-01-07T10:00:00Z", 1767780000000), ("2026-01-07 10:00:00+00:00", 1767780000000),
              ("2026-01-07T10:00:00", 1767780000000), ("2026-01-07", 1767744000000), ("junk", None), ("", None),
              ("2026-01-07T12:00:00+02:00", 1767780000000)]
     got = spark.createDataFrame(cases, "s string, want bigint").select(X.epoch_millis(F.col("s")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_other_ways_to_write_a_time(spark):
+    cases = {"Jan 5 2025 10:00": "2025-01-05 10:00:00", "05/01/2025": "2025-05-01 00:00:00", "Sun, 5 Jan 2025 10:00:00 +0200": "2025-01-05 08:00:00",
+             "20250105": "2025-01-05 00:00:00", "10:00": None, "5 January": None, "2025-01-05T10:00:00.5Z": "2025-01-05 10:00:00.5"}
+    got = spark.createDataFrame(list(cases.items()), "s string, want string").select(
+        "s", X.parse_timestamp(F.col("s")).alias("got"), F.col("want").cast("timestamp").alias("want")).collect()
+    assert {r.s: r.got for r in got} == {r.s: r.want for r in got}

@@ -72,7 +72,7 @@ def test_latest_by_arrival(spark, topic, tmp_path):
     send([message(3, 4.0, interval="tick")])
     C.keep_latest(read(spark, path), out, chk).awaitTermination()
     got = {r.interval: r.close for r in C.read_latest(spark, out).collect()}
-    assert got == {"1m": 3.0, "tick": 4.0}
+    assert got == {"1m": 1.0, "tick": 4.0}  # by time, not by offset: these compare only inside a partition
     fresh = C.read_fresh(spark, out, F.lit("2026-01-07 10:03:30").cast("timestamp"), 60).collect()
     assert [r.interval for r in fresh] == ["tick"]
 
@@ -81,14 +81,14 @@ def test_candles_merge_late_rows_within_the_watermark(spark, topic, tmp_path):
     path, send = topic
     out, chk = str(tmp_path / "out"), str(tmp_path / "chk")
     run = lambda: C.to_table(C.candles(C.with_event_time(read(spark, path)), "5 minutes", "10 minutes"), out, chk).awaitTermination()
-    send([message(0, 1.0, 0), message(1, 5.0, 4), message(2, 2.0, 12)])
+    send([message(0, 1.0, 0, open=0.5, volume=100), message(1, 5.0, 4, volume=50), message(2, 2.0, 12)])
     run()
-    send([message(3, 9.0, 3), message(4, 3.0, 30)])      # minute 3 is late but inside ten minutes
+    send([message(3, 9.0, 3, volume=7), message(4, 3.0, 30)])      # minute 3 is late but inside ten minutes
     run()
     send([message(5, 7.0, 1), message(6, 4.0, 60)])      # minute 1 is now too late
     run()
     got = {r.bucket.minute: r for r in spark.read.parquet(out).collect()}
-    assert (got[0].open, got[0].high, got[0].low, got[0].close, got[0].volume) == (1.0, 9.0, 1.0, 5.0, 3)
+    assert (got[0].open, got[0].high, got[0].low, got[0].close, got[0].volume) == (0.5, 9.0, 1.0, 5.0, 157)
     assert 10 in got and 60 not in got
 
 
@@ -116,15 +116,61 @@ def test_publish_envelope(spark, topic, tmp_path):
 def test_latency_and_status(spark, topic, tmp_path):
     path, send = topic
     send([message(i, 1.0) for i in range(4)])
-    q = C.to_table(C.measured(C.with_event_time(read(spark, path))), str(tmp_path / "o"), str(tmp_path / "chk"))
+    late = F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, 0.25)")
+    out = str(tmp_path / "o")
+    q = C.to_table(C.consumed(C.with_event_time(read(spark, path)), late), out, str(tmp_path / "chk"))
     q.awaitTermination()
-    rows = C.latency_rows(q, spark).collect()
-    assert sum(r.messages for r in rows) == 4
+    rows = C.latency_rows(spark.read.parquet(out)).collect()
+    assert [(r.messages, r.p50_ms, r.p99_ms) for r in rows] == [(4, 250, 250)]
     one = spark.createDataFrame([("a",), ("b",)], "ticker string")
-    state = C.status(q, spark, "instant", one, one.limit(1)).first()
+    state = C.status(q, spark, "instant", one, one.limit(1), spark.read.parquet(out)).first()
     assert (state.status, state.input_rows, state.tickers, state.cached_tickers) == ("stopped", 4, 2, 1)
 
 
+def test_status_counts_more_batches_than_a_query_remembers(spark, topic, tmp_path):
+    path, send = topic
+    for i in range(12):
+        send([message(i, 1.0 + i)])
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    try:
+        out = str(tmp_path / "o")
+        q = C.land(C.from_files(spark, path), out, str(tmp_path / "chk"))
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert len(q.recentProgress) <= 6
+    landed = spark.read.parquet(out)
+    assert C.status(q, spark, "instant", landed, landed, landed).first().input_rows == 12
+
+
+def test_latest_table_does_not_grow(spark, topic, tmp_path):
+    path, send = topic
+    out, chk = str(tmp_path / "out"), str(tmp_path / "chk")
+    for i in range(5):
+        send([message(i, 1.0 + i), message(100 + i, 9.0, minute=i, ticker="B")])
+        C.keep_latest(read(spark, path), out, chk).awaitTermination()
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) <= 2
+    assert {r.ticker: r.close for r in C.read_latest(spark, out).collect()} == {"EURUSD": 5.0, "B": 9.0}
+
+
+def test_impossible_numbers_are_set_aside(spark, topic, tmp_path):
+    path, send = topic
+    send([message(0, 1.0), message(1, 1.0, volume="NaN"), message(2, 1.0, volume=1e30), message(3, "1,5"), message(4, "Infinity")])
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    C.quarantine(C.from_files(spark, path), good, bad, str(tmp_path / "chk")).awaitTermination()
+    assert [r.offset for r in spark.read.parquet(good).collect()] == [0]
+    assert sorted(r.offset for r in spark.read.parquet(bad).collect()) == [1, 2, 3, 4]
+
+
+def test_online_features_prefer_instant_topics(spark):
+    rows = [("a", (T0 + dt.timedelta(minutes=i)).isoformat(), "1m", topic, 0, i + base, *[price] * 4, 0)
+            for topic, base, price in (("instant_a", 0, 1.0), ("daily_a", 1000, 999.0)) for i in range(30)]
+    landed = spark.createDataFrame(rows, "ticker string, timestamp string, interval string, topic string, partition int, offset bigint, "
+                                         "open double, high double, low double, close double, volume bigint")
+    assert C.online_features(landed, ["Close"]).first().Close == 1.0
+    assert C.online_features(landed.where("topic = 'daily_a'"), ["Close"]).first().Close == 999.0
+
+
 def test_online_features_take_the_newest_candles(spark):
     rows = [("a", (T0 + dt.timedelta(minutes=i)).isoformat() + "Z", "1m", i, *[100.0 + (i % 9)] * 4, 0) for i in range(300)]
     rows.append(("a", "2030-01-01T00:00:00Z", "tick", 300, *[1.0] * 4, 0))
