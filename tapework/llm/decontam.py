@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -96,10 +97,11 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 
 def rows_of(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, term, count) of all passages of a document that hold a term, in that order."""
-    hits = [(i, t) for i, w in enumerate(words) if (t := places.get(w)) is not None]
-    if not hits:
+    ids = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
+    at = np.nonzero(ids >= 0)[0]
+    if not len(at):
         return (np.empty(0, np.int64),) * 3
-    at, term = np.array(hits, np.int64).T
+    term = ids[at].astype(np.int64)
     last = max(0, -(-(len(words) - WINDOW) // STRIDE))
     first = at // STRIDE
     both, terms = np.r_[first, first - 1], np.r_[term, term]
@@ -162,7 +164,9 @@ def _sketch(idf: np.ndarray, rank: int):
         r, y, rows = _random(size, rank), np.zeros((size, rank), np.float32), 0
         for frame in frames:
             for k, p, t, n in _chunks(frame):
-                even = p % 2 == 0  # these do not overlap and cover every word
+                # Even passages do not overlap; with a document's last one they cover every word.
+                last = np.nonzero(np.r_[np.diff(k) != 0, True])[0]
+                even = (p % 2 == 0) | (p == np.repeat(p[last], np.diff(np.r_[-1, last])))
                 if not even.any():
                     continue
                 k, p, t, n = k[even], p[even], t[even], n[even]
@@ -218,11 +222,19 @@ def latent(sparse: DataFrame, idf: np.ndarray, dense: np.ndarray, rank: int = RA
 
 def _search(space: Space, idf: np.ndarray, dense: np.ndarray, items: np.ndarray, kind: str):
     held = (dense > 0).astype(np.float32) * dense.astype(np.float32) ** 2  # squared weights of each window
+    most = held.max(axis=0) if len(held) else np.zeros(len(idf), np.float32)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out, docs = [], frame["doc_id"].to_numpy()
             for k, p, t, n in _chunks(frame):
+                # A passage whose terms could not add up to SHARED for any window is no candidate.
+                starts = np.r_[0, np.nonzero(np.diff(k * (1 << 40) + p))[0] + 1]
+                able = np.add.reduceat(most[t], starts) >= SHARED - 1e-4
+                some = np.repeat(able, np.diff(np.r_[starts, len(p)]))
+                if not some.any():
+                    continue
+                k, p, t, n = k[some], p[some], t[some], n[some]
                 starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
                 inside = np.add.reduceat(space.basis[t] * w[:, None], starts)
                 cosine = (inside / np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)) @ space.windows.T
