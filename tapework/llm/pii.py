@@ -390,10 +390,13 @@ def spans_of(field: Field, text: str | None) -> tuple[list[tuple[int, int, int]]
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """The field trained on the documents of ``docs`` with the smallest hashes that hold a digit or
-    an at sign; at most ``sample`` of them are sent to the driver, and of each the first windows."""
-    some = (docs.select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).where(F.col("t").rlike("[0-9]{2}|@"))
-            .where(F.length("t") < 20000).orderBy("h", "t").limit(sample).select("t").collect())
-    return train([r[0] for r in some])
+    an at sign, and are not very long; ``sample`` different ones are sent to the driver. The hashes
+    are found first, so tasks send hashes and only the chosen texts travel."""
+    able = docs.select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).where(
+        (F.length("t") < 20000) & F.col("t").rlike("[0-9]{2}|@"))
+    chosen = [r.h for r in able.select("h").distinct().orderBy("h").limit(sample).collect()]
+    texts = {r.h: r.t for r in able.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t")).collect()} if chosen else {}
+    return train([texts[h] for h in sorted(texts)])
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
