@@ -90,11 +90,15 @@ def summary_metrics(preds: DataFrame, convention: str = "flat", rate: float = S.
 
 def rank_ic(preds: DataFrame) -> DataFrame:
     """Rank correlation with average ties, per fold."""
+    # Ranks relative to their mean. Equal pairs of values are merged before the joins, so a value that
+    # a third of the rows share (a flat market) is a few rows there.
     place = lambda side: R.value_ranks(preds, KEYS, side).select(
-        *KEYS, side, (F.col("smaller") + (F.col("count") + 1) / 2).alias(f"_r_{side}"))
-    return (preds.select(*KEYS, "pred", "actual")
-            .join(place("pred"), [*KEYS, "pred"]).join(place("actual"), [*KEYS, "actual"])
-            .groupBy(*KEYS).agg(M.ic_pearson("_r_pred", "_r_actual").alias("ic")))
+        *KEYS, side, (F.col("smaller") + (F.col("count") + 1) / 2 - (F.col("total") + 1) / 2).alias(f"_r_{side}"))
+    pairs = preds.where("pred IS NOT NULL AND actual IS NOT NULL").groupBy(*KEYS, "pred", "actual").agg(F.count(F.lit(1)).alias("_w"))
+    a, b, w = F.col("_r_pred"), F.col("_r_actual"), F.col("_w")
+    spread = F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))
+    return (pairs.join(place("pred"), [*KEYS, "pred"]).join(place("actual"), [*KEYS, "actual"])
+            .groupBy(*KEYS).agg((F.sum(w * a * b) / F.nullif(spread, F.lit(0.0))).alias("ic")))
 
 
 def report(preds: DataFrame, convention: str = "flat", rate: float = S.COST) -> DataFrame:
@@ -112,13 +116,17 @@ def report(preds: DataFrame, convention: str = "flat", rate: float = S.COST) ->
 def equity(preds: DataFrame, as_is: bool = False, rate: float = S.COST) -> DataFrame:
     """Running profit per ticker over its folds, or (``as_is``) over all tickers in a row."""
     nets = net_returns(preds, "turnover", rate)
-    keys = [] if as_is else ["ticker"]
     folds = numbered(preds).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(*keys).orderBy(*KEYS) if keys else Window.orderBy(*KEYS)
-    starts = folds.select(*KEYS, F.coalesce(F.sum("_c").over(
-        earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("ticker").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    starts = folds.select(*KEYS, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
     rows = nets.join(starts, KEYS).withColumn(R.POS, F.col(R.POS) + F.col("_start"))
-    return R.running(rows, keys, {"equity": ("sum", "net")}).drop("_start")
+    own = R.running(rows, ["ticker"], {"equity": ("sum", "net")}).drop("_start")
+    if not as_is:
+        return own
+    # Over all tickers: a ticker starts where the ones before it end. One row per ticker is ordered.
+    along = Window.orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)
+    ends = nets.groupBy("ticker").agg(F.sum("net").alias("_t")).select("ticker", F.coalesce(F.sum("_t").over(along), F.lit(0.0)).alias("_from"))
+    return own.join(ends, "ticker").withColumn("equity", F.col("equity") + F.col("_from")).drop("_from")
 
 
 def pnl_log(preds: DataFrame, convention: str = "turnover", rate: float = S.COST) -> DataFrame:

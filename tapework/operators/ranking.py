@@ -5,10 +5,11 @@ These reports work on one row per (ticker, fold); the windows here never see ser
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapework.functions import scalar as X
+from tapework.operators import series as R
 
 AVERAGED = ("mae", "rmse", "ic", "dir_acc", "sharpe", "max_dd", "hit_rate")
 SPREAD = ("mae", "rmse", "ic", "dir_acc", "sharpe")
@@ -37,8 +38,7 @@ def ticker_summary(folds: DataFrame) -> DataFrame:
 
 def rank_by(summary: DataFrame, column: str, tie: str = "ticker") -> DataFrame:
     """Tickers ranked by a summary column, best first (one row per ticker)."""
-    w = Window.orderBy(F.col(column).desc_nulls_last(), F.col(tie))
-    return summary.withColumn("rank", F.row_number().over(w))
+    return R.ordered_rank(summary, [F.col(column).desc_nulls_last(), F.col(tie)])
 
 
 def best_model(folds: DataFrame, min_ic: float = 0.03, min_sharpe: float = 1.0) -> DataFrame:

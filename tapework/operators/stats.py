@@ -67,11 +67,12 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
-def cross_correlation(returns: DataFrame, value: str = "close_log_return", block_days: int = 64) -> DataFrame:
+def cross_correlation(returns: DataFrame, value: str = "close_log_return", block_days: int = 64, tile: int = 256) -> DataFrame:
     """Correlation of every two tickers over their common dates.
 
-    Dates are cut into blocks; a block contributes sums per pair from a small matrix product, so
-    the row pairs of a date are never written out. Blocks are summed per pair.
+    Dates are cut into blocks and tickers into tiles of about ``tile``; a block of dates contributes
+    sums per pair of tiles from a small matrix product, so a task holds two tiles of one block
+    whatever the number of tickers, and the row pairs of a date are never written out.
     """
     shape = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
 
@@ -81,13 +82,23 @@ def cross_correlation(returns: DataFrame, value: str = "close_log_return", block
         have = ~np.isnan(x)
         x, m = np.where(have, x, 0.0), have.astype(float)
         i, j = np.triu_indices(len(names), 1)
+        low, high = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+        if low != high:  # pairs inside one tile belong to that tile's own group
+            home = pdf.groupby("ticker")["_tile"].first().reindex(names).to_numpy()
+            across = home[i] != home[j]
+            i, j = i[across], j[across]
         pick = lambda left, right: (left.T @ right)[i, j]
         return pd.DataFrame({"a": names[i], "b": names[j], "n": pick(m, m), "sa": pick(x, m), "sb": pick(m, x),
                              "saa": pick(x * x, m), "sbb": pick(m, x * x), "sab": pick(x, x)})
 
-    blocks = (returns.where(F.col(value).isNotNull())
-              .select("ticker", "date", value, F.floor(F.unix_date("date") / block_days).alias("_block")))
-    total = blocks.groupBy("_block").applyInPandas(sums, shape).groupBy("a", "b").agg(
+    rows = returns.where(F.col(value).isNotNull())
+    tiles = max(1, -(-rows.agg(F.count_distinct("ticker")).first()[0] // tile))
+    own = F.pmod(F.xxhash64("ticker"), F.lit(tiles)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda t: F.struct(
+        F.least(t, F.col("_tile")).alias("_i"), F.greatest(t, F.col("_tile")).alias("_j")))
+    blocks = rows.select("ticker", "date", value, F.floor(F.unix_date("date") / block_days).alias("_block"), own.alias("_tile")).select(
+        "*", F.inline(pairs))
+    total = blocks.groupBy("_block", "_i", "_j").applyInPandas(sums, shape).groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
     var_a = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")

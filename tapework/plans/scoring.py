@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,26 @@ def train(bars: DataFrame, path: str, strength: float = 1.0, min_ic: float = 0.0
     return folds
 
 
+def score_daily(bars: DataFrame, registered: DataFrame, requests: DataFrame, path: str) -> DataFrame:
+    """Outcomes of the requested tickers, scored at most once a day: results stored under ``path`` are
+    reused for tickers whose latest day they hold, and new ones are added to them, by date."""
+    spark = bars.sparkSession
+    schema = "ticker string, predicted_log_return double, direction string, error string, date date"
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+        known = stored.where("date IS NOT NULL AND error IS NULL")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    new = materialize(score_latest(bars, registered, requests, known).select(*[c.split()[0] for c in schema.split(", ")]), "outcomes")
+    new.where("date IS NOT NULL AND error IS NULL").write.mode("append").partitionBy("date").parquet(path)
+    if known is None:
+        return new
+    asked = known.join(requests.select("ticker").distinct(), "ticker", "left_semi").join(new.select("ticker"), "ticker", "left_anti")
+    return new.unionByName(clean.latest(asked, ["ticker"], "date").select(*new.columns))
+
+
 def score_latest(bars: DataFrame, registered: DataFrame, requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Outcome per requested ticker; tickers with a stored result of their latest day are left out."""
     names = S.training_features()

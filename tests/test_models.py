@@ -141,6 +141,8 @@ def test_correlation_and_density(small_blocks, walk, walk_df):
         both = wide[[a, b]].dropna()
         assert got[(a, b)][0] == len(both)
         same(got[(a, b)][1], both[a].corr(both[b]), 1e-7)
+    tiled = {(r.a, r.b): (r.n, r["corr"]) for r in stats.cross_correlation(returns, block_days=30, tile=1).collect()}
+    assert tiled.keys() == got.keys() and all(tiled[k][0] == got[k][0] and abs(tiled[k][1] - got[k][1]) < 1e-9 for k in got if got[k][1] is not None)
     curve = frame(stats.density_curve(walk_df.where("ticker = 'B'")), ["point"])
     v = series_of(walk, "B")["close"].to_numpy()
     bw = v.std(ddof=1) * len(v) ** -0.2

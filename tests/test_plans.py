@@ -34,6 +34,13 @@ def test_training_writes_models_that_score(spark, walk_df, tmp_path):
     assert got["HOT"].direction in ("UP", "DOWN", "SIDEWAYS") and got["NEW"].error == "Unsupported ticker"
     again = scoring.score_latest(walk_df, models, asked, first.where("error is null").select("ticker", "date"))
     assert {r.ticker for r in again.collect()} == {"NEW"}
+    out = str(tmp_path / "results")
+    day = {r.ticker: (r.date, r.predicted_log_return) for r in scoring.score_daily(walk_df, models, asked, out).collect()}
+    stored = spark.read.parquet(out)
+    assert [r.ticker for r in stored.collect()] == ["HOT"]
+    # The second call of the day takes the stored result; models are not asked again.
+    twice = {r.ticker: (r.date, r.predicted_log_return) for r in scoring.score_daily(walk_df, models, asked, out).collect()}
+    assert twice == day and spark.read.parquet(out).count() == 1
 
 
 def test_flagship(spark):

@@ -1,6 +1,7 @@
 """Bounded-piece operators against whole-series pandas."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,14 @@ def test_suppression_keeps_the_first_of_equal_neighbours(small_blocks, spark):
     rows = [("a", i, "t%d" % (i // 3), float(i // 6)) for i in range(60)]
     df = spark.createDataFrame(rows, "ticker string, offset bigint, timestamp string, close double")
     assert sorted(r.offset for r in clean.suppress_unchanged(df).collect()) == list(range(0, 60, 3))
+
+
+def test_ordered_rank_equals_a_global_sort(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.permutation(5000), "v": rng.integers(0, 50, 5000).astype(float)})
+    pdf.loc[::97, "v"] = np.nan
+    df = spark.createDataFrame([(int(k), None if v != v else float(v)) for k, v in pdf.values], "k long, v double")
+    got = R.ordered_rank(df, [F.col("v").desc_nulls_last(), F.col("k")]).toPandas().sort_values("rank")
+    want = pdf.sort_values(["v", "k"], ascending=[False, True], na_position="last")
+    assert got["k"].tolist() == want["k"].tolist() and got["rank"].tolist() == list(range(1, 5001))
+    assert R.ordered_rank(df.limit(0), [F.col("k")]).count() == 0
