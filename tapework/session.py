@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the jobs rely on: one time zone, adaptive execution."""
+    """Runtime settings the jobs rely on: one time zone, adaptive execution, and the package on the
+    workers, whatever folder the application was started from."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, unless their path has it."""
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    known = (os.environ.get("PYTHONPATH", "").split(os.pathsep), str(package.parent))
+    if known[1] in known[0] or str(package).endswith(".zip/tapework") or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    # The driver serves the archive from here to the executors until the application ends.
+    folder = tempfile.mkdtemp(prefix="tapework-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = shutil.copytree(package, f"{folder}/in/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", Path(base).parent))
+
+
 def local_session(cpus: str = "8", app: str = "tapework") -> SparkSession:
     """Single-machine session for tests and timing runs."""
     return configure(
