@@ -132,8 +132,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     base = F.concat("assign", "access", "hex")
     free = narrow.withColumn("weak", F.filter("weak", lambda w: ~F.exists(base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
     added = linked(free, scope).withColumnRenamed("row_key", "_key")
-    out = narrow.join(added, F.col("row_key") == F.col("_key"), "left").withColumn(
-        "added", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))
+    # Rows without an identifier have no key and no links: left out of the join, they do not meet in one task.
+    none = F.array().cast(f"array<{_SPAN}>")
+    keyed = narrow.where("row_key IS NOT NULL").join(added, F.col("row_key") == F.col("_key"), "left").drop("_key").withColumn(
+        "added", F.coalesce("added", none))
+    out = keyed.unionByName(narrow.where("row_key IS NULL").withColumn("added", none))
     return out.select(
         "doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"),
         F.size("hex").cast("long").alias("n_hex"), F.sha2(span_text(_named(base)).cast("binary"), 256).alias("base_sha256"),
