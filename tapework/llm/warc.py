@@ -168,8 +168,10 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
     named = heads.where("record_type = 'revisit'").select("refers").distinct()
     full = heads.where("record_type = 'response'").join(named.withColumnRenamed("refers", "record_id"), "record_id", "left_semi").groupBy(
         F.col("record_id").alias("_named")).agg(F.max("page_id").alias("refers_to"))
-    return heads.join(full, F.col("refers") == F.col("_named"), "left").select(
-        "page_id", "url", "record_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    # Only revisits are joined; the others name no record and would meet under one NULL key.
+    again = heads.where("refers IS NOT NULL").join(full, F.col("refers") == F.col("_named"), "left").drop("_named")
+    rows = again.unionByName(heads.where("refers IS NULL").withColumn("refers_to", F.lit(None).cast("long")))
+    return rows.select("page_id", "url", "record_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
