@@ -45,7 +45,8 @@ MARGIN = 2.0
 
 # The base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Possessive: a match never begins inside a run of digits, so a long run is read once, not once a digit.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -70,6 +71,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(part: str) -> bool:
+    """Whether a run of digits is at most 255, however many zeros lead it."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the e-mail pattern, found from their at signs: the text before one is walked once."""
     end, at = 0, text.find("@")
@@ -89,7 +96,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if len(m[0]) >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")

@@ -91,6 +91,12 @@ def test_personal_base_spans():
         assert pii.base_spans(text or "") == base_personal(text or "")
 
 
+def test_personal_long_runs_of_digits():
+    text = "1" * 300_000 + ". " + "0" * 6000 + "1.2.3.4 and 1" + "2" * 6000 + ".1.1.1"
+    assert [x for x in pii.base_spans(text) if x[1] == 1] == [(300_002, 1, 300_002 + 6007)]
+    assert pii.base_spans("9.1.2.3.4.5.6.7") == [(0, 1, 7), (8, 1, 15)]
+
+
 def test_personal_query(spark, docs):
     found = by_id(pii.scan(docs))
     assert sum(map(len, found.values())) == len(TEXTS)
