@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapework.llm.common import prepare, stored
+from tapework.llm.common import fresh, prepare, stored
 
 WINDOW = 32
 STRIDE = 16
@@ -41,8 +41,10 @@ SHARED = 0.3
 STRONG = 0.75
 WEAK = 0.55
 ANSWER = 0.8
-#: Benchmark items handled at once.
-PART = 10_000
+#: Benchmark items handled at once: at most some 70,000 terms, so 70 MB of directions in a task.
+PART = 2000
+#: Benchmark windows whose cosines with a block of passages are held at once.
+_WINDOWS = 2048
 _MARKS = ".,;:!?"
 _EDGES = ".,;:!?\"'()[]"
 _NNZ = 1 << 14
@@ -153,6 +155,39 @@ def _chunks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
 
 # --- latent space ------------------------------------------------------------------------------
 
+@dataclass
+class Sparse:
+    """Rows of (term, weight) lists, terms ascending; ``starts`` has one more entry than rows."""
+    starts: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[dict[int, float]]) -> Sparse:
+        """Rows scaled to length one."""
+        term, weight, starts = [], [], [0]
+        for row in rows:
+            norm = max(sum(w * w for w in row.values()) ** 0.5, 1e-12)
+            for t in sorted(row):
+                term.append(t)
+                weight.append(row[t] / norm)
+            starts.append(len(term))
+        return cls(np.array(starts), np.array(term, np.int64), np.array(weight, np.float64))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return np.stack([self.weight[a:b] @ right[self.term[a:b]] for a, b in zip(self.starts, self.starts[1:])])
+
+    def back(self, right: np.ndarray, terms: int) -> np.ndarray:
+        """The transposed rows times ``right``."""
+        out = np.zeros((terms, right.shape[1]))
+        for k, (a, b) in enumerate(zip(self.starts, self.starts[1:])):
+            out[self.term[a:b]] += self.weight[a:b, None] * right[k]
+        return out
+
+
 def _random(size: int, rank: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((size, rank)).astype(np.float32)
 
@@ -194,8 +229,8 @@ class Space:
     windows: np.ndarray
 
 
-def latent(sparse: DataFrame, idf: np.ndarray, dense: np.ndarray, rank: int = RANK) -> Space:
-    """``dense``: the benchmark windows as TF-IDF rows of length one."""
+def latent(sparse: DataFrame, idf: np.ndarray, bench: Sparse, rank: int = RANK) -> Space:
+    """``bench``: the benchmark windows as TF-IDF rows of length one."""
     size = len(idf)
     rank = min(rank, size)
     schema = "block int, part int, rows long, y binary"
@@ -208,7 +243,7 @@ def latent(sparse: DataFrame, idf: np.ndarray, dense: np.ndarray, rank: int = RA
         y = np.concatenate([np.frombuffer(parts[b].y, np.float32) for b in sorted(parts)]).reshape(size, rank).astype(np.float64)
         rows = parts[0].rows
     r = _random(size, rank).astype(np.float64)
-    y += max(1.0, rows / max(1, len(dense))) * (dense.T @ (dense @ r))
+    y += max(1.0, rows / max(1, len(bench))) * bench.back(bench.times(r), size)
     shift = 1e-7 * np.linalg.norm(y) + 1e-12
     y += shift * r
     core = r.T @ y
@@ -216,13 +251,20 @@ def latent(sparse: DataFrame, idf: np.ndarray, dense: np.ndarray, rank: int = RA
     good = values > values.max() * 1e-10
     u, s, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     basis = u[:, s > s.max() * 1e-6] if len(s) else u
-    inside = dense @ basis
+    inside = bench.times(basis)
     return Space(basis.astype(np.float32), (inside / np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)).astype(np.float32))
 
 
-def _search(space: Space, idf: np.ndarray, dense: np.ndarray, items: np.ndarray, kind: str):
-    held = (dense > 0).astype(np.float32) * dense.astype(np.float32) ** 2  # squared weights of each window
-    most = held.max(axis=0) if len(held) else np.zeros(len(idf), np.float32)
+def _search(space: Space, idf: np.ndarray, bench: Sparse, items: np.ndarray):
+    held = bench.weight ** 2  # squared weights of each window
+    most = np.zeros(len(idf))
+    np.maximum.at(most, bench.term, held)
+
+    def shared(window: int, terms: np.ndarray) -> float:
+        """The part of the window's weight that ascending ``terms`` hold."""
+        some = slice(bench.starts[window], bench.starts[window + 1])
+        at = np.searchsorted(terms, bench.term[some])
+        return float(held[some][terms[np.minimum(at, len(terms) - 1)] == bench.term[some]].sum())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -237,15 +279,13 @@ def _search(space: Space, idf: np.ndarray, dense: np.ndarray, items: np.ndarray,
                 k, p, t, n = k[some], p[some], t[some], n[some]
                 starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
                 inside = np.add.reduceat(space.basis[t] * w[:, None], starts)
-                cosine = (inside / np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)) @ space.windows.T
-                row, window = np.nonzero(cosine >= COSINE)
-                if not len(row):
-                    continue
+                inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)
                 ends = np.r_[starts[1:], len(p)]
-                for a, b in zip(row.tolist(), window.tolist()):
-                    some = slice(starts[a], ends[a])
-                    if held[b, t[some]].sum() >= SHARED:
-                        out.append((docs[k[starts[a]]], int(items[b]), int(p[starts[a]]), float(cosine[a, b])))
+                for first in range(0, len(bench), _WINDOWS):
+                    cosine = inside @ space.windows[first:first + _WINDOWS].T
+                    for a, b in np.argwhere(cosine >= COSINE).tolist():
+                        if shared(first + b, t[starts[a]:ends[a]]) >= SHARED:
+                            out.append((docs[k[starts[a]]], int(items[first + b]), int(p[starts[a]]), float(cosine[a, b])))
             yield pd.DataFrame(out, columns=["doc_id", "item", "passage", "cosine"])
     return run
 
@@ -324,14 +364,11 @@ def _part(docs: DataFrame, items: list[tuple], kind: str) -> DataFrame:
     terms = sorted(kept)
     place = {w: i for i, w in enumerate(terms)}
     idf = np.array([rarity[w] for w in terms])
-    dense = np.zeros((len(windows), len(terms)))
-    for k, window in enumerate(windows):
-        for w, n in Counter(x for x in window if x in place).items():
-            dense[k, place[w]] = (1 + np.log(n)) * idf[place[w]]
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    bench = Sparse.of([{place[w]: (1 + np.log(n)) * idf[place[w]] for w, n in Counter(x for x in window if x in place).items()}
+                       for window in windows])
     sparse = stored(docs.mapInPandas(_sparse(terms), f"doc_id {kind}, p array<int>, t array<int>, n array<int>"), "passages")
-    space = latent(sparse, idf, dense)
-    found = sparse.mapInPandas(_search(space, idf, dense, np.array(owner), kind), f"doc_id {kind}, item int, passage int, cosine double")
+    space = latent(sparse, idf, bench)
+    found = sparse.mapInPandas(_search(space, idf, bench, np.array(owner)), f"doc_id {kind}, item int, passage int, cosine double")
     listed = stored(found.groupBy("doc_id", "item", "passage").agg(F.max("cosine").alias("cosine")).groupBy("doc_id").agg(
         F.collect_list(F.struct("item", "passage", "cosine")).alias("found")), "candidates").withColumnRenamed("doc_id", "_doc")
     checked = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_text", "found").mapInPandas(
@@ -365,5 +402,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that hold a leaked item."""
-    bad = stored(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct(), "leaky")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    name, = fresh(docs.columns, "_bad")
+    bad = stored(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct(), "leaky")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

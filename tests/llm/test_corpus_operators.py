@@ -154,9 +154,29 @@ def test_paraphrases_and_edges(spark):
     assert got[1, 10].lcs_share == 1.0 and abs(got[7, 10].word_at - 9000) <= 32
     clean = decontam.decontaminated(docs, bench)
     assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6] and clean.columns == docs.columns
+    named = docs.withColumn("_bad", F.lit(1)).withColumn("_BAD_", F.lit(2))
+    assert decontam.decontaminated(named, bench).columns == named.columns
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_benchmark_in_parts_and_blocks(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    pairs = lambda: {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).select("doc_id", "item_id").collect()}
+    want = pairs()
+    monkeypatch.setattr(decontam, "PART", 70)
+    monkeypatch.setattr(decontam, "_WINDOWS", 7)
+    assert pairs() == want and want
+
+
+def test_sparse_rows_against_a_matrix():
+    rng = np.random.default_rng(4)
+    rows = [{int(t): float(rng.random() + 0.1) for t in rng.choice(30, n, replace=False)} for n in (1, 5, 12)]
+    full = np.array([[r.get(t, 0.0) for t in range(30)] for r in rows])
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    some, right, left = decontam.Sparse.of(rows), rng.random((30, 4)), rng.random((3, 4))
+    assert np.allclose(some.times(right), full @ right) and np.allclose(some.back(left, 30), full.T @ left)
+
+
 def test_latent_space_holds_the_leading_directions(spark):
     """The one-pass decomposition against a full one."""
     rng = np.random.default_rng(3)
@@ -168,7 +188,7 @@ def test_latent_space_holds_the_leading_directions(spark):
     for k, t in rows:
         a[k, t] = 1 / math.sqrt(5)
     gram = a.T @ a + 100 * dense.T @ dense
-    basis = decontam.latent(sparse, idf, dense, 40).basis.astype(float)
+    basis = decontam.latent(sparse, idf, decontam.Sparse.of([{0: 2.0}, {1: 0.5}]), 40).basis.astype(float)
     top = np.linalg.eigh(gram)[1][:, -4:]
     assert np.linalg.norm(basis.T @ top, axis=0) == pytest.approx(np.ones(4), abs=1e-3)
 
