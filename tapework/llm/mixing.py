@@ -210,9 +210,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``size`` and ``taken`` (``taken / size`` times)."""
+    """The rows of ``docs`` that the mix takes, with ``size`` and ``taken`` (``taken / size`` times),
+    which replace columns of these names."""
     prepare(docs.sparkSession)
     made = stored(decisions(docs, id_col, text_col, source_col, weights, share, cap, block), "decisions")
-    columns = [F.col(c) for c in docs.columns if c.lower() not in ("size", "taken")]
-    out = _decided(_tagged(docs, id_col, source_col, words(F.col(text_col))), source_col, made.drop("source_size", "target"))
+    # The row travels as one column, so that none of its names meets one used here.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    out = _decided(_tagged(rows, "doc_id", "source", F.col("size")), "source", made.drop("source_size", "target"))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("size", "taken")]
     return out.where("taken > 0").select(*columns, F.col("_size").alias("size"), "taken")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tapework.llm.common import prepare, stored
+from tapework.llm.common import fresh, prepare, stored
 from tapework.llm.components import connected
 
 SEED = 42
@@ -244,13 +244,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the one with the smallest text of each group stays.
     """
     prints, classes = _classes(docs, id_col, text_col, distance)
-    keep = classes.select(F.col("component_id").alias("_keep")).where("_keep IS NOT NULL").distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    twice = stored(prints.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_twice")), "twice")
-    repeated = [r[0] for r in twice.select(F.col("_twice").isNull()).distinct().collect()]
+    own, again = fresh(docs.columns, "_keep", "_twice")
+    keep = classes.select(F.col("component_id").alias(own)).where(F.col(own).isNotNull()).distinct()
+    kept = docs.join(keep, F.col(id_col) == F.col(own), "left_semi")
+    twice = stored(prints.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(again)), "twice")
+    repeated = [r[0] for r in twice.select(F.col(again).isNull()).distinct().collect()]
     if False in repeated:
-        some = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-        kept = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_anti").unionByName(some)
+        some = kept.join(twice, F.col(id_col) == F.col(again), "left_semi").dropDuplicates([id_col])
+        kept = kept.join(twice, F.col(id_col) == F.col(again), "left_anti").unionByName(some)
     if True in repeated:
         lost = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("_row"), _fingerprints(F.col(text_col)).alias("_p"))
         alone = lost.join(classes.where("component_id IS NULL"), F.col("_p") == F.col("_fp")).groupBy("root").agg(

@@ -63,6 +63,9 @@ def test_simhash_edges(spark):
     assert all(f == f"{naive_print(t):016x}" for i, t in rows for f in got.fingerprint[got.doc_id == i])
     kept = simhash.deduplicated(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8, 9] and kept.columns == docs.columns
+    named = docs.withColumn("_keep", F.lit(1)).withColumn("_Twice", F.lit(2)).withColumn("_fp", F.lit(3)).withColumn("root", F.lit(4))
+    again = simhash.deduplicated(named)
+    assert sorted(r.doc_id for r in again.collect()) == [1, 4, 6, 7, 8, 9] and again.columns == named.columns
     assert simhash.clusters(docs.limit(0)).count() == 0 and simhash.deduplicated(docs.limit(0)).count() == 0
 
 
@@ -273,6 +276,11 @@ def test_mix_edges(spark):
     assert (got[got["size"] == 0].taken == 0).all() and (got.taken <= 2 * got["size"]).all()
     kept = mixing.mixed(docs).toPandas()
     assert len(kept) == (got.taken > 0).sum() and kept.taken.sum() == got.taken.sum()
+    for name in ("_tag", "_size", "_t", "_ratio", "target", "SOURCE_SIZE"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    named = mixing.mixed(docs)
+    assert named.columns == [c for c in docs.columns if c not in ("size", "taken")] + ["size", "taken"]
+    assert named.agg(F.sum("taken")).first()[0] == got.taken.sum()
     assert mixing.mix(docs.limit(0)).count() == 0
     many = spark.createDataFrame([(f"s{k:04d}", 10 + k) for k in range(500)], "source string, source_size long")
     place = {r.source: r.place for r in mixing.numbered(many).collect()}
