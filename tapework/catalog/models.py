@@ -147,7 +147,7 @@ def config_fallback(spark, sf):
     tuned = ranking.best_trial(model.shrinkage_trials(made.where("ticker in ('1-URGENT', '5-LOW')"), FACTORS)).select(
         *KEYS, "trial", (F.col("trial") * 5 + 20).alias("window_size"))
     return model.config_or_default(made.select(*KEYS).distinct(), tuned,
-                                   {"trial": 3, "window_size": S.DEFAULT_CONFIG["window_size"]})
+                                   {"trial": 3, "window_size": S.DEFAULT_WINDOW})
 
 
 

@@ -111,11 +111,8 @@ DAILY_POINTS = {"1y": 400, "6mo": 220, "3mo": 120, "1mo": 40, "5d": 120, "1d": 2
 MAX_POINTS = 6000
 DEFAULT_POINTS = 2000
 
-# Default settings used when a search gives no configuration.
-DEFAULT_CONFIG = {
-    "hidden_size": 64, "num_layers": 2, "dropout": 0.3, "lr": 0.001,
-    "batch_size": 32, "window_size": 30, "forecast_horizon": 3,
-}
+# Fixed value: length of a sequence when a search gives no configuration.
+DEFAULT_WINDOW = 30
 
 
 def training_features(lookback: int = LOOKBACK) -> list[str]:
