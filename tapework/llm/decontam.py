@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -45,7 +45,6 @@ ANSWER = 0.8
 PART = 2000
 #: Benchmark windows whose cosines with a block of passages are held at once.
 _WINDOWS = 2048
-_MARKS = ".,;:!?"
 _EDGES = ".,;:!?\"'()[]"
 _NNZ = 1 << 14
 _BLOCKS = 16
@@ -57,8 +56,14 @@ def tokens(text: str | None) -> list[str]:
 
 
 def lookup(words: list[str]) -> dict[str, int]:
-    """Word -> place, also for the word with one closing mark, so that texts need no stripping."""
-    return {w + m: i for i, w in enumerate(words) for m in ("", *_MARKS)}
+    """Word -> place."""
+    return {w: i for i, w in enumerate(words)}
+
+
+def bare(words: Iterable[str]) -> Iterator[str]:
+    """The words of a plain split without punctuation at their ends, as in ``tokens``, but none left
+    out: what was nothing but marks is empty, so places stay those of the split."""
+    return map(str.strip, words, repeat(_EDGES))
 
 
 def item_windows(words: list[str]) -> list[list[str]]:
@@ -81,7 +86,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
             total += len(frame)
             for text in frame["_text"]:
                 if text:
-                    hits = {places[w] for w in known & set(text.lower().split())}
+                    hits = {places[w] for w in known & set(bare(set(text.lower().split())))}
                     if hits:
                         n[list(hits)] += 1
         held = np.nonzero(n)[0]
@@ -98,8 +103,9 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 
 
 def rows_of(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, count) of all passages of a document that hold a term, in that order."""
-    ids = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
+    """(passage, term, count) of all passages of a document that hold a term, in that order; ``words``
+    of a plain split."""
+    ids = np.fromiter(map(places.get, bare(words), repeat(-1)), np.int32, len(words))
     at = np.nonzero(ids >= 0)[0]
     if not len(at):
         return (np.empty(0, np.int64),) * 3
@@ -155,6 +161,21 @@ def _chunks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
 
 # --- latent space ------------------------------------------------------------------------------
 
+def _sums(source: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``source[at] * weight`` over rows that start at ``starts``: first entries of all rows, then
+    second ones and so on, which are at most WINDOW steps for passages (``np.add.reduceat`` is slow)."""
+    size = np.diff(np.r_[starts, len(at)])
+    order = np.argsort(-size, kind="stable")
+    first, size = starts[order], size[order]
+    held = np.zeros((len(starts), source.shape[1]), np.float32)
+    for j in range(int(size[0])):
+        entries = first[:np.searchsorted(-size, -j)] + j
+        held[:len(entries)] += source[at[entries]] * weight[entries, None]
+    out = np.empty_like(held)
+    out[order] = held
+    return out
+
+
 @dataclass
 class Sparse:
     """Rows of (term, weight) lists, terms ascending; ``starts`` has one more entry than rows."""
@@ -207,11 +228,13 @@ def _sketch(idf: np.ndarray, rank: int):
                 k, p, t, n = k[even], p[even], t[even], n[even]
                 starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
                 rows += len(starts)
-                z = np.add.reduceat(r[t] * w[:, None], starts)
+                z = _sums(r, t, w, starts)
                 owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(p)]))
                 order = np.argsort(t, kind="stable")
-                heads = np.r_[0, np.nonzero(np.diff(t[order]))[0] + 1]
-                y[t[order][heads]] += np.add.reduceat(z[owner[order]] * w[order, None], heads)
+                term, owner, w = t[order], owner[order], w[order]
+                heads = np.r_[0, np.nonzero(np.diff(term))[0] + 1, len(term)].tolist()
+                for a, b in zip(heads, heads[1:]):
+                    y[term[a]] += w[a:b] @ z[owner[a:b]]
         yield pd.DataFrame([(b, 0, rows if b == 0 else 0, np.ascontiguousarray(part).tobytes()) for b, part in enumerate(np.array_split(y, _BLOCKS))],
                            columns=["block", "part", "rows", "y"])
     return run
@@ -278,7 +301,7 @@ def _search(space: Space, idf: np.ndarray, bench: Sparse, items: np.ndarray):
                     continue
                 k, p, t, n = k[some], p[some], t[some], n[some]
                 starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
-                inside = np.add.reduceat(space.basis[t] * w[:, None], starts)
+                inside = _sums(space.basis, t, w, starts)
                 inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)
                 ends = np.r_[starts[1:], len(p)]
                 for first in range(0, len(bench), _WINDOWS):
@@ -333,7 +356,7 @@ def _verifier(items: dict[int, tuple[list[str], list[str]]]):
             out = []
             for doc, text, found in zip(frame["doc_id"], frame["_text"], frame["found"]):
                 # Words without punctuation, at the places of the plain split that passages count in.
-                words = [w.strip(_EDGES) for w in (text or "").lower().split()]
+                words = list(bare((text or "").lower().split()))
                 best: dict[int, tuple] = {}
                 for c in found:
                     item, answer = items[c["item"]]

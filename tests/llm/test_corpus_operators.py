@@ -162,6 +162,23 @@ def test_paraphrases_and_edges(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_marked_words_are_found(spark):
+    """Verbatim items whose words stand in quotes or brackets, or before two marks, in a plain and a marked form of the item."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    word = lambda n: list(rng.choice(vocabulary, n))
+    forms = ['"{}"', "({})", "[{}", "'{}", "{}!!", "{}).", "{}?\"", "({},"]
+    items = [word(40) for _ in range(len(forms) + 1)]
+    mixed = [forms[k % len(forms)].format(w) for k, w in enumerate(items[-1])]
+    rows = [(k, word(200) + [f.format(w) for w in items[k]] + word(100)) for k, f in enumerate(forms)] + [(len(forms), word(90) + mixed + word(30)), (100, word(300))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([*items[:-1], mixed])], "item_id long, text string")
+    got = decontam.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(len(items))} and all(r.lcs_share == 1.0 for r in got)
+    seen, total = decontam.frequencies(docs.withColumnRenamed("text", "_text"), [items[0][0], items[4][0]])
+    assert seen.tolist() == [sum(w in [x.strip(decontam._EDGES) for x in ws] for _, ws in rows) for w in (items[0][0], items[4][0])] and total == len(rows)
+
+
 def test_benchmark_in_parts_and_blocks(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = lambda: {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).select("doc_id", "item_id").collect()}
