@@ -16,7 +16,6 @@ paragraphs stay even where a site repeats them; entropy decides about the rest.
 
 from __future__ import annotations
 
-import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -110,19 +109,17 @@ def _known(tag: str, raw: str) -> tuple[str, int, int]:
     return found
 
 
-@functools.cache
-def _pair(tag: str) -> re.Pattern:
-    return re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>?", re.I)
-
-
-def _after(text: str, tag: str, at: int) -> int:
-    """Where the element opened just before ``at`` ends by its own end tag; -1 if nowhere."""
-    depth = 1
-    for m in _pair(tag).finditer(text, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return -1
+def _ends(text: str) -> dict[int, int]:
+    """Where elements end by their own end tags, by the place after their start tags. Tags in comments,
+    scripts and attributes are none; one pass, however many branches are dropped."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for m in _TAGS.finditer(text):
+        if tag := m["start"]:
+            opened.setdefault(tag.lower(), []).append(m.end())
+        elif (tag := m["end"]) and (held := opened.get(tag.lower())):
+            ends[held.pop()] = m.end()
+    return ends
 
 
 def _role(tag: str, attrs: dict[str, str], in_main: bool) -> int:
@@ -157,6 +154,7 @@ class Page:
         self._open: list[str] = []
         self._where = (False, False)
         self._removed, self._observe, self._source = removed, observe, text
+        self._ends: dict[int, int] | None = None
         stack, at = [Node("", "", None, False, False, True)], 0
         while m := _TAGS.search(text, at):
             if m.start() > at:
@@ -225,8 +223,11 @@ class Page:
             drop = xxhash.xxh64_intdigest(path) in self._removed
         if block and self._observe:
             top.kids.append(signature)
-        if drop and tag not in IMPLIED and (end := _after(self._source, tag, at)) >= 0:
-            return end
+        if drop and tag not in IMPLIED:
+            if self._ends is None:
+                self._ends = _ends(self._source)
+            if (end := self._ends.get(at)) is not None:
+                return end
         stack.append(Node(tag, path, top, drop, top.main or role > 0, signature == tag))
         return at
 

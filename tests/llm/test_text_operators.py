@@ -163,6 +163,17 @@ def test_page_text():
     assert htmltree.Page("<p>" * 3000 + "deep" + "</div>" * 50).main_text() == "deep"
 
 
+def test_dropped_branches_end_by_their_own_tags():
+    """Tags in scripts, comments and attributes of an advert neither hide the article nor let the advert in."""
+    article = "<article><p>Whole text</p></article>"
+    for inner in ('<script>document.write("<div id=x><\\/div>")</script>', "<!-- <div> -->", '<a title="<div>">x</a>', "<script>a='</div>'</script>buy",
+                  "<!-- </div> -->buy", "<a title='</div>'>x</a>buy", "<div>x</div>buy", "<textarea><div></textarea>"):
+        page = f'<body><div><div class="ad">{inner}</div>{article}</div><div>tail</div></body>'
+        assert htmltree.Page(page).main_text() == "Whole text", inner
+        assert htmltree.Page(page.replace("article", "div")).main_text() == "Whole text\ntail", inner
+    assert htmltree.Page("<body><p>start</p><div class=ad>never closed").main_text() == "start"
+
+
 def test_given_pages(spark):
     """The article of every given page, cut out by a plain expression."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
