@@ -11,7 +11,9 @@ page texts are not shuffled: only the removed branches of each host travel back
 
 Element roles come before entropy. Branches with a boilerplate role (nav, footer, aside, forms,
 advert or comment classes and so on) go even on a site's only page, and an article's plain
-paragraphs stay even where a site repeats them; entropy decides about the rest.
+paragraphs stay even where a site repeats them; entropy decides about the rest. Inside the main text
+words of classes and ids are no role: they only lower a node's importance (``SUSPECT``), and headings
+are never judged by their ids. Only containers named exactly as adverts or comments go there at once.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.2
 #: Weight of contents against presentation.
 CONTENT = 0.7
+#: Factor on the importance of nodes inside the main text whose class or id has a bad word.
+SUSPECT = 0.4
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +59,11 @@ BAD_WORDS = frozenset((
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login paywall "
     "share sharing social related recommended recommendations recommend trending popular widget widgets "
     "comment comments commentlist reply replies respond disqus discussion footer footnav masthead copyright colophon search searchbox hidden skip").split())
+#: Whole class or id names of adverts and comments.
+BAD_NAMES = frozenset((
+    "ad ads ad-slot ad-container ad-banner adbox adslot advert adverts advertisement advertising sponsored "
+    "comments comment-list commentlist comments-area comments-section disqus disqus_thread").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 TEXT_WORDS = frozenset("article post entry story main".split())
@@ -74,11 +83,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 class Node:
     """An open element: its path, what happens to text below it, and what was seen there."""
-    __slots__ = ("tag", "path", "drop", "main", "plain", "kids", "digest", "texts", "parent")
+    __slots__ = ("tag", "path", "drop", "main", "plain", "suspect", "kids", "digest", "texts", "parent")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, drop: bool, main: bool, plain: bool):
+    def __init__(self, tag: str, path: str, parent: Node | None, drop: bool, main: bool, plain: bool, suspect: bool = False):
         self.tag, self.path, self.parent = tag, path, parent
-        self.drop, self.main, self.plain = drop, main, plain
+        self.drop, self.main, self.plain, self.suspect = drop, main, plain, suspect
         self.kids: list[str] = []
         self.digest = xxhash.xxh64()
         self.texts = 0
@@ -90,22 +99,24 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _signature(tag: str, attrs: dict[str, str]) -> str:
     marks = sorted(attrs.get("class", "").split())
-    if attrs.get("id"):
+    if attrs.get("id") and tag not in HEADINGS:
         marks.append("#" + re.sub(r"[0-9]+", "0", attrs["id"]))
     return tag + "".join("." + m for m in marks)
 
 
-_KNOWN: dict[tuple[str, str], tuple[str, int, int]] = {}
+_KNOWN: dict[tuple[str, str], tuple[str, int, int, bool]] = {}
 
 
-def _known(tag: str, raw: str) -> tuple[str, int, int]:
-    """Signature of a start tag and its role outside and inside the main text; kept for equal tags."""
+def _known(tag: str, raw: str) -> tuple[str, int, int, bool]:
+    """Signature of a start tag, its role outside and inside the main text, and whether it is suspect
+    inside; kept for equal tags."""
     found = _KNOWN.get((tag, raw))
     if found is None:
         if len(_KNOWN) > 20_000:
             _KNOWN.clear()
         attrs = _attributes(raw)
-        found = _KNOWN[tag, raw] = (_signature(tag, attrs), _role(tag, attrs, False), _role(tag, attrs, True))
+        found = _KNOWN[tag, raw] = (
+            _signature(tag, attrs), _role(tag, attrs, False), _role(tag, attrs, True), bool(_words(tag, attrs) & BAD_WORDS))
     return found
 
 
@@ -122,6 +133,11 @@ def _ends(text: str) -> dict[int, int]:
     return ends
 
 
+def _words(tag: str, attrs: dict[str, str]) -> set[str]:
+    """Words of the class and id; a heading's id is made from its text and says nothing."""
+    return {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + ("" if tag in HEADINGS else attrs.get("id", "")))}
+
+
 def _role(tag: str, attrs: dict[str, str], in_main: bool) -> int:
     """-1 boilerplate, 1 main text, 0 undecided."""
     if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
@@ -134,8 +150,13 @@ def _role(tag: str, attrs: dict[str, str], in_main: bool) -> int:
     if role in BAD_ROLES:
         return -1
     names = attrs.get("class", "") + " " + attrs.get("id", "")
-    words = {w.lower() for w in _WORDS.findall(names)}
-    if words & BAD_WORDS or (words & HEAD_WORDS and not in_main and not words & TEXT_WORDS):
+    words = _words(tag, attrs)
+    if in_main:
+        if tag in BLOCKS and tag not in HEADINGS and set(names.lower().split()) & BAD_NAMES:
+            return -1
+        if words & BAD_WORDS:
+            return 0
+    elif words & BAD_WORDS or (words & HEAD_WORDS and not words & TEXT_WORDS):
         return -1
     if tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody":
         return 1
@@ -146,11 +167,11 @@ def _role(tag: str, attrs: dict[str, str], in_main: bool) -> int:
 
 class Page:
     """One pass over a page. ``blocks``: (in main, text) in page order; ``nodes``: closed block
-    elements that roles leave to the style tree, as (path, presentation, content)."""
+    elements that roles leave to the style tree, as (path, presentation, content, suspect)."""
 
     def __init__(self, text: str, removed: frozenset[int] = frozenset(), observe: bool = False):
         self.blocks: list[tuple[bool, str]] = []
-        self.nodes: list[tuple[int, int, int]] = []
+        self.nodes: list[tuple[int, int, int, bool]] = []
         self._open: list[str] = []
         self._where = (False, False)
         self._removed, self._observe, self._source = removed, observe, text
@@ -214,21 +235,23 @@ class Page:
         if top.drop:
             stack.append(Node(tag, top.path, top, True, top.main, False))
             return at
-        signature, outside, inside = _known(tag, raw)
+        signature, outside, inside, suspect = _known(tag, raw)
         role = inside if top.main else outside
-        path = f"{top.path}>{signature}" if block else top.path
+        suspect = suspect and top.main
+        judged = block or suspect
+        path = f"{top.path}>{signature}" if judged else top.path
         drop = role < 0
         # The style tree judges what has no role of its own: anything outside the main text, marked elements inside.
-        if block and self._removed and not drop and role == 0 and (signature != tag or not top.main):
+        if judged and self._removed and not drop and role == 0 and (signature != tag or not top.main):
             drop = xxhash.xxh64_intdigest(path) in self._removed
-        if block and self._observe:
+        if judged and self._observe:
             top.kids.append(signature)
         if drop and tag not in IMPLIED:
             if self._ends is None:
                 self._ends = _ends(self._source)
             if (end := self._ends.get(at)) is not None:
                 return end
-        stack.append(Node(tag, path, top, drop, top.main or role > 0, signature == tag))
+        stack.append(Node(tag, path, top, drop, top.main or role > 0, signature == tag, suspect))
         return at
 
     def _end(self, stack: list[Node], tag: str) -> None:
@@ -250,8 +273,8 @@ class Page:
         if self._observe and node.parent is not None and node.texts:
             node.parent.digest.update(node.digest.digest())
             node.parent.texts += node.texts
-            if node.tag in BLOCKS and node.tag not in ("html", "body") and not node.drop and (not node.main or not node.plain):
-                self.nodes.append((xxhash.xxh64_intdigest(node.path), xxhash.xxh64_intdigest(" ".join(sorted(set(node.kids)))), node.digest.intdigest()))
+            if (node.tag in BLOCKS or node.suspect) and node.tag not in ("html", "body") and not node.drop and (not node.main or not node.plain):
+                self.nodes.append((xxhash.xxh64_intdigest(node.path), xxhash.xxh64_intdigest(" ".join(sorted(set(node.kids)))), node.digest.intdigest(), node.suspect))
 
     def main_text(self) -> str:
         """The blocks of the main element where there is one, else all blocks that stayed."""
@@ -275,30 +298,34 @@ def _observed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, text in zip(frame["host"], frame["_html"]):
             seen = set()
-            for path, look, content in Page(text or "", observe=True).nodes:
-                rows.append((host, _signed(path), _signed(look), _signed(content), int(path not in seen)))
+            for path, look, content, suspect in Page(text or "", observe=True).nodes:
+                rows.append((host, _signed(path), _signed(look), _signed(content), int(path not in seen), int(suspect)))
                 seen.add(path)
-        yield pd.DataFrame(rows, columns=["host", "path", "look", "content", "page"]).astype(
-            {"path": "int64", "look": "int64", "content": "int64", "page": "int64"})
+        yield pd.DataFrame(rows, columns=["host", "path", "look", "content", "page", "suspect"]).astype(
+            {"path": "int64", "look": "int64", "content": "int64", "page": "int64", "suspect": "int64"})
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(host, path, pages, presentation, content, importance)`` of all style nodes of all hosts.
-    Entropies are normalised by the logarithm of the number of occurrences, so 1 is all different."""
+    Entropies are normalised by the logarithm of the number of occurrences, so 1 is all different.
+    The importance of suspect nodes is lowered."""
     seen = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("_html")).mapInPandas(
-        _observed, "host string, path long, look long, content long, page long")
+        _observed, "host string, path long, look long, content long, page long, suspect long")
     # One row per (node, look) and one per (node, content), from one pass over the pages.
-    kinds = seen.select("host", "path", "page", F.inline(F.array(
+    kinds = seen.select("host", "path", "page", "suspect", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("look").alias("value")), F.struct(F.lit(1).alias("side"), F.col("content").alias("value")))))
-    counts = kinds.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("page").alias("page"))
+    counts = kinds.groupBy("host", "path", "side", "value").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("page").alias("page"),
+                                                              F.max("suspect").alias("suspect"))
 
     def entropy(side: int) -> Column:
         n = F.when(F.col("side") == side, F.col("n"))
         total = F.sum(n)
         return F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(F.lit(1.0))
 
-    nodes = counts.groupBy("host", "path").agg((F.sum("page") / 2).cast("long").alias("pages"), entropy(0).alias("presentation"), entropy(1).alias("content"))
-    return nodes.withColumn("importance", CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation"))
+    nodes = counts.groupBy("host", "path").agg((F.sum("page") / 2).cast("long").alias("pages"), entropy(0).alias("presentation"), entropy(1).alias("content"),
+                                               F.max("suspect").alias("suspect"))
+    prior = F.when(F.col("suspect") > 0, F.lit(SUSPECT)).otherwise(F.lit(1.0))
+    return nodes.withColumn("importance", prior * (CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation"))).drop("suspect")
 
 
 def removed_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:

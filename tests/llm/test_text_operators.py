@@ -199,6 +199,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert htmltree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_words_in_names_do_not_cut_articles(spark):
+    """Ids and classes with bad words inside an article: what varies over the host stays, what repeats goes."""
+    def page(k):
+        return (f'<body><div class="related">outside</div><article><h1>T{k}</h1><h2 id="related-work">Related work</h2><section id="discussion"><p>Talk {k}</p></section>'
+                f'<p class="notice">Note {k}</p><div class="social-history">Past {k} <span class="search-term">term {k}</span></div><p>See <a class="share-link">Share this</a> end {k}</p>'
+                f'<div class="newsletter-box"><p>Sign up</p></div><div class="ad">Buy {k}</div><section id="comments"><p>Reader {k}</p></section></article></body>')
+    rows = [(k, f"http://host.example/{k}", page(k)) for k in range(20)] + [(100, "http://lone.example/", page(100))]
+    got = {r.page_id: r.text.split("\n") for r in htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda k: [f"T{k}", "Related work", f"Talk {k}", f"Note {k}", f"Past {k} term {k}"]
+    assert all(got[k] == want(k) + [f"See end {k}"] for k in range(20))
+    assert got[100] == want(100) + ["See Share this end 100", "Sign up"]  # one page is no site
+
+
 def test_licenses(spark):
     rows = [("r/LICENSE", "Released under the MIT License."), ("r/a/b/x.txt", "plain words"), ("r/a/LICENSE.md", "Licensed under the Apache License, Version 2.0."),
             ("r/c/y.txt", "nothing\nThis work is licensed under the GNU General Public License, version 3.\nmore"), ("q/z.txt", None), ("top.txt", ""),
