@@ -11,7 +11,9 @@
    window's weight, are candidates.
 5. ``verified``: longest common subsequence of the item and the words around the passage. A share of
    ``STRONG`` is a leak; from ``WEAK`` up the item's answer (what follows its last answer mark, else
-   its last sentence) must be there as well, which catches paraphrases.
+   its last sentence) must be there as well, which catches paraphrases. Items longer than ``WINDOW``
+   also leak piecewise: a share of ``STRONG`` of the found window in the words around the passage is a
+   leak of its item, so any verbatim excerpt of ``WINDOW`` words is, however long the item.
 
 The benchmark goes through in parts of at most ``PART`` items, so what tasks are handed is bounded.
 """
@@ -278,7 +280,7 @@ def latent(sparse: DataFrame, idf: np.ndarray, bench: Sparse, rank: int = RANK)
     return Space(basis.astype(np.float32), (inside / np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)).astype(np.float32))
 
 
-def _search(space: Space, idf: np.ndarray, bench: Sparse, items: np.ndarray):
+def _search(space: Space, idf: np.ndarray, bench: Sparse):
     held = bench.weight ** 2  # squared weights of each window
     most = np.zeros(len(idf))
     np.maximum.at(most, bench.term, held)
@@ -308,8 +310,8 @@ def _search(space: Space, idf: np.ndarray, bench: Sparse, items: np.ndarray):
                     cosine = inside @ space.windows[first:first + _WINDOWS].T
                     for a, b in np.argwhere(cosine >= COSINE).tolist():
                         if shared(first + b, t[starts[a]:ends[a]]) >= SHARED:
-                            out.append((docs[k[starts[a]]], int(items[first + b]), int(p[starts[a]]), float(cosine[a, b])))
-            yield pd.DataFrame(out, columns=["doc_id", "item", "passage", "cosine"])
+                            out.append((docs[k[starts[a]]], first + b, int(p[starts[a]]), float(cosine[a, b])))
+            yield pd.DataFrame(out, columns=["doc_id", "window", "passage", "cosine"])
     return run
 
 
@@ -350,7 +352,13 @@ def judge(item: list[str], answer: list[str], region: list[str]) -> tuple[float,
     return share, part, share >= least or (len(item) >= 5 and share >= WEAK and part >= ANSWER)
 
 
-def _verifier(items: dict[int, tuple[list[str], list[str]]]):
+def excerpt(window: list[str], region: list[str]) -> bool:
+    """Whether ``region`` holds a window of a long item in order, to a share of ``STRONG``."""
+    least = STRONG * len(window)
+    return sum((Counter(window) & Counter(region)).values()) >= least and common(window, region) >= least
+
+
+def _verifier(items: dict[int, tuple[list[str], list[str]]], windows: list[list[str]], owner: list[int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -358,13 +366,22 @@ def _verifier(items: dict[int, tuple[list[str], list[str]]]):
                 # Words without punctuation, at the places of the plain split that passages count in.
                 words = list(bare((text or "").lower().split()))
                 best: dict[int, tuple] = {}
+                judged: dict[tuple[int, int], tuple[float, float, bool]] = {}
+
+                def around(place: int, width: int) -> list[str]:
+                    return [w for w in words[max(0, place - width):place + WINDOW + width] if w]
+
                 for c in found:
-                    item, answer = items[c["item"]]
-                    a = c["passage"] * STRIDE - len(item)
-                    region = [w for w in words[max(0, a):c["passage"] * STRIDE + WINDOW + len(item)] if w]
-                    share, part, leak = judge(item, answer, region)
-                    if leak and (share, part, c["cosine"]) > best.get(c["item"], (-1.0,)):
-                        best[c["item"]] = (share, part, c["cosine"], c["passage"] * STRIDE)
+                    k, place = owner[c["window"]], c["passage"] * STRIDE
+                    item, answer = items[k]
+                    if (k, place) not in judged:
+                        judged[k, place] = judge(item, answer, around(place, len(item)))
+                    share, part, leak = judged[k, place]
+                    if not leak and len(item) > WINDOW and excerpt(windows[c["window"]], around(place, WINDOW)):
+                        region = around(place, len(item))
+                        share, part, leak = common(item, region) / len(item), common(answer, region) / len(answer) if answer else 0.0, True
+                    if leak and (share, part, c["cosine"]) > best.get(k, (-1.0,)):
+                        best[k] = (share, part, c["cosine"], place)
                 out += [(doc, i, s, p, x, at) for i, (s, p, x, at) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item", "lcs_share", "answer_share", "cosine", "word_at"])
     return run
@@ -391,11 +408,11 @@ def _part(docs: DataFrame, items: list[tuple], kind: str) -> DataFrame:
                        for window in windows])
     sparse = stored(docs.mapInPandas(_sparse(terms), f"doc_id {kind}, p array<int>, t array<int>, n array<int>"), "passages")
     space = latent(sparse, idf, bench)
-    found = sparse.mapInPandas(_search(space, idf, bench, np.array(owner)), f"doc_id {kind}, item int, passage int, cosine double")
-    listed = stored(found.groupBy("doc_id", "item", "passage").agg(F.max("cosine").alias("cosine")).groupBy("doc_id").agg(
-        F.collect_list(F.struct("item", "passage", "cosine")).alias("found")), "candidates").withColumnRenamed("doc_id", "_doc")
+    found = sparse.mapInPandas(_search(space, idf, bench), f"doc_id {kind}, window int, passage int, cosine double")
+    listed = stored(found.groupBy("doc_id", "window", "passage").agg(F.max("cosine").alias("cosine")).groupBy("doc_id").agg(
+        F.collect_list(F.struct("window", "passage", "cosine")).alias("found")), "candidates").withColumnRenamed("doc_id", "_doc")
     checked = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_text", "found").mapInPandas(
-        _verifier({k: (ws, answer_of(items[k][1])) for k, ws in enumerate(texts)}),
+        _verifier({k: (ws, answer_of(items[k][1])) for k, ws in enumerate(texts)}, windows, owner),
         f"doc_id {kind}, item int, lcs_share double, answer_share double, cosine double, word_at long")
     names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
     return checked.join(names, "item").drop("item")
@@ -406,7 +423,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``(doc_id, item_id, lcs_share, answer_share, cosine, word_at)``: one row per document and leaked item.
 
     NULL or empty texts and items hold nothing. Documents that share an id are one: their best match
-    counts. Items under five words leak only as a whole. Other columns are ignored.
+    counts. Items under five words leak only as a whole; of items longer than WINDOW words an excerpt of
+    about a window is a leak, with the shares of the whole item in its row. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

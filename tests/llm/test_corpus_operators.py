@@ -179,6 +179,18 @@ def test_marked_words_are_found(spark):
     assert seen.tolist() == [sum(w in [x.strip(decontam._EDGES) for x in ws] for _, ws in rows) for w in (items[0][0], items[4][0])] and total == len(rows)
 
 
+def test_long_items_leak_piecewise(spark):
+    """Excerpts of an item of 300 words: any 32 words or more of it are a leak, few or scattered words are not."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    word = lambda n: list(rng.choice(vocabulary, n))
+    item = word(300)
+    parts = {1: item[100:200], 2: item[37:69], 3: item[260:], 4: item, 5: item[90:104], 6: list(rng.permutation(item[100:200])), 7: word(100)}
+    docs = spark.createDataFrame([(i, " ".join(word(120) + w + word(150))) for i, w in parts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4].lcs_share == 1.0 and 100 <= 300 * got[1].lcs_share < 180
+
+
 def test_benchmark_in_parts_and_blocks(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = lambda: {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).select("doc_id", "item_id").collect()}
