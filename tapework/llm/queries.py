@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapework.llm import ann, decontam, htmltree, licenses, mixing, pii, quality, secrets, simhash, warc
+from tapework.llm import ann, decontam, htmltree, licenses, mixing, pii, quality, secrets, simhash, tokenalign, warc
 from tapework.llm.common import table
 
 
@@ -62,10 +62,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.summaries(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses, "op2_personal": op2_personal, "op3_simhash": op3_simhash, "op4_main_text": op4_main_text,
     "op5_secrets": op5_secrets, "op6_decontaminate": op6_decontaminate, "op7_nearest": op7_nearest, "op8_mix": op8_mix,
-    "op9_warc": op9_warc, "op10_quality": op10_quality,
+    "op9_warc": op9_warc, "op10_quality": op10_quality, "op11_align": op11_align,
 }
 
 SQL: dict[str, str] = {
