@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a chunk; a longer document is a chunk by itself.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -48,20 +48,22 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(starts[-1]) - np.repeat(starts[:-1] - first, size)
 
 
-def cut(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[int, list, list[str | None]]]:
-    """(chunk number, ids, texts) of the documents of a task; columns ``doc_id`` and ``_text``."""
+def cut(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[int, dict[str, list]]]:
+    """(chunk number, columns) of the documents of a task, by the characters of their ``_text``."""
     number = TaskContext.get().partitionId() << 32
-    ids, texts, held = [], [], 0
+    held: dict[str, list] = {}
+    chars = 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()):
-            ids.append(doc)
-            texts.append(text)
-            held += len(text or "")
-            if held >= size:
-                yield number, ids, texts
-                number, ids, texts, held = number + 1, [], [], 0
-    if ids:
-        yield number, ids, texts
+        names = batch.schema.names
+        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+            for name, value in zip(names, row):
+                held.setdefault(name, []).append(value)
+            chars += len(held["_text"][-1] or "")
+            if chars >= size:
+                yield number, held
+                number, held, chars = number + 1, {}, 0
+    if held:
+        yield number, held
 
 
 def entries(chunks: DataFrame) -> DataFrame:

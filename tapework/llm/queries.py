@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapework.llm import ann, decontam, htmltree, licenses, mixing, pii, quality, secrets, simhash, tokenalign, warc
+from tapework.llm import ann, classlm, decontam, htmltree, lexsearch, licenses, mixing, pii, quality, secrets, simhash, tokenalign, warc
 from tapework.llm.common import table
 
 
@@ -66,12 +66,25 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.summaries(table(spark, sf_dir, "documents"))
 
 
+def op12_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses, "op2_personal": op2_personal, "op3_simhash": op3_simhash, "op4_main_text": op4_main_text,
     "op5_secrets": op5_secrets, "op6_decontaminate": op6_decontaminate, "op7_nearest": op7_nearest, "op8_mix": op8_mix,
     "op9_warc": op9_warc, "op10_quality": op10_quality, "op11_align": op11_align,
+    "op12_perplexity": op12_perplexity, "op13_search": op13_search,
 }
 
+#: DuckDB: the terms of a text as a list.
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
 SQL: dict[str, str] = {
     "op7_nearest": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -88,4 +101,16 @@ SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
             CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+    "op13_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS words FROM documents),
+        g AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS word FROM benchmark),
+        t AS (SELECT row, doc_id, n, word, count(*) AS tf FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS word FROM d)
+              WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+        w AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+              FROM t, g GROUP BY word),
+        s AS (SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+              FROM t JOIN w USING (word) JOIN q USING (word), g GROUP BY item_id, row, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }

@@ -266,8 +266,8 @@ def _digests(models):
     """Rows of documents (units as codes) and, per chunk, one row with its pairs and units."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*models.value)
-        for number, ids, texts in cut(batches):
-            chunk = Chunk(tokens, texts)
+        for number, rows in cut(batches):
+            ids, chunk = rows["doc_id"], Chunk(tokens, rows["_text"])
             u, n = chunk.units, len(ids)
             digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in chunk.groups()]
             keys, seen, at = chunk.pairs()
@@ -337,8 +337,9 @@ def groups(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*models.value)
-        for _, ids, texts in cut(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(Chunk(tokens, texts).groups()), pa.string())], names=["doc_id", "groups"])
+        for _, rows in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"]), pa.array(list(Chunk(tokens, rows["_text"]).groups()), pa.string())],
+                                             names=["doc_id", "groups"])
 
     def numbers(part):
         return F.transform(F.split(part, ","), lambda x: x.cast("int"))
