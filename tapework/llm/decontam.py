@@ -8,7 +8,8 @@
    vectors (Nystrom form), so one pass does. The benchmark windows are added with as much weight as
    all passages together, so that their directions are kept.
 4. Passages whose latent cosine with a benchmark window is high, and which share enough of the
-   window's weight, are candidates.
+   window's weight, are candidates. Only documents with a passage that could share enough keep their
+   text beside the sparse rows, so search and verification are one pass and no text is shuffled.
 5. ``verified``: longest common subsequence of the item and the words around the passage. A share of
    ``STRONG`` is a leak; from ``WEAK`` up the item's answer (what follows its last answer mark, else
    its last sentence) must be there as well, which catches paraphrases. Items longer than ``WINDOW``
@@ -121,7 +122,13 @@ def rows_of(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, np.nd
     return key // width, key % width, n
 
 
-def _sparse(words: list[str]):
+def able(p: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the terms of each passage could add up to SHARED of some window; ``most``: the largest
+    squared weight that each term has in a window."""
+    return np.add.reduceat(most[t], np.r_[0, np.nonzero(np.diff(p))[0] + 1]) >= SHARED - 1e-4
+
+
+def _sparse(words: list[str], most: np.ndarray):
     places = lookup(words)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +138,9 @@ def _sparse(words: list[str]):
                 if text:
                     p, t, n = rows_of(text.lower().split(), places)
                     if len(p):
-                        out.append((doc, p.astype(np.int32), t.astype(np.int32), n.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "p", "t", "n"])
+                        held = text if able(p, t, most).any() else None
+                        out.append((doc, p.astype(np.int32), t.astype(np.int32), n.astype(np.int32), held))
+            yield pd.DataFrame(out, columns=["doc_id", "p", "t", "n", "_text"])
     return run
 
 
@@ -200,6 +208,12 @@ class Sparse:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def largest(self, terms: int) -> np.ndarray:
+        """The largest squared weight of each term."""
+        out = np.zeros(terms)
+        np.maximum.at(out, self.term, self.weight ** 2)
+        return out
+
     def times(self, right: np.ndarray) -> np.ndarray:
         return np.stack([self.weight[a:b] @ right[self.term[a:b]] for a, b in zip(self.starts, self.starts[1:])])
 
@@ -280,10 +294,10 @@ def latent(sparse: DataFrame, idf: np.ndarray, bench: Sparse, rank: int = RANK)
     return Space(basis.astype(np.float32), (inside / np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)).astype(np.float32))
 
 
-def _search(space: Space, idf: np.ndarray, bench: Sparse):
+def _candidates(space: Space, idf: np.ndarray, bench: Sparse):
+    """A function from a frame of sparse documents to (row, window, passage, cosine) of its candidates."""
     held = bench.weight ** 2  # squared weights of each window
-    most = np.zeros(len(idf))
-    np.maximum.at(most, bench.term, held)
+    most = bench.largest(len(idf))
 
     def shared(window: int, terms: np.ndarray) -> float:
         """The part of the window's weight that ascending ``terms`` hold."""
@@ -291,27 +305,22 @@ def _search(space: Space, idf: np.ndarray, bench: Sparse):
         at = np.searchsorted(terms, bench.term[some])
         return float(held[some][terms[np.minimum(at, len(terms) - 1)] == bench.term[some]].sum())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out, docs = [], frame["doc_id"].to_numpy()
-            for k, p, t, n in _chunks(frame):
-                # A passage whose terms could not add up to SHARED for any window is no candidate.
-                starts = np.r_[0, np.nonzero(np.diff(k * (1 << 40) + p))[0] + 1]
-                able = np.add.reduceat(most[t], starts) >= SHARED - 1e-4
-                some = np.repeat(able, np.diff(np.r_[starts, len(p)]))
-                if not some.any():
-                    continue
-                k, p, t, n = k[some], p[some], t[some], n[some]
-                starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
-                inside = _sums(space.basis, t, w, starts)
-                inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)
-                ends = np.r_[starts[1:], len(p)]
-                for first in range(0, len(bench), _WINDOWS):
-                    cosine = inside @ space.windows[first:first + _WINDOWS].T
-                    for a, b in np.argwhere(cosine >= COSINE).tolist():
-                        if shared(first + b, t[starts[a]:ends[a]]) >= SHARED:
-                            out.append((docs[k[starts[a]]], first + b, int(p[starts[a]]), float(cosine[a, b])))
-            yield pd.DataFrame(out, columns=["doc_id", "window", "passage", "cosine"])
+    def run(frame: pd.DataFrame) -> Iterator[tuple[int, int, int, float]]:
+        for k, p, t, n in _chunks(frame):
+            key = k * (1 << 40) + p
+            some = np.repeat(able(key, t, most), np.diff(np.r_[0, np.nonzero(np.diff(key))[0] + 1, len(key)]))
+            if not some.any():
+                continue
+            k, p, t, n = k[some], p[some], t[some], n[some]
+            starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
+            inside = _sums(space.basis, t, w, starts)
+            inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)
+            ends = np.r_[starts[1:], len(p)]
+            for first in range(0, len(bench), _WINDOWS):
+                cosine = inside @ space.windows[first:first + _WINDOWS].T
+                for a, b in np.argwhere(cosine >= COSINE).tolist():
+                    if shared(first + b, t[starts[a]:ends[a]]) >= SHARED:
+                        yield int(k[starts[a]]), first + b, int(p[starts[a]]), float(cosine[a, b])
     return run
 
 
@@ -358,11 +367,16 @@ def excerpt(window: list[str], region: list[str]) -> bool:
     return sum((Counter(window) & Counter(region)).values()) >= least and common(window, region) >= least
 
 
-def _verifier(items: dict[int, tuple[list[str], list[str]]], windows: list[list[str]], owner: list[int]):
+def _verifier(candidates, items: dict[int, tuple[list[str], list[str]]], windows: list[list[str]], owner: list[int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text, found in zip(frame["doc_id"], frame["_text"], frame["found"]):
+            listed: dict[int, list[tuple[int, int, float]]] = {}
+            for k, *candidate in candidates(frame):
+                listed.setdefault(k, []).append(candidate)
+            docs, texts = frame["doc_id"].tolist(), frame["_text"].tolist()
+            for row, found in listed.items():
+                doc, text = docs[row], texts[row]
                 # Words without punctuation, at the places of the plain split that passages count in.
                 words = list(bare((text or "").lower().split()))
                 best: dict[int, tuple] = {}
@@ -371,17 +385,17 @@ def _verifier(items: dict[int, tuple[list[str], list[str]]], windows: list[list[
                 def around(place: int, width: int) -> list[str]:
                     return [w for w in words[max(0, place - width):place + WINDOW + width] if w]
 
-                for c in found:
-                    k, place = owner[c["window"]], c["passage"] * STRIDE
+                for window, passage, cosine in found:
+                    k, place = owner[window], passage * STRIDE
                     item, answer = items[k]
                     if (k, place) not in judged:
                         judged[k, place] = judge(item, answer, around(place, len(item)))
                     share, part, leak = judged[k, place]
-                    if not leak and len(item) > WINDOW and excerpt(windows[c["window"]], around(place, WINDOW)):
+                    if not leak and len(item) > WINDOW and excerpt(windows[window], around(place, WINDOW)):
                         region = around(place, len(item))
                         share, part, leak = common(item, region) / len(item), common(answer, region) / len(answer) if answer else 0.0, True
-                    if leak and (share, part, c["cosine"]) > best.get(k, (-1.0,)):
-                        best[k] = (share, part, c["cosine"], place)
+                    if leak and (share, part, cosine) > best.get(k, (-1.0,)):
+                        best[k] = (share, part, cosine, place)
                 out += [(doc, i, s, p, x, at) for i, (s, p, x, at) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item", "lcs_share", "answer_share", "cosine", "word_at"])
     return run
@@ -406,13 +420,11 @@ def _part(docs: DataFrame, items: list[tuple], kind: str) -> DataFrame:
     idf = np.array([rarity[w] for w in terms])
     bench = Sparse.of([{place[w]: (1 + np.log(n)) * idf[place[w]] for w, n in Counter(x for x in window if x in place).items()}
                        for window in windows])
-    sparse = stored(docs.mapInPandas(_sparse(terms), f"doc_id {kind}, p array<int>, t array<int>, n array<int>"), "passages")
-    space = latent(sparse, idf, bench)
-    found = sparse.mapInPandas(_search(space, idf, bench), f"doc_id {kind}, window int, passage int, cosine double")
-    listed = stored(found.groupBy("doc_id", "window", "passage").agg(F.max("cosine").alias("cosine")).groupBy("doc_id").agg(
-        F.collect_list(F.struct("window", "passage", "cosine")).alias("found")), "candidates").withColumnRenamed("doc_id", "_doc")
-    checked = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "_text", "found").mapInPandas(
-        _verifier({k: (ws, answer_of(items[k][1])) for k, ws in enumerate(texts)}, windows, owner),
+    sparse = stored(docs.mapInPandas(_sparse(terms, bench.largest(len(terms))),
+                                     f"doc_id {kind}, p array<int>, t array<int>, n array<int>, _text string"), "passages")
+    space = latent(sparse.select("p", "t", "n"), idf, bench)
+    checked = sparse.where(F.col("_text").isNotNull()).mapInPandas(
+        _verifier(_candidates(space, idf, bench), {k: (ws, answer_of(items[k][1])) for k, ws in enumerate(texts)}, windows, owner),
         f"doc_id {kind}, item int, lcs_share double, answer_share double, cosine double, word_at long")
     names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
     return checked.join(names, "item").drop("item")
