@@ -1,10 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (hashed words, and shares of symbols, capitals, repeats and
-separators) and its metadata (source, language, length, how the table's length compares with it).
-Each view has a logistic classifier. Over a few rounds each scores a pool of unlabelled documents
-and hands its surest ones, with their pseudo-labels, to the other; then both are calibrated on held
-out labelled documents, and the calibrated log odds are combined with weights learned there.
+separators) and its metadata (source, language, both together, whether a length is stated), which has
+nothing of the content. Each view has a logistic classifier. Over a few rounds each scores a pool of
+unlabelled documents and hands its surest ones, with their pseudo-labels, to the other; then both are
+calibrated on held out labelled documents, and the calibrated log odds are combined with weights
+learned there, none of them negative.
+
+A view that ranks held-out documents no better than chance (``live``) hands nothing over and has weight
+0. What is handed over stays only if it does not raise the receiving view's held-out loss, and views
+are combined only if that does not raise the loss of the better one.
 
 Training uses bounded samples (parameters below, chosen by hash of the id); scoring runs over all
 documents and whole texts.
@@ -79,11 +84,9 @@ class TextView:
         return np.concatenate((ids, BUCKETS + np.arange(SHARES))), np.concatenate((values, shares))
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: float | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+def meta_features(source: str | None, lang: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Features of the page's metadata. A NULL field has a slot of its own."""
-    log = int(np.log2(size + 1))
-    keys = [f"s:{source}", f"l:{lang}", f"n:{log}", f"ln:{lang}:{log}", "bias",
-            "x:none" if n_chars is None or n_chars != n_chars else f"x:{int(n_chars) == size}"]
+    keys = [f"s:{source}", f"l:{lang}", f"sl:{source}:{lang}", "bias", f"x:{n_chars is None or n_chars != n_chars}"]
     return np.array([crc32(k.encode("utf-8", "surrogatepass")) % META for k in keys]), np.ones(len(keys))
 
 
@@ -107,40 +110,101 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def logistic(rows: Rows, y: np.ndarray, width: int, penalty: float = 0.2, steps: int = 80) -> np.ndarray:
-    """Weights of a logistic regression with balanced classes, by accelerated gradient steps."""
-    w = np.zeros(width)
+def _descend(w: np.ndarray, value, gradient, direction, steps: int, least: float) -> np.ndarray:
+    """Newton steps, each halved until the value falls."""
+    now = value(w)
+    for _ in range(steps):
+        g = gradient(w)
+        if np.abs(g).max() < least:
+            break
+        step = direction(w, g)
+        for _ in range(40):
+            after = value(w - step)
+            if after <= now:
+                break
+            step = step / 2
+        else:
+            break
+        w, now = w - step, after
+    return w
+
+
+def _loss(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Negative log likelihood of targets ``y`` at log odds ``x``."""
+    return np.logaddexp(0, x) - y * x
+
+
+def logistic(rows: Rows, y: np.ndarray, width: int, penalty: float = 0.2, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression with balanced classes and a squared penalty, by Newton steps
+    whose directions come from conjugate gradients."""
     if not len(rows) or y.min() == y.max():
-        return w
+        return np.zeros(width)
     ids, values, owner = _flat(rows)
     share = y.mean()
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share))
-    norm = max(np.bincount(owner, values * values).max(), 1.0)
-    rate = 1.0 / (0.25 * norm * weight.max() + penalty / len(rows))
-    look, old = w.copy(), w
-    for k in range(steps):
-        wrong = (_sigmoid(np.bincount(owner, look[ids] * values, len(rows))) - y) * weight / len(rows)
-        w = look - rate * (np.bincount(ids, wrong[owner] * values, width) + penalty / len(rows) * look)
-        look, old = w + k / (k + 3) * (w - old), w
-    return w
 
-
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Platt scaling of one or several score columns: weights and intercept by Newton steps."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
-    w[0] = 1.0
-    # Smoothed targets keep separable data finite.
+    def at(w: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, w[ids] * values, len(rows))
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.bincount(ids, u[owner] * values, width)
+
+    def direction(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        p = _sigmoid(at(w))
+        curve = weight * p * (1 - p)
+        out, rest, way = np.zeros(width), g.copy(), g.copy()
+        left = first = rest @ rest
+        for _ in range(100):
+            bent = back(curve * at(way)) + penalty * way
+            step = left / (way @ bent)
+            out += step * way
+            rest -= step * bent
+            new = rest @ rest
+            if new < 1e-4 * first:
+                break
+            way, left = rest + new / left * way, new
+        return out
+
+    return _descend(np.zeros(width), lambda w: (weight * _loss(at(w), y)).sum() + penalty / 2 * (w @ w),
+                    lambda w: back(weight * (_sigmoid(at(w)) - y)) + penalty * w, direction, steps, 1e-5)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """Platt scaling of one or several score columns: weights, none of them negative, and intercept.
+
+    Smoothed targets and a squared penalty on all of them keep separable data finite. A column that would
+    get a negative weight, or the most negative of several, has weight 0 and the others are fitted anew.
+    """
     up, down = (y > 0.5).sum(), (y <= 0.5).sum()
     t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
-    ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(steps):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - t) + ridge @ w)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    out, used = np.zeros(x.shape[1] + 1), list(range(x.shape[1]))
+    while True:
+        m = np.column_stack((x[:, used], np.ones(len(x))))
+
+        def direction(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+            p = _sigmoid(m @ w)
+            return np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + penalty * np.eye(len(w)), g)
+
+        w = _descend(np.zeros(len(used) + 1), lambda w: _loss(m @ w, t).sum() + penalty / 2 * (w @ w),
+                     lambda w: m.T @ (_sigmoid(m @ w) - t) + penalty * w, direction, steps, 1e-9)
+        if not used or w[:-1].min() >= 0:
+            out[[*used, -1]] = w
+            return out
+        used.pop(int(np.argmin(w[:-1])))
+
+
+def auc(x: np.ndarray, y: np.ndarray) -> float:
+    """How often a good document scores above a bad one, ties half."""
+    order, n = np.unique(x, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[np.searchsorted(order, x)]
+    up = (y > 0.5).sum()
+    return float((rank[y > 0.5].sum() - up * (up + 1) / 2) / (up * (len(y) - up)))
+
+
+def live(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether scores rank better than chance by three deviations of chance."""
+    up = (y > 0.5).sum()
+    return auc(x, y) - 0.5 > 3 * np.sqrt((len(y) + 1) / (12 * up * (len(y) - up)))
 
 
 @dataclass
@@ -150,9 +214,10 @@ class Model:
     text_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
     meta_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
     joint: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
-    #: Without labels of both classes nothing is rejected.
+    #: Without labels of both classes, or where neither view beats chance, nothing is rejected.
     blind: bool = True
-    handed: int = 0
+    #: Pseudo-labels taken from the text view and from the metadata view.
+    handed: tuple[int, int] = (0, 0)
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: of the text view, of the metadata view, of both."""
@@ -166,38 +231,57 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
     """``y``: 1 good, 0 bad for the labelled rows, in a fixed order."""
     model = Model()
     held = np.arange(len(y)) % HOLD_OUT == HOLD_OUT - 1
-    fit = np.nonzero(~held)[0]
+    fit, test = np.nonzero(~held)[0], np.nonzero(held)[0]
     if len(y) == 0 or y.min() == y.max() or y[fit].min() == y[fit].max():
         return model
-    model.blind = False
-    # What each view learns from: labelled rows, and pool rows that the other view handed over.
-    gifts: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    base = max(y[fit].mean(), 1e-3)
-    for k in range(rounds + 1):
-        for view, rows, pool, width in (("text", text, pool_text, BUCKETS + SHARES), ("meta", meta, pool_meta, META)):
-            more = sorted(gifts[view].items())
-            w = logistic([rows[i] for i in fit] + [pool[i] for i, _ in more],
-                         np.concatenate((y[fit], [v for _, v in more])), width)
-            setattr(model, view, w)
-            raw = scores(w, [rows[i] for i in fit])
-            setattr(model, f"{view}_scale", calibrate(raw[:, None], y[fit]))
-        if k == rounds or not pool_text:
-            break
-        for view, other, pool in (("text", "meta", pool_text), ("meta", "text", pool_meta)):
-            scale = getattr(model, f"{view}_scale")
-            p = _sigmoid(scores(getattr(model, view), pool) * scale[0] + scale[1])
-            for label, sure, most in ((1.0, p, round(HANDED * base) + 1), (0.0, 1 - p, round(HANDED * (1 - base)) + 1)):
-                order = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and i not in gifts[other]]
-                gifts[other].update((int(i), label) for i in order[:most])
-    model.handed = sum(map(len, gifts.values()))
-    test = np.nonzero(held)[0]
     if len(test) < 20 or y[test].min() == y[test].max():
         test = np.arange(len(y))
-    ys = y[test]
-    a, b = scores(model.text, [text[i] for i in test]), scores(model.meta, [meta[i] for i in test])
-    model.text_scale, model.meta_scale = calibrate(a[:, None], ys), calibrate(b[:, None], ys)
-    a, b = a * model.text_scale[0] + model.text_scale[1], b * model.meta_scale[0] + model.meta_scale[1]
-    model.joint = calibrate(np.column_stack((a, b)), ys)
+    views = {"text": (text, pool_text, BUCKETS + SHARES), "meta": (meta, pool_meta, META)}
+    base = max(y[fit].mean(), 1e-3)
+
+    @dataclass
+    class View:
+        weights: np.ndarray
+        scale: np.ndarray
+        odds: np.ndarray  # calibrated, of the held out rows
+        loss: float
+        live: bool
+
+    def learnt(view: str, gifts: dict[int, float]) -> View:
+        rows, pool, width = views[view]
+        more = sorted(gifts.items())
+        w = logistic([rows[i] for i in fit] + [pool[i] for i, _ in more], np.concatenate((y[fit], [v for _, v in more])), width)
+        raw = scores(w, [rows[i] for i in test])
+        scale = calibrate(raw[:, None], y[test])
+        odds = raw * scale[0] + scale[1]
+        return View(w, scale, odds, float(_loss(odds, y[test]).sum()), live(raw, y[test]))
+
+    # What each view has from the other: pool rows with pseudo-labels.
+    gifts: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
+    state = {v: learnt(v, {}) for v in views}
+    open_ = {("text", "meta"), ("meta", "text")} if pool_text else set()
+    for _ in range(rounds):
+        for giver, taker in sorted(open_):
+            if not state[giver].live:
+                continue
+            p = _sigmoid(scores(state[giver].weights, views[giver][1]) * state[giver].scale[0] + state[giver].scale[1])
+            new = dict(gifts[taker])
+            for label, sure, most in ((1.0, p, round(HANDED * base) + 1), (0.0, 1 - p, round(HANDED * (1 - base)) + 1)):
+                order = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and i not in gifts[taker]]
+                new.update((int(i), label) for i in order[:most])
+            tried = learnt(taker, new) if len(new) > len(gifts[taker]) else None
+            if tried and tried.loss <= state[taker].loss:
+                gifts[taker], state[taker] = new, tried
+            else:
+                open_.discard((giver, taker))
+    a, b = state["text"], state["meta"]
+    model.text, model.meta, model.text_scale, model.meta_scale = a.weights, b.weights, a.scale, b.scale
+    model.handed = (len(gifts["meta"]), len(gifts["text"]))
+    model.blind = not (a.live or b.live)
+    alone = [np.array(w) for w, v in (((1.0, 0.0, 0.0), a), ((0.0, 1.0, 0.0), b)) if v.live]
+    both = [calibrate(np.column_stack((a.odds, b.odds)), y[test])] if len(alone) == 2 else []
+    if alone:
+        model.joint = min(alone + both, key=lambda w: _loss(a.odds * w[0] + b.odds * w[1] + w[2], y[test]).sum())
     return model
 
 
@@ -237,7 +321,7 @@ def fitted(docs: DataFrame, labels: DataFrame, columns: Columns | None = None, q
         view = TextView()
         for f in frames:
             t = [view.features(x) for x in f["text"]]
-            m = [meta_features(*r) for r in zip(f["source"], f["lang"], f["n_chars"], f["text"].fillna("").str.len())]
+            m = [meta_features(*r) for r in zip(f["source"], f["lang"], f["n_chars"])]
             yield pd.DataFrame({"h": f["h"], "y": f["y"].astype("float64"), "ti": [x[0] for x in t], "tv": [x[1] for x in t],
                                 "mi": [x[0] for x in m], "mv": [x[1] for x in m]})
 
@@ -259,7 +343,7 @@ def scored(docs: DataFrame, model: Model, columns: Columns | None = None, keep:
         view = TextView()
         for f in frames:
             t = scores(model.text, [view.features(x) for x in f["text"]])
-            m = scores(model.meta, [meta_features(*r) for r in zip(f["source"], f["lang"], f["n_chars"], f["text"].fillna("").str.len())])
+            m = scores(model.meta, [meta_features(*r) for r in zip(f["source"], f["lang"], f["n_chars"])])
             a, b, both = model.score(t, m)
             yield pd.DataFrame({"doc_id": f["doc_id"], "text_score": a, "meta_score": b, "score": both, "keep": (both >= keep).astype("int32")})
 
@@ -286,7 +370,7 @@ def kept(docs: DataFrame, labels: DataFrame, columns: Columns | None = None, kee
     def good(text: pd.Series, source: pd.Series, lang: pd.Series, chars: pd.Series) -> pd.Series:
         view = TextView()
         t = scores(model.text, [view.features(x) for x in text])
-        m = scores(model.meta, [meta_features(*r) for r in zip(source, lang, chars, text.fillna("").str.len())])
+        m = scores(model.meta, [meta_features(*r) for r in zip(source, lang, chars)])
         return pd.Series(model.score(t, m)[2] >= keep)
 
     def of(name: str, kind: str):
