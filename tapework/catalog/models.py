@@ -6,7 +6,7 @@ from tapework import schemas as S
 from tapework.catalog.backtests import FOLD_COLUMNS, LOSS, MAPE, R2, preds, xy
 from tapework.catalog.base import PRICES, query, r, rnd, rounded, rsql, using
 from tapework.functions import scalar as X
-from tapework.operators import backtest, clean, features, joins, model, ranking, splits
+from tapework.operators import backtest, clean, features, joins, model, ranking, refits, splits, trees
 from tapework.operators import series as R
 from tapework.session import materialize, scratch
 from tapework.sources.fixtures import bars
@@ -69,14 +69,24 @@ def param_sweep(spark, sf):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, sf):
-    return model.gbt_forecast(training(spark, sf), NAMES)
+    return trees.gbt_forecast(training(spark, sf), NAMES)
+
+
+@query("gbt_search")
+def gbt_search(spark, sf):
+    """Fifteen trials a fold from one binned table; the worse half goes after each doubling of the rounds."""
+    return trees.gbt_search(training(spark, sf), NAMES, trees.space(15))
 
 
 # Ridge of y on two returns in closed form: standardised features, so the system is [[n+s, n r], [n r, n+s]].
-TWO = using("ret", "", two="""SELECT ticker, date, x1, x2, y, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
-    count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, lag(close_log_return) OVER w AS x1,
-    lag(open_log_return) OVER w AS x2, lead(close_log_return) OVER w AS y FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date))
-    WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL""",
+def two_sql(first, second):
+    """``two``: rows with two inputs, their target and their place."""
+    return f"""SELECT ticker, date, x1, x2, y, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
+    count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, date, {first} AS x1, {second} AS x2, lead(close_log_return) OVER w AS y
+    FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL"""
+
+
+TWO_FITS = dict(
     cut="SELECT two.*, fold, n - (4 - fold) * (n // 5) AS test_start, n // 5 AS size FROM two CROSS JOIN (SELECT unnest([0, 1, 2, 3])::BIGINT AS fold)",
     m="""SELECT ticker, fold, count(*) AS k, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2,
     corr(x1, x2) AS rho, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM cut WHERE pos < test_start GROUP BY 1, 2""",
@@ -86,6 +96,12 @@ TWO = using("ret", "", two="""SELECT ticker, date, x1, x2, y, row_number() OVER
     ((k + strength) * k * c2 / d2 - k * rho * k * c1 / d1) / ((k + strength) * (k + strength) - k * rho * k * rho) AS w2 FROM m CROSS JOIN s""",
     p="""SELECT c.ticker, c.fold, c.date, trial, strength, my + w1 * (x1 - m1) / d1 + w2 * (x2 - m2) / d2 AS pred, y AS actual FROM cut c
     JOIN w ON w.ticker = c.ticker AND w.fold = c.fold WHERE pos >= test_start AND pos < test_start + size""")
+TWO = using("ret", "", two=two_sql("lag(close_log_return) OVER w", "lag(open_log_return) OVER w"), **TWO_FITS)
+TWO_WINDOW = using("ret", "", two=two_sql("lag(close_log_return) OVER w", "close_log_return"), **TWO_FITS)
+# The same fits before every step of 25 rows, on all rows before it.
+TWO_WALK = using("ret", "", two=two_sql("lag(close_log_return) OVER w", "lag(open_log_return) OVER w"), **TWO_FITS | {
+    "cut": """SELECT two.*, f AS fold, 200 + 25 * f AS test_start, 25 AS size FROM two JOIN range(0, 100000) t(f)
+    ON pos < 225 + 25 * f AND 225 + 25 * f <= n"""})
 
 
 def two_features(spark, sf):
@@ -95,7 +111,18 @@ def two_features(spark, sf):
     return materialize(rows.select("ticker", "date", "x1", "x2", "target").na.drop(), "two")
 
 
-# The fifth of the fifteen strengths is 0.316..., the tenth 100.
+# Of the fifteen strengths, trial 5 is 1 and trial 9 is 100.
+@query("walk_forward_two", TWO_WALK + f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM p WHERE trial = 5")
+def walk_forward_two(spark, sf):
+    return rounded(refits.walk_forward_ridge(two_features(spark, sf), ["x1", "x2"]), ["pred", "actual"])
+
+
+@query("walk_forward_ridge")
+def walk_forward_ridge(spark, sf):
+    """The 18 technical columns, refitted every 25 rows."""
+    return refits.walk_forward_ridge(materialize(features.technical_frame(bars(spark, sf)), "technical"), S.TECHNICAL_FEATURES)
+
+
 @query("ridge_two", TWO + f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM p WHERE trial = 9")
 def ridge_two(spark, sf):
     out = model.ridge_forecast(two_features(spark, sf), ["x1", "x2"], strength=100.0)
@@ -180,16 +207,22 @@ def batch_score(spark, sf):
                       X.direction_label(F.col("pred")).alias("direction"))
 
 
+def returns(spark, sf):
+    rows = R.tiled(features.positioned(bars(spark, sf)), ["ticker"], features.with_log_returns, lookback=1)
+    return materialize(features.plain(rows.where("close_log_return is not null")), "returns")
+
+
 @query("sequence_score")
 def sequence_score(spark, sf):
-    """Thirty rows of four returns flattened to 120 inputs, scored by a ridge model per fold."""
-    names = [f"{p}_log_return" for p in PRICES]
-    rows = R.tiled(features.positioned(bars(spark, sf)), ["ticker"], features.with_log_returns, lookback=1)
-    made = features.sequences(features.plain(rows.where("close_log_return is not null")), names, "close_log_return", 30, 1)
-    flat = made.select("ticker", "date", F.flatten("x").alias("f"), F.col("y")[0].alias("target"))
-    inputs = [f"f{k}" for k in range(120)]
-    wide = materialize(flat.select("ticker", "date", *[F.col("f")[k].alias(n) for k, n in enumerate(inputs)], "target"), "windows")
-    return model.ridge_forecast(wide, inputs).select(*KEYS, "date", "pred", "actual")
+    """Thirty rows of four returns, 120 inputs, scored by a ridge model per fold."""
+    return refits.sequence_ridge(returns(spark, sf), [f"{p}_log_return" for p in PRICES], "close_log_return", 30)
+
+
+# Windows of two returns of one column: the same two-column ridge.
+@query("sequence_two", TWO_WINDOW + f"SELECT ticker, fold, date, {r('pred')} AS pred, {r('actual')} AS actual FROM p WHERE trial = 5")
+def sequence_two(spark, sf):
+    out = refits.sequence_ridge(returns(spark, sf), ["close_log_return"], "close_log_return", 2)
+    return rounded(out, ["pred", "actual"])
 
 
 @query("run_log", using("report_flat", " UNION ALL ".join(

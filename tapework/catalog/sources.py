@@ -96,6 +96,15 @@ def upsert_bars(spark, sf):
     return files.read_bars(spark, path)
 
 
+@query("upsert_versioned", using("bars", UPSERTED))
+def upsert_versioned(spark, sf):
+    stored, batch = halves(spark, sf)
+    path = scratch(spark, "versions")
+    tables.upsert_versioned(stored, path)
+    tables.upsert_versioned(batch, path)
+    return tables.read_versioned(spark, path)
+
+
 @query("insert_ignore", using("bars", """SELECT ticker, date, close + 1 AS close FROM bars WHERE date >= DATE '1999-01-01'"""))
 def insert_ignore(spark, sf):
     stored, batch = halves(spark, sf)

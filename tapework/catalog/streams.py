@@ -8,6 +8,7 @@ from tapework.session import materialize, scratch
 from tapework.sources import topics
 from tapework.sources.fixtures import messages, ticks
 from tapework.streaming import candles as C
+from tapework.streaming import online
 
 NTZ = "timestamp_ntz"
 CHUNKS = 4
@@ -205,3 +206,20 @@ def online_features(spark, sf):
     C.land(staged(spark, sf, spread(messages(spark, sf))), out, chk).awaitTermination()
     rows = C.online_features(spark.read.parquet(out), NAMES)
     return rounded(rows, NAMES).withColumn("ts", F.col("ts").cast(NTZ))
+
+
+# Every candle message's own feature row; offsets follow the times, and no ticker has a time twice.
+MESSAGE_ROWS = {
+    "recent": """SELECT ticker, event_ts AS date, open, high, low, close, "offset" FROM messages WHERE "interval" <> 'tick'
+        QUALIFY row_number() OVER (PARTITION BY ticker, event_ts ORDER BY "offset" DESC) = 1""",
+    "rlog": ONLINE["rlog"], "ret": ONLINE["ret"], "raw_frame": ONLINE["raw_frame"],
+    "filled": ONLINE["filled"].replace("date AS ts,", "date AS ts, \"offset\",", 1),
+}
+
+
+@query("stream_features", using("messages", f"""SELECT ticker, ts, "offset", {rsql(NAMES)} FROM filled""", **MESSAGE_ROWS))
+def stream_features(spark, sf):
+    out, chk = paths(spark, "features")
+    timed = C.with_event_time(topics.decode(staged(spark, sf)))
+    C.to_table(online.message_features(timed, NAMES), out, chk).awaitTermination()
+    return rounded(spark.read.parquet(out), NAMES).withColumn("ts", F.col("ts").cast(NTZ))

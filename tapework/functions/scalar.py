@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -28,13 +29,26 @@ TIME_FORMATS = ("yyyyMMdd HHmmss", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "y
                 "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
 
 
+#: What each part of such a format looks like.
+_LOOKS = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3,}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}",
+          "d": r"\d{1,2}", "Z": r"[+-]\d{4}", "z": "[A-Za-z].*"}
+
+
+def _shape(form: str) -> str:
+    """Pattern of the texts that a format could read."""
+    return "^" + re.sub("yyyy|MMM|MM|dd|HH|mm|ss|M|d|Z|z", lambda m: _LOOKS[m[0]], form) + "$"
+
+
 def parse_timestamp(text: Column) -> Column:
     """Tolerant UTC parse: a trailing Z, an offset, or no zone (UTC); then other common ways to write
     a time (month names, slashes, mail headers, digits only). A time without a day and junk give NULL.
+    A format is tried only on texts of its shape, because a failed attempt costs far more than a pattern.
     """
     cleaned = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
     spelled = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9}, *(?=[0-9])", ""), ", *| +", " ")
-    others = F.coalesce(*[F.try_to_timestamp(spelled, F.lit(f)) for f in TIME_FORMATS])
+    others = F.lit(None).cast("timestamp")
+    for form in reversed(TIME_FORMATS):
+        others = F.when(spelled.rlike(_shape(form)), F.try_to_timestamp(spelled, F.lit(form))).otherwise(others)
     return (F.when(cleaned.rlike(r"^\d{8}$"), F.try_to_timestamp(cleaned, F.lit("yyyyMMdd")))
             .when(cleaned.rlike(r"^T?\d{1,2}:\d{2}"), F.lit(None).cast("timestamp"))
             .otherwise(F.coalesce(cleaned.try_cast("timestamp"), others)))

@@ -7,7 +7,6 @@ that are accumulated along the segments. No training set is copied per fold and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,6 @@ from tapework.functions import metrics as M
 from tapework.operators import features, joins, splits
 from tapework.operators import series as R
 from tapework.operators.stats import gram, square
-from tapework.session import materialize
 
 KEYS = ["ticker", "fold"]
 
@@ -217,46 +215,6 @@ def config_or_default(folds: DataFrame, tuned: DataFrame, default: dict) -> Data
         F.coalesce(*[F.col(k) for k in default]).isNotNull().alias("tuned"))
 
 
-def gbt_forecast(frame: DataFrame, names: Sequence[str], target: str = "target", n_splits: int = S.N_SPLITS,
-                 rounds: int = 500, holdout: float = 0.1, parallelism: int = 4) -> DataFrame:
-    """Boosted trees per (ticker, fold), each fitted by a distributed job; a few run at once.
-
-    The last part of the training rows decides when to stop: at the first round that makes their
-    error larger. The target is standardised by the fold's training rows and scaled back, so the
-    number of rounds does not depend on its units. Rows are stored by ticker, so a fit reads its own
-    folder only. The list of (ticker, fold) pairs is the only thing read by the driver.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    stored = materialize(splits.with_segments(frame, n_splits=n_splits), "gbt", partition_by=["ticker"])
-    rows = VectorAssembler(inputCols=list(names), outputCol="_features").transform(stored).select(
-        "ticker", "date", "segment", "_features", target, R.POS, R.ROWS)
-    pairs = [(r.ticker, r.segment) for r in rows.select("ticker", "segment").distinct().where("segment > 0").collect()]
-
-    def fit(pair):
-        ticker, seg = pair
-        size = F.expr(f"{R.ROWS} div {n_splits + 1}")
-        end = F.col(R.ROWS) - (n_splits - seg + 1) * size
-        train = (rows.where((F.col("ticker") == ticker) & (F.col("segment") < seg))
-                 .withColumn("late", F.col(R.POS) >= end * (1 - holdout)))
-        mean, std = train.agg(F.avg(target), F.stddev_pop(target)).first()
-        std = std or 1.0
-        model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="pred", maxDepth=5, maxIter=rounds,
-                             stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42,
-                             validationIndicatorCol="late", validationTol=0.0).fit(train.withColumn(target, (F.col(target) - mean) / std))
-        test = rows.where((F.col("ticker") == ticker) & (F.col("segment") == seg))
-        return model.transform(test).select("ticker", (F.col("segment") - 1).alias("fold"), "date", (F.col("pred") * std + mean).alias("pred"),
-                                            F.col(target).alias("actual"))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(fit, sorted(pairs)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def run_log(folds: DataFrame, run_id: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Numeric results of a run as ``run_id, ticker, fold, key, value`` rows."""
     names = [f.name for f in folds.schema if f.dataType.simpleString() == "double"]

@@ -37,23 +37,45 @@ def box_stats(df: DataFrame, column: str = "close") -> DataFrame:
                  F.count_if(~inside).alias("outside")))
 
 
+#: Width of a cell in bandwidths, and moments kept of it: the series below is cut off beyond 1e-12.
+CELL = 0.25
+MOMENTS = 11
+
+
+def _hermite(k: int, t: Column) -> Column:
+    """Hermite polynomial (probabilists') of degree k, by Horner's rule in t squared."""
+    terms = np.polynomial.hermite_e.herme2poly([0] * k + [1])[k % 2::2][::-1]
+    out = F.lit(float(terms[0]))
+    for c in terms[1:]:
+        out = out * t * t + F.lit(float(c))
+    return out * t if k % 2 else out
+
+
 def density_curve(df: DataFrame, column: str = "close", points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, bandwidth n^(-1/5) times the sample deviation.
 
-    Equal values are merged first; each distinct value then adds to every grid point, and the
-    sums are formed before the shuffle, so only keys x grid points leave a task.
+    Values go to cells of a quarter of the bandwidth, and a cell keeps the sums of the powers of its
+    values' distances from its middle, which are formed before the shuffle. With distances in bandwidths,
+    t from the middle to a grid point and u to a value, exp(-(t - u)^2 / 2) is exp(-t^2 / 2) times the sum
+    over k of He_k(t) u^k / k!, so cells alone meet the grid: the work is rows plus cells x points, and the
+    result is the direct sum's to rounding.
     """
-    shape = df.where(F.col(column).isNotNull()).groupBy("ticker").agg(
-        F.count(column).alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi"),
-        (F.stddev_samp(column) * F.pow(F.count(column), F.lit(-0.2))).alias("_bw"))
-    counted = df.where(F.col(column).isNotNull()).groupBy("ticker", F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    low, high = F.col("_lo") - cut * F.col("_bw"), F.col("_hi") + cut * F.col("_bw")
-    grid = counted.join(shape, "ticker").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    rows = df.where(F.col(column).isNotNull()).select("ticker", F.col(column).alias("_v"))
+    shape = rows.groupBy("ticker").agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        (F.stddev_samp("_v") * F.pow(F.count("_v"), F.lit(-0.2))).alias("_bw"))
+    low, high, bw = F.col("_lo") - cut * F.col("_bw"), F.col("_hi") + cut * F.col("_bw"), F.col("_bw")
+    placed = rows.join(shape, "ticker").withColumn("_cell", F.floor((F.col("_v") - F.col("_lo")) / F.nullif(bw * CELL, F.lit(0.0))))
+    middle = F.col("_lo") + (F.col("_cell") + 0.5) * CELL * bw
+    placed = placed.select("ticker", "_cell", ((F.col("_v") - middle) / bw).alias("_u"))
+    cells = placed.groupBy("ticker", "_cell").agg(F.count(F.lit(1)).cast("double").alias("_m0"), *[
+        F.sum(F.expr(" * ".join(["_u"] * k))).alias(f"_m{k}") for k in range(1, MOMENTS)])
+    grid = cells.join(shape, "ticker").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = low + (high - low) * F.col("point") / (points - 1)
-    z = (x - F.col("_v")) / F.col("_bw")
-    weight = F.col("_c") * F.exp(z * z * -0.5) / (F.col("_n") * F.col("_bw") * F.sqrt(F.lit(2 * np.pi)))
-    return (grid.select("ticker", "point", x.alias("x"), weight.alias("_w"))
+    grid = grid.select("*", x.alias("x"), ((x - middle) / bw).alias("_t"))
+    series = sum((_hermite(k, F.col("_t")) * F.col(f"_m{k}") / math.factorial(k) for k in range(1, MOMENTS)), F.col("_m0"))
+    weight = series * F.exp(F.col("_t") * F.col("_t") * -0.5) / (F.col("_n") * bw * F.sqrt(F.lit(2 * np.pi)))
+    return (grid.select("ticker", "point", "x", weight.alias("_w"))
             .groupBy("ticker", "point").agg(F.max("x").alias("x"), F.sum("_w").alias("density")))
 
 
@@ -91,7 +113,10 @@ def cross_correlation(returns: DataFrame, value: str = "close_log_return", block
         return pd.DataFrame({"a": names[i], "b": names[j], "n": pick(m, m), "sa": pick(x, m), "sb": pick(m, x),
                              "saa": pick(x * x, m), "sbb": pick(m, x * x), "sab": pick(x, x)})
 
-    rows = returns.where(F.col(value).isNotNull())
+    # Values less their ticker's mean: sums of squares and products keep their digits.
+    rows = returns.where(F.col(value).isNotNull()).select("ticker", "date", value)
+    means = rows.groupBy("ticker").agg(F.avg(value).alias("_mean"))
+    rows = rows.join(means, "ticker").select("ticker", "date", (F.col(value) - F.col("_mean")).alias(value))
     tiles = max(1, -(-rows.agg(F.count_distinct("ticker")).first()[0] // tile))
     own = F.pmod(F.xxhash64("ticker"), F.lit(tiles)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda t: F.struct(

@@ -27,10 +27,6 @@ RAW_CSV = T.StructType([
     for name in ("Date", "Open", "High", "Low", "Close", "Adj Close", "Volume")
 ])
 
-# Topic payload. Producers spell price fields both ways, and names of struct fields are not
-# case-sensitive, so a payload is read as a map.
-MESSAGE = T.MapType(T.StringType(), T.StringType())
-
 METRICS = T.StructType([
     T.StructField(n, T.DoubleType())
     for n in ("mae", "rmse", "ic", "dir_acc", "sharpe", "max_dd", "hit_rate")

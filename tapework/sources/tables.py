@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapework import schemas as S
 from tapework.operators import columns as C
 from tapework.operators.clean import keep_last
 from tapework.session import materialize
 from tapework.sources import files
+from tapework.sources.versions import Versions
 
 KEYS = ("ticker", "date")
 
@@ -74,6 +76,21 @@ def upsert_bars(batch: DataFrame, path: str, arrival: str | None = None) -> None
     files.write_bars(materialize(upsert(part, batch, KEYS, arrival).select(*current.columns), "upsert"), path)
 
 
+def upsert_versioned(batch: DataFrame, path: str, arrival: str | None = None) -> int:
+    """Upsert into a bar table in versions: the ticker and year partitions that the batch touches are
+    written anew beside the old ones, and one pointer makes them visible at once. Returns the version."""
+    batch = materialize(batch, "batch").withColumn("year", F.year("date"))
+    table = Versions(batch.sparkSession, path, ["ticker", "year"])
+    newest = lambda rows: rows if arrival is None else keep_last(rows, KEYS, arrival).drop(arrival)
+    return table.update(lambda rows: upsert(rows, batch, KEYS, arrival).select(*rows.columns), batch, newest)
+
+
+def read_versioned(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The bars of a version, the latest one by default."""
+    rows = Versions(spark, path, ["ticker", "year"]).read(version).drop("year")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.BAR if f.name in rows.columns])
+
+
 def append_sql(df: DataFrame, url: str, table: str, partitions: int | None = None, **options: str) -> int:
     """Append to a database table over JDBC from the executors; returns the number of rows."""
     rows = df if partitions is None else df.coalesce(partitions)

@@ -53,20 +53,21 @@ def decode(records: DataFrame) -> DataFrame:
     Undecodable payloads keep their row with a NULL ticker, and a price or volume that is no finite
     number (or does not fit) is NULL, so a caller can set such rows aside.
     """
-    def text(*names):
-        return F.coalesce(*[F.nullif(F.trim(F.try_element_at("_m", F.lit(n))), F.lit("")) for n in names])
+    # One parse gives the raw fields; a second projection cleans them, each named once, so that both stay
+    # small enough to be compiled.
+    spelled = [*FIELDS, "date", *(n.title() for n in (*S.PRICES, "volume"))]
+    raw = {n: f"_{k}" for k, n in enumerate(spelled)}
+    kept = [c for c in records.columns if c not in ("key", "value")]
+    given = records.select(*kept, F.col("value").alias("payload"), F.json_tuple("value", *spelled).alias(*raw.values()))
+    cleaned = given.select(*kept, "payload", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in raw.values()])
 
-    def number(name):
-        given = text(name, name.title())
-        return F.when(given.isNull(), F.lit(0.0)).otherwise(X.inf_to_null(given.try_cast("double")))
+    def text(*names):
+        return F.coalesce(*[F.col(raw[n]) for n in names])
 
-    kept = [c for c in records.columns if c not in ("key", "value")]
-    return records.withColumn("_m", F.from_json("value", S.MESSAGE)).select(
-        *kept, F.col("value").alias("payload"), text("ticker").alias("ticker"),
-        text("timestamp", "date").alias("timestamp"),
-        F.coalesce(text("period"), F.lit("1d")).alias("period"),
-        F.coalesce(text("interval"), F.lit("1m")).alias("interval"),
-        *[number(p).alias(p) for p in S.PRICES], number("volume").try_cast("bigint").alias("volume"))
+    texts = cleaned.select(*kept, "payload", text("ticker").alias("ticker"), text("timestamp", "date").alias("timestamp"),
+                           F.coalesce(text("period"), F.lit("1d")).alias("period"), F.coalesce(text("interval"), F.lit("1m")).alias("interval"),
+                           *[F.coalesce(text(n, n.title()), F.lit("0")).try_cast("double").alias(n) for n in (*S.PRICES, "volume")])
+    return texts.withColumns({**{p: X.inf_to_null(F.col(p)) for p in S.PRICES}, "volume": X.inf_to_null(F.col("volume")).try_cast("bigint")})
 
 
 def is_well_formed(decoded: DataFrame) -> Column:

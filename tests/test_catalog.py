@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"gbt_forecast"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -27,7 +26,7 @@ def cells(columns, rows):
     return [columns[i] for i in order], sorted(repr([clean(r[i]) for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

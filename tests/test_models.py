@@ -89,17 +89,6 @@ def test_gram_flushes_many_keys(spark):
              [(x.T @ x)[i, j] for i in range(3) for j in range(i, 3)])
 
 
-def test_boosted_trees_small(spark):
-    n = 300
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=n)
-    pdf = pd.DataFrame({"ticker": "a", "date": pd.date_range("2020-01-01", periods=n).date, "x": x,
-                        "target": np.sign(x) + rng.normal(0, 0.1, n)})
-    df = spark.createDataFrame(pdf, "ticker string, date date, x double, target double")
-    got = model.gbt_forecast(df, ["x"], n_splits=1, rounds=20).toPandas()
-    assert len(got) == n // 2 and np.corrcoef(got["pred"], got["actual"])[0, 1] > 0.7
-
-
 def adf_direct(y):
     """Textbook regression with the lag chosen by AIC on shared rows."""
     n = len(y)

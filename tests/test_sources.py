@@ -10,7 +10,7 @@ from tapework import schemas as S
 from tapework.functions import scalar as X
 from tapework.operators import columns as C
 from tapework.operators import quality
-from tapework.sources import files, registry, tables, topics
+from tapework.sources import files, registry, tables, topics, versions
 
 BAR = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume bigint"
 
@@ -210,3 +210,53 @@ def test_other_ways_to_write_a_time(spark):
     got = spark.createDataFrame(list(cases.items()), "s string, want string").select(
         "s", X.parse_timestamp(F.col("s")).alias("got"), F.col("want").cast("timestamp").alias("want")).collect()
     assert {r.s: r.got for r in got} == {r.s: r.want for r in got}
+
+
+def test_versions_change_at_one_point(spark, tmp_path, monkeypatch):
+    """A reader sees the old table or the new one; a writer that fails half way leaves the old one."""
+    path = str(tmp_path / "table")
+    tables.upsert_versioned(bars(spark, bar(), bar("GBP", "2024-05-01")), path)
+    old = tables.read_versioned(spark, path)
+    assert tables.upsert_versioned(bars(spark, bar(close=2.0)), path) == 2
+    closes = lambda df: {(r.ticker, r.close) for r in df.collect()}
+    first, new = closes(old), closes(tables.read_versioned(spark, path))
+    assert len(first) == len(new) == 2 and len(first & new) == 1 and any(c == 2.0 for _, c in new)
+    assert closes(tables.read_versioned(spark, path, 1)) == first
+
+    def killed(self, version):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(versions.Versions, "_point", killed)
+    with pytest.raises(KeyboardInterrupt):
+        tables.upsert_versioned(bars(spark, bar(close=9.0)), path)
+    monkeypatch.undo()
+    assert closes(tables.read_versioned(spark, path)) == new
+    assert tables.upsert_versioned(bars(spark, bar(close=3.0)), path) == 3
+    assert any(c == 3.0 for _, c in closes(tables.read_versioned(spark, path)))
+
+
+def test_versions_take_one_writer_and_forget_old_ones(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for k in range(4):
+        tables.upsert_versioned(bars(spark, bar(close=float(k)), *([bar("007", close=0.0)] if k == 0 else [])), path)
+    table = versions.Versions(spark, path, ["ticker", "year"])
+    with pytest.raises(versions.Conflict):
+        table.replace(table.read(), base=2)
+    assert table.latest() == 4 and table.committed() == [1, 2, 3, 4]
+    claim = tmp_path / "table" / "claims" / "000000000005"
+    claim.touch()  # a writer that was killed, or is still running
+    with pytest.raises(versions.Conflict):
+        tables.upsert_versioned(bars(spark, bar(close=8.0)), path)
+    table.release()
+    assert tables.upsert_versioned(bars(spark, bar(close=8.0)), path) == 5
+    before = sorted((r.ticker, r.close) for r in tables.read_versioned(spark, path).collect())
+    assert before == [("007", 0.0), ("EURUSD=X", 8.0)]
+    assert table.vacuum(keep=1) == [2, 3, 4]
+    assert sorted((r.ticker, r.close) for r in tables.read_versioned(spark, path).collect()) == before
+    assert len([p for p in (tmp_path / "table" / "data").iterdir() if p.name.startswith("version=")]) == 2
+
+
+def test_empty_batch_keeps_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.upsert_versioned(bars(spark, bar()), path)
+    tables.upsert_versioned(bars(spark, bar()).limit(0), path)
+    assert tables.read_versioned(spark, path).count() == 1

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapework.sources import topics
+from tapework import schemas as S
 from tapework.streaming import candles as C
+from tapework.streaming import online
 
 T0 = dt.datetime(2026, 1, 7, 10, 0, 0)
 
@@ -181,3 +183,30 @@ def test_online_features_take_the_newest_candles(spark):
     assert got.ts == (T0 + dt.timedelta(minutes=299))
     oldest = C.online_features(landed, ["Close"], lookback=-240, newest=False).first()
     assert oldest.Close == 100.0 + 9 % 9
+
+
+def test_message_features_equal_the_batch_rows(spark, topic, tmp_path):
+    """In several runs from one checkpoint: a row per message, equal to the batch form on the messages up to it."""
+    path, send = topic
+    out, chk = str(tmp_path / "out"), str(tmp_path / "chk")
+    names = [*S.training_features(), "unknown"]
+    run = lambda: C.to_table(online.message_features(C.with_event_time(read(spark, path)), names), out, chk).awaitTermination()
+    prices = {i: 100.0 + 7 * ((i * 37) % 11) + i / 100 for i in range(260)}
+    prices[5] = 0.0  # no logarithm: its neighbours' returns are 0
+    sent = [message(i, prices[i], ticker=t) for i in range(260) for t in ("A", "B") if t == "A" or i % 3 == 0]
+    for part in (sent[:10], sent[10:11], sent[11:300]):
+        send(part)
+        run()
+    # Two rows of one time, of which the later arrival counts, one that comes too late, and a tick.
+    send([*sent[300:], message(900, 1.0, minute=260, ticker="A"), message(901, 2.0, minute=260, ticker="A"),
+          message(902, 5.0, minute=3, ticker="A"), message(903, 5.0, minute=270, ticker="A", interval="tick")])
+    run()
+    got = {(r.ticker, r.offset): r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {(t, o) for t, _, _, _, o in sent} | {("A", 901)}
+    rows = sorted(((t, o, v) for t, v, _, _, o in sent), key=lambda r: (r[0], r[1]))
+    for ticker, last in (("A", 0), ("A", 1), ("A", 6), ("A", 61), ("A", 259), ("B", 3), ("B", 201), ("B", 258)):
+        landed = [(t, v, o) for t, o, v in rows if t == ticker and o <= last]
+        frame = topics.decode(spark.createDataFrame([(t, v, "instant_x", 0, o) for t, v, o in landed], topics.RECORD)).drop("payload")
+        want = C.online_features(frame, names).first()
+        for n in names:
+            assert abs(got[(ticker, last)][n] - want[n]) < 1e-9 * max(1, abs(want[n])), (ticker, last, n)
