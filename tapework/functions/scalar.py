@@ -46,9 +46,15 @@ def parse_timestamp(text: Column) -> Column:
     """
     cleaned = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
     spelled = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9}, *(?=[0-9])", ""), ", *| +", " ")
-    others = F.lit(None).cast("timestamp")
-    for form in reversed(TIME_FORMATS):
-        others = F.when(spelled.rlike(_shape(form)), F.try_to_timestamp(spelled, F.lit(form))).otherwise(others)
+
+    def other(value: Column) -> Column:
+        out = F.lit(None).cast("timestamp")
+        for form in reversed(TIME_FORMATS):
+            out = F.when(value.rlike(_shape(form)), F.try_to_timestamp(value, F.lit(form))).otherwise(out)
+        return out
+
+    # In a function of an array of one, the text is spelled once and not in every branch's code.
+    others = F.transform(F.array(spelled), other)[0]
     return (F.when(cleaned.rlike(r"^\d{8}$"), F.try_to_timestamp(cleaned, F.lit("yyyyMMdd")))
             .when(cleaned.rlike(r"^T?\d{1,2}:\d{2}"), F.lit(None).cast("timestamp"))
             .otherwise(F.coalesce(cleaned.try_cast("timestamp"), others)))
