@@ -48,8 +48,8 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(starts[-1]) - np.repeat(starts[:-1] - first, size)
 
 
-def cut(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[int, dict[str, list]]]:
-    """(chunk number, columns) of the documents of a task, by the characters of their ``_text``."""
+def cut(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[int, dict[str, list], pa.Schema]]:
+    """(chunk number, columns, their types) of the documents of a task, by the characters of their ``_text``."""
     number = TaskContext.get().partitionId() << 32
     held: dict[str, list] = {}
     chars = 0
@@ -60,10 +60,10 @@ def cut(batches: Iterable[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[
                 held.setdefault(name, []).append(value)
             chars += len(held["_text"][-1] or "")
             if chars >= size:
-                yield number, held
+                yield number, held, batch.schema
                 number, held, chars = number + 1, {}, 0
     if held:
-        yield number, held
+        yield number, held, batch.schema
 
 
 def entries(chunks: DataFrame) -> DataFrame:

@@ -266,14 +266,14 @@ def _digests(models):
     """Rows of documents (units as codes) and, per chunk, one row with its pairs and units."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*models.value)
-        for number, rows in cut(batches):
+        for number, rows, schema in cut(batches):
             ids, chunk = rows["doc_id"], Chunk(tokens, rows["_text"])
             u, n = chunk.units, len(ids)
             digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in chunk.groups()]
             keys, seen, at = chunk.pairs()
             none = [None] * n
             yield pa.RecordBatch.from_arrays([
-                pa.array([number] * (n + 1), pa.int64()), pa.array([*ids, None]),
+                pa.array([number] * (n + 1), pa.int64()), pa.array([*ids, None], schema.field("doc_id").type),
                 *(pa.array([*chunk.sums(x).tolist(), None], pa.int64()) for x in (u.n_a, u.n_b, u.n_groups, u.n_links)),
                 pa.array([*digests, None], pa.string()), pa.array([*map(packed, chunk.codes), None], pa.binary()),
                 pa.array([*none, keys], pa.list_(pa.int64())), pa.array([*none, seen], pa.list_(pa.int64())),
@@ -337,17 +337,17 @@ def groups(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*models.value)
-        for _, rows in cut(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"]), pa.array(list(Chunk(tokens, rows["_text"]).groups()), pa.string())],
+        for _, rows, schema in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], schema.field("doc_id").type), pa.array(list(Chunk(tokens, rows["_text"]).groups()), pa.string())],
                                              names=["doc_id", "groups"])
 
     def numbers(part):
         return F.transform(F.split(part, ","), lambda x: x.cast("int"))
 
     written = plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, groups string")
-    each = F.transform(F.split("groups", ";"), lambda g: F.struct(
-        numbers(F.substring_index(g, "|", 1)).alias("a"), numbers(F.substring_index(g, "|", -1)).alias("b")))
-    return written.select("doc_id", F.when(F.col("groups") != "", each).otherwise(F.slice(each, 1, 0)).alias("groups"))
+    whole = F.filter(F.split("groups", ";"), lambda g: g != "")
+    return written.select("doc_id", F.transform(whole, lambda g: F.struct(
+        numbers(F.substring_index(g, "|", 1)).alias("a"), numbers(F.substring_index(g, "|", -1)).alias("b"))).alias("groups"))
 
 
 def summaries(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE,

@@ -356,14 +356,77 @@ def test_warc_payloads_survive(spark):
 
 # --- quality and pipeline ----------------------------------------------------------------------
 
-def test_quality_on_held_out_labels(spark):
-    """Learned from the even labels, judged on the odd ones."""
+@pytest.mark.parametrize("pool", [0, 20, 2000])
+def test_quality_on_held_out_labels(spark, pool):
+    """Learned from the even labels, judged on the odd ones; sources say nothing, so that view has no say."""
     docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fitted(docs, labels.where("doc_id % 2 = 0"))
+    model = quality.fitted(docs, labels.where("doc_id % 2 = 0"), pool=pool)
     got = quality.scored(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
-    assert model.handed > 0
     good, bad = got[got.quality == 1], got[got.quality == 0]
-    assert good.keep.mean() >= 0.97 and bad.keep.mean() <= 0.15
+    assert good.keep.mean() >= 0.97 and bad.keep.mean() <= 0.05
+    assert model.joint[1] == 0 and model.handed[1] == 0
+
+
+def test_quality_with_all_rows_labelled(spark):
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].keep.mean() >= 0.97 and got[got.quality == 0].keep.mean() <= 0.05
+
+
+def test_exchange_teaches_the_view_that_lacks_labels():
+    """Metadata that tells good from bad labels the pool for a text view with few labelled rows, and is never worse for it."""
+    rng = np.random.default_rng(4)
+
+    def rows(n):
+        y = (rng.random(n) < 0.7).astype(float)
+        text = [(np.array([rng.integers(0, 40) + (40 if a else 0) for _ in range(3)]), np.ones(3)) for a in y]
+        meta = [quality.meta_features(f"s{int(rng.integers(0, 3) + (3 if a else 0))}", "en", 1.0) for a in y]
+        return y, text, meta
+
+    y, text, meta = rows(80)
+    _, pool_text, pool_meta = rows(600)
+    z, test_text, test_meta = rows(500)
+    alone = quality.co_train(text, meta, y, [], [])
+    taught = quality.co_train(text, meta, y, pool_text, pool_meta)
+    assert taught.handed[1] > 0 and alone.handed == (0, 0)
+
+    def right(model):
+        got = [model.score(quality.scores(model.text, test_text), quality.scores(model.meta, test_meta))[k] for k in (0, 1, 2)]
+        return [np.mean((g >= 0.5) == (z > 0.5)) for g in got]
+
+    before, after = right(alone), right(taught)
+    assert after[0] > before[0] and after[2] >= max(after[:2]) - 0.01
+
+
+def test_calibration_and_logistic_reach_their_minima():
+    """Against long plain gradient descent, on separable and on mixed scores."""
+    rng = np.random.default_rng(6)
+    for shift in (0.5, 50.0):
+        y = (rng.random(200) < 0.8).astype(float)
+        x = np.column_stack([y * shift + rng.normal(0, 1, 200), rng.normal(0, 1, 200) + 0.2 * y])
+        w = quality.calibrate(x, y)
+        up, down = y.sum(), (1 - y).sum()
+        t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
+        m = np.column_stack([x, np.ones(200)])
+
+        def value(v):
+            return quality._loss(m @ v, t).sum() + 0.005 * (v @ v)
+
+        plain = np.zeros(3)
+        scale = np.abs(m).max() ** 2 * 200
+        for _ in range(100_000):
+            plain = plain - (m.T @ (quality._sigmoid(m @ plain) - t) + 0.01 * plain) / (0.25 * scale)
+            plain[:2] = np.maximum(plain[:2], 0)
+        assert (w[:2] >= 0).all() and value(w) <= value(plain) + 1e-6
+    rows = [(rng.choice(30, 5, replace=False), rng.random(5)) for _ in range(60)]
+    y = np.array([float(r[0].min() < 4) for r in rows])
+    w = quality.logistic(rows, y, 30)
+    weight = np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    dense = np.zeros((60, 30))
+    for k, (i, v) in enumerate(rows):
+        dense[k, i] = v
+    assert np.abs(dense.T @ (weight * (quality._sigmoid(dense @ w) - y)) + 0.2 * w).max() < 1e-4
 
 
 def test_quality_edges(spark):
