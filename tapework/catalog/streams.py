@@ -8,7 +8,7 @@ from tapework.session import materialize, scratch
 from tapework.sources import topics
 from tapework.sources.fixtures import messages, ticks
 from tapework.streaming import candles as C
-from tapework.streaming import online
+from tapework.streaming import expiry, latency, online, upkeep
 
 NTZ = "timestamp_ntz"
 CHUNKS = 4
@@ -223,3 +223,39 @@ def stream_features(spark, sf):
     timed = C.with_event_time(topics.decode(staged(spark, sf)))
     C.to_table(online.message_features(timed, NAMES), out, chk).awaitTermination()
     return rounded(spark.read.parquet(out), NAMES).withColumn("ts", F.col("ts").cast(NTZ))
+
+
+# The same delays as above, by buckets of their eight leading bits and nearest ranks.
+@query("stream_latency_buckets", using("messages", """SELECT ticker, any_value(n) AS messages, """ + ", ".join(
+    f"min(CASE WHEN k >= ceil(n * {p}) THEN b END) AS p{round(p * 100)}_ms" for p in (0.5, 0.95, 0.99)) + """ FROM (SELECT ticker, b,
+    row_number() OVER (PARTITION BY ticker ORDER BY b) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker,
+    (d >> greatest(length(bin(d)) - 8, 0)) << greatest(length(bin(d)) - 8, 0) AS b FROM (SELECT ticker, volume % 977 AS d FROM messages)))
+    GROUP BY 1"""))
+def stream_latency_buckets(spark, sf):
+    out, chk = paths(spark, "delays")
+    timed = C.with_event_time(topics.decode(staged(spark, sf)))
+    latency.keep_counts(C.consumed(timed, F.timestamp_millis(F.unix_millis("ts") + F.col("volume") % 977)), out, chk).awaitTermination()
+    return latency.percentiles(latency.read_counts(spark, out))
+
+
+# Slots whose last message is less than an hour older than the newest of all.
+@query("stream_expiry", using("messages", """SELECT ticker, period, "interval", "offset", close FROM messages QUALIFY row_number() OVER (
+    PARTITION BY ticker, period, "interval" ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) = 1
+    AND max(event_ts) OVER () - event_ts < to_seconds(3600)"""))
+def stream_expiry(spark, sf):
+    out, chk = paths(spark, "changes")
+    timed = C.with_event_time(topics.decode(staged(spark, sf)))
+    expiry.keep_changes(timed, out, chk, seconds=3600).awaitTermination()
+    return expiry.alive(upkeep.Sink(spark, out).read()).select("ticker", "period", "interval", "offset", "close")
+
+
+@query("stream_compact", using("messages", """SELECT 'price_update' AS type, ticker, '1d_' || "interval" AS partition, "offset", close
+    FROM messages"""))
+def stream_compact(spark, sf):
+    """The updates sink after two compactions: the rows of its micro-batches in one table."""
+    out, chk = paths(spark, "updates")
+    C.publish(topics.decode(staged(spark, sf)), out, chk).awaitTermination()
+    sink = upkeep.Sink(spark, out)
+    sink.compact(open_batches=1)
+    sink.compact(open_batches=0)
+    return sink.read().select("type", "ticker", "partition", "offset", F.get_json_object("data", "$.close").cast("double").alias("close"))

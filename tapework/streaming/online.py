@@ -23,8 +23,8 @@ from tapework.operators import columns
 #: Returns that the longest lag looks back over.
 RING = max(S.LAGS)
 
-_STATE = T.StructType([T.StructField("last", T.LongType())] + [
-    T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("ring", "logs", "prices", "before")])
+ARRAYS = ("ring", "logs", "prices", "before")
+STATE = T.StructType([T.StructField("last", T.LongType())] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ARRAYS])
 
 
 @dataclass
@@ -86,7 +86,8 @@ def _filled(values: np.ndarray, before: float) -> np.ndarray:
     return line[at][1:]
 
 
-def _names(lookback: int) -> list[str]:
+def feature_names(lookback: int = S.LOOKBACK) -> list[str]:
+    """What a row has: the training features and the return of the close."""
     return [*S.training_features(lookback), "close_log_return"]
 
 
@@ -104,7 +105,7 @@ def _follow(names: Sequence[str]):
         if not len(rows):
             return
         made = advance(history, rows["_t"].to_numpy(), rows[list(S.PRICES)].to_numpy(float))
-        state.update((history.last, *(x.tolist() for x in (history.ring, history.logs, history.prices, history.before))))
+        state.update((history.last, *(getattr(history, n).tolist() for n in ARRAYS)))
         yield pd.DataFrame({"ticker": key[0], "ts": rows["ts"].to_numpy(), "offset": rows["offset"].to_numpy(), **{n: made[n] for n in names}})
     return run
 
@@ -116,9 +117,9 @@ def message_features(timed: DataFrame, names: Sequence[str], lookback: int = S.L
     time inside a micro-batch; one that is not later than what has been seen adds no row. Unknown names
     are 0.
     """
-    known = _names(lookback)
+    known = feature_names(lookback)
     rows = timed.where("interval <> 'tick'").select("ticker", "ts", "offset", *S.PRICES)
     schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("offset", T.LongType())]
                           + [T.StructField(n, T.DoubleType()) for n in known])
-    made = rows.groupBy("ticker").applyInPandasWithState(_follow(known), schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    made = rows.groupBy("ticker").applyInPandasWithState(_follow(known), schema, STATE, "append", GroupStateTimeout.NoTimeout)
     return columns.project_features(made, list(names), keep=("ticker", "ts", "offset"))

@@ -65,3 +65,30 @@ def test_plans_hold_no_cross_join(spark):
                model.ols1_forecast(model.lag_frame(rows)), model.walk_forward_forecast(model.lag_frame(rows))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_days_extend_features_without_history(spark, walk_df):
+    """Day by day from the carries: the rows that recomputing from all bars gives, gaps filled from the past only."""
+    from tapework import schemas as S
+    from tapework.operators import features
+    from tapework.plans import extend
+
+    names = S.training_features()
+    cut = walk_df.selectExpr("percentile_approx(date, 0.9) as d").first().d
+    old, new = walk_df.where(F.col("date") <= F.lit(cut)), walk_df.where(F.col("date") > F.lit(cut))
+    none = spark.createDataFrame([], extend.CARRY)
+    first, carries = extend.extend(old, none)
+    days = sorted(r.date for r in new.select("date").distinct().collect())
+    got = {}
+    for part in (days[:3], days[3:]):
+        rows, carries = extend.extend(new.where(F.col("date").between(part[0], part[-1])), carries)
+        got |= {(r.ticker, r.date): r for r in rows.collect()}
+    assert {(r.ticker, r.date) for r in new.collect()} == set(got)
+    assert carries.count() == walk_df.select("ticker").distinct().count()
+    # The batch form, whose back fill cannot reach rows after 200 earlier ones.
+    whole = {(r.ticker, r.date): r for r in features.inference_frame(walk_df).where(F.col("date") > F.lit(cut)).collect()}
+    for key in [k for k in got if k[0] in ("HOT", "B")]:
+        for n in names:
+            assert abs(got[key][n] - whole[key][n]) < 1e-9 * max(1, abs(whole[key][n])), (key, n)
+    again, same = extend.extend(new, carries)  # bars that have been seen add nothing
+    assert again.count() == 0 and sorted(r.last for r in same.collect()) == sorted(r.last for r in carries.collect())

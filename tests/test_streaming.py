@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapework.sources import topics
 from tapework import schemas as S
 from tapework.streaming import candles as C
-from tapework.streaming import online
+from tapework.streaming import expiry, latency, online, upkeep
 
 T0 = dt.datetime(2026, 1, 7, 10, 0, 0)
 
@@ -210,3 +210,79 @@ def test_message_features_equal_the_batch_rows(spark, topic, tmp_path):
         want = C.online_features(frame, names).first()
         for n in names:
             assert abs(got[(ticker, last)][n] - want[n]) < 1e-9 * max(1, abs(want[n])), (ticker, last, n)
+
+
+def test_latency_by_buckets_over_many_batches(spark, topic, tmp_path):
+    """Percentiles within the stated error of the exact ones, from counts alone; tables and tickers add up."""
+    path, send = topic
+    delays = {i: (i * 7919) % 50_000 for i in range(1200)}
+    for k in range(12):
+        send([message(i, 1.0, ticker="A" if i % 3 else "B") for i in range(100 * k, 100 * k + 100)])
+    late = F.timestamp_millis(F.unix_millis("ts") + (F.col("offset") * 7919) % 50_000)
+    out = str(tmp_path / "out")
+    latency.keep_counts(C.consumed(C.with_event_time(read(spark, path)), late), out, str(tmp_path / "chk")).awaitTermination()
+    counts = latency.read_counts(spark, out)
+    assert counts.agg(F.sum("messages")).first()[0] == 1200 and counts.count() < 1200
+    for keys, rows in ((("ticker",), latency.percentiles(counts)), ((), latency.percentiles(counts.unionByName(counts), ()))):
+        for r in rows.collect():
+            mine = sorted(d for i, d in delays.items() if not keys or r.ticker == ("A" if i % 3 else "B"))
+            assert r.messages == len(mine) * (1 if keys else 2)
+            for p, got in ((0.5, r.p50_ms), (0.95, r.p95_ms), (0.99, r.p99_ms)):
+                exact = mine[-(-int(len(mine) * p * 100) // 100) - 1]
+                assert exact * (1 - latency.ERROR) - 1 <= got <= exact
+    few = spark.createDataFrame([(d,) for d in (-5, 0, 127, 128, 255, 256, 1_000_000)], "d bigint").select(latency.bucket(F.col("d")).alias("b"))
+    assert [r.b for r in few.collect()] == [0, 0, 127, 128, 255, 256, 999424]
+
+
+def test_slots_expire_by_themselves(spark, topic, tmp_path):
+    path, send = topic
+    out, chk = str(tmp_path / "out"), str(tmp_path / "chk")
+    run = lambda: expiry.keep_changes(C.with_event_time(read(spark, path)), out, chk, seconds=90).awaitTermination()
+    send([message(0, 1.0, 0), message(1, 2.0, 0, ticker="B"), message(2, 3.0, 1, ticker="B")])
+    run()
+    send([message(3, 5.0, 2, ticker="B"), message(4, 7.0, 0, ticker="B")])  # B goes on, A has no more
+    run()
+    changes = upkeep.Sink(spark, out).read()
+    rows = sorted((r.ticker, r.offset, r.expired) for r in changes.collect())
+    assert rows == [("B", 2, False), ("B", 3, False), ("EURUSD", 0, False), ("EURUSD", 0, True)]
+    assert {(r.ticker, r.close) for r in expiry.alive(changes).collect()} == {("B", 5.0)}
+    send([message(5, 9.0, 3), message(6, 1.0, 10, ticker="C")])  # A again; then time passes for both
+    run()
+    assert {r.ticker for r in expiry.alive(upkeep.Sink(spark, out).read()).collect()} == {"C"}
+
+
+def test_hot_slot_keeps_one_row(spark):
+    """A hundred thousand messages of a slot, taken chunk by chunk."""
+    import pandas as pd
+
+    n = 100_000
+    part = pd.DataFrame({"ts": pd.Timestamp("2026-01-07") + pd.to_timedelta(range(n), unit="ms"), "topic": "t", "partition": 0, "offset": range(n), "close": 1.0})
+    best = None
+    for a in range(0, n, 10_000):
+        best = expiry._newest(part.iloc[a:a + 10_000].iloc[::-1], best)
+    assert best[3] == n - 1 and expiry._newest(part.iloc[:0], best) == best
+
+
+def test_compaction_keeps_rows_and_bounds_files(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    sink = upkeep.Sink(spark, path)
+
+    def write(numbers):
+        for n in numbers:
+            spark.createDataFrame([(n, n % 3)], "n int, k int").coalesce(1).write.parquet(f"{path}/batch={n}")
+
+    rows = lambda: sorted(r.n for r in sink.read().collect())
+    write(range(12))
+    before = sink.read()
+    assert sink.compact() == 9 and rows() == list(range(12))
+    assert sorted(r.n for r in before.collect()) == list(range(12))  # a reader that had begun
+    assert sink.compact() is None
+    write(range(12, 20))
+    assert sink.compact() == 17 and rows() == list(range(20)) and sink.batches() == list(range(10, 20))
+    write(range(20, 25))
+    assert sink.compact(F.col("k") != 0) == 22
+    assert rows() == [n for n in range(25) if n % 3 or n > 22]
+    assert sink.merged() == [17, 22] and sink.batches() == list(range(18, 25))
+    # The running query writes its last batch again.
+    spark.createDataFrame([(24, 0)], "n int, k int").write.mode("overwrite").parquet(f"{path}/batch=24")
+    assert rows() == [n for n in range(25) if n % 3 or n > 22]
