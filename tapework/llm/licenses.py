@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Candidate units of a file are its lines and its paragraphs that hold a licence cue. Units and
-templates are sparse term rows; the cosine is a join on terms. Inverse document frequencies count
-all files. A file with a unit close enough to a template has that licence itself; a file named like
+Candidate units of a file are its lines and its paragraphs that hold a licence cue, and the whole text of
+a file named like a licence file. Units and templates are sparse term rows; the cosine is a join on
+terms, weighed by inverse document frequencies over all files and over the licences. A file with a unit close enough to a template has that licence itself; a file named like
 a licence file gives its licence to its directory, and files without one take that of the nearest
 ancestor directory, found by joining the ancestors of all distinct directories.
 
@@ -17,48 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapework.llm.common import prepare, stored
+from tapework.llm.license_texts import HEADERS, TEXTS
 
 LEAST_COSINE = 0.6
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([._-].*)?$"
-CUE = r"(?i)licen[cs]|copyright|all rights reserved|spdx|warrant|permission|public domain|redistribut"
+CUE = r"(?i)licen[cs]|copyright|all rights reserved|spdx|warrant|permission|public domain|redistribut|advertising materials"
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
-# Opening and key sentences of well-known licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal public domain dedication."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("Proprietary", "All rights reserved."),
-    ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited. All rights reserved."),
-)
+#: Whole texts are compared where a file is named like a licence file and has at most so many characters.
+WHOLE = 40_000
+#: From this score on, the longer unit decides; under it, the better score.
+SURE = 0.9
+
+#: Headers, and whole texts as one unit each.
+TEMPLATES = (*HEADERS, *((name, " ".join(text.split())) for name, text in TEXTS))
 
 
 def terms(text: Column) -> Column:
@@ -73,14 +45,16 @@ def templates(spark: SparkSession) -> DataFrame:
             .groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def weights(files: DataFrame, words: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the template terms over all files, and the weight of any other
-    term: that of one found nowhere else."""
-    known = F.array_intersect(F.split(F.regexp_replace(F.lower(F.coalesce("_text", F.lit(""))), r"[^a-z0-9.]+", " "), r"\.?(?: |\z)"), F.lit(words))
+def weights(files: DataFrame, words: dict[str, int]) -> tuple[dict[str, float], float]:
+    """Weights of the template terms, and of any other term: inverse document frequency over all files (of a
+    term found nowhere else) times one over the licences, of which ``words`` has how many hold a term. So
+    what tells licences apart, as names and versions do, weighs more than what they share."""
+    known = F.array_intersect(F.split(F.regexp_replace(F.lower(F.coalesce("_text", F.lit(""))), r"[^a-z0-9.]+", " "), r"\.?(?: |\z)"), F.lit(sorted(words)))
     counts = files.select(F.explode(F.concat(known, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()  # template terms only
     n = {r.term: r["count"] for r in counts}
     total = n.get("", 0)
-    return {w: _idf(total, n.get(w, 0)) for w in words}, _idf(total, 0)
+    names = len({name for name, _ in TEMPLATES})
+    return {w: _idf(total, n.get(w, 0)) * _idf(names, k) for w, k in words.items()}, _idf(total, 0)
 
 
 def _idf(total: int, n: int) -> float:
@@ -88,34 +62,48 @@ def _idf(total: int, n: int) -> float:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """``(path, unit)``: lines and paragraphs of ``files(path, _text)`` that hold a cue, each once a file."""
+    """``(path, unit)`` of ``files(path, _text)``, each once a file: lines and paragraphs that hold a cue, and
+    whole texts of files named like a licence file."""
     flat = F.regexp_replace("_text", r"\r\n?", "\n")
     cut = F.concat(F.split(flat, "\n"), F.transform(F.split(flat, r"\n[\x20\t]*\n"), lambda p: F.regexp_replace(p, "\n", " ")))
     plain = F.transform(F.array_distinct(cut), lambda u: F.trim(u))
-    return (files.where(F.col("_text").rlike(CUE))
-            .select("path", F.explode(F.array_distinct(F.filter(plain, lambda u: u.rlike(CUE)))).alias("unit")))
+    named = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)\z", 1).rlike(LICENSE_NAME) & (F.char_length("_text") <= WHOLE)
+    whole = F.when(named & (F.trim("_text") != ""), F.array(F.trim(F.regexp_replace("_text", r"\s+", " ")))).otherwise(F.array().cast("array<string>"))
+    return (files.where(F.col("_text").rlike(CUE) | named)
+            .select("path", F.explode(F.array_distinct(F.concat(F.filter(plain, lambda u: u.rlike(CUE)), whole))).alias("unit")))
 
 
 def headers(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """``(path, license, score)`` of the files that state a licence: the best template of their units."""
+    """``(path, license, score, tied)`` of the files that state a licence: the best template of their units.
+
+    Units that reach ``SURE`` go before others, longer ones first, so that a whole text or notice decides and
+    not a clause that several licences share; below, the better score does. Where templates of different
+    licences are equal for the best units, ``license`` is NULL and ``tied`` lists them.
+    """
     spark = files.sparkSession
     forms = templates(spark)
-    words = sorted({r.term for r in forms.select("term").distinct().collect()})
-    idf, other = weights(files, words)
+    words: dict[str, set[str]] = {}
+    for r in forms.select("term", "license").distinct().collect():  # a fixed table
+        words.setdefault(r.term, set()).add(r.license)
+    idf, other = weights(files, {w: len(names) for w, names in words.items()})
     table = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     weighted = forms.join(table, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     forms = stored(weighted.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("t_norm")).alias("t_w"), "idf"), "templates")
     rows = units(files).withColumn("u", F.xxhash64("unit"))
     bag = rows.select("path", "u", F.explode(terms(F.col("unit"))).alias("term")).groupBy("path", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
-    bag = stored(bag.join(table, "term", "left").select("path", "u", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("w")), "units")
-    length = bag.groupBy("path", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u_norm"))
+    bag = stored(bag.join(table, "term", "left").select("path", "u", "term", "tf", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("w")), "units")
+    length = bag.groupBy("path", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("u_norm"), F.sum("tf").alias("n_terms"))
     dots = bag.join(forms, "term").groupBy("path", "u", "template", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     scores = dots.join(length.withColumnsRenamed({"path": "_p", "u": "_u"}), F.col("path").eqNullSafe(F.col("_p")) & (F.col("u") == F.col("_u"))).withColumn(
-        "score", F.round(F.col("dot") / F.col("u_norm"), 9))
-    # Largest score; ties to the first template.
-    best = scores.where(F.col("score") >= least).groupBy("path").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("b"))
-    return best.select("path", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+        "score", F.round(F.col("dot") / F.col("u_norm"), 9)).where(F.col("score") >= least)
+    # A unit's place among a file's units, and each licence's best: as many rows as licences.
+    sure = F.when(F.col("score") >= SURE, F.col("n_terms")).otherwise(F.lit(0))
+    by_license = scores.groupBy("path", "license").agg(F.max(F.struct(sure.alias("n"), "score")).alias("k"))
+    ranked = by_license.groupBy("path").agg(F.max("k").alias("k"), F.collect_list(F.struct("k", "license")).alias("all"))
+    tied = F.array_sort(F.transform(F.filter("all", lambda x: x["k"] == F.col("k")), lambda x: x["license"]))
+    return ranked.select("path", F.when(F.size(tied) == 1, tied[0]).alias("license"), F.col("k.score").alias("score"),
+                         F.when(F.size(tied) > 1, tied).alias("tied"))
 
 
 def _directory(path: Column) -> Column:
@@ -127,7 +115,7 @@ def inherited(files: DataFrame, stated: DataFrame) -> DataFrame:
     """``(dir, license, from_dir)``: for every directory of ``files(path)`` the licence of its own or
     nearest ancestor directory that has a licence file; directories without one are left out."""
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
-    given = (stated.where(name.rlike(LICENSE_NAME)).withColumn("at", _directory(F.col("path")))
+    given = (stated.where(name.rlike(LICENSE_NAME) & F.col("license").isNotNull()).withColumn("at", _directory(F.col("path")))
              .groupBy("at").agg(F.max(F.struct("score", F.col("license"))).alias("b")).select("at", F.col("b.license").alias("license")))
     dirs = files.select(_directory(F.col("path")).alias("dir")).where("dir IS NOT NULL").distinct()
     steps = F.split("dir", "/")
@@ -138,10 +126,10 @@ def inherited(files: DataFrame, stated: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """One row per document: ``doc_id, path, own_license, score, license, from_dir``.
+    """One row per document: ``doc_id, path, own_license, score, tied, license, from_dir``.
 
     ``license`` is the document's own, else the inherited one with the directory it comes from, else
-    NULL. ``path`` is a column of ``docs`` with ``/`` between directories; documents without a path
+    NULL. Where a text fits several licences equally well, ``tied`` lists them and it has none of its own. ``path`` is a column of ``docs`` with ``/`` between directories; documents without a path
     can state but not inherit a licence. NULL and empty texts state none. Rows that share a path are
     one file: its best unit counts. Repeated rows are returned as often as given.
     """
@@ -150,7 +138,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     stated = stored(headers(files, least), "stated")
     narrow = files.select("doc_id", "path", _directory(F.col("path")).alias("dir"))
     by_dir = stored(inherited(narrow, stated), "by-dir").withColumnRenamed("dir", "_dir")
-    own = stated.select(F.col("path").alias("_path"), F.col("license").alias("own_license"), "score")
+    own = stated.select(F.col("path").alias("_path"), F.col("license").alias("own_license"), "score", "tied")
     return (narrow.join(own, F.col("path").eqNullSafe(F.col("_path")), "left").join(by_dir, F.col("dir") == F.col("_dir"), "left").select(
-        "doc_id", "path", "own_license", "score", F.coalesce("own_license", "dir_license").alias("license"),
+        "doc_id", "path", "own_license", "score", "tied", F.coalesce("own_license", "dir_license").alias("license"),
         F.when(F.col("own_license").isNull(), F.col("from_dir")).alias("from_dir")))
