@@ -31,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 BLOCK = 1000
+#: Equal rows that are numbered or written out together.
+COPIES = 8192
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -167,10 +169,20 @@ def _tagged(docs: DataFrame, id_col: str, source_col: str, size: Column) -> Data
         F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")), "_size"))
 
 
+def _copies(repeated: DataFrame) -> DataFrame:
+    """``(_source, _tag, _copy, _size, _p)``: a unit for each of the ``_n`` rows of a tag, in chunks, so that
+    no list is longer than ``COPIES``."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))).alias("_chunk")
+    first = F.col("_chunk") * COPIES
+    return repeated.select("*", chunk).select(
+        "_source", "_tag", "_size", "_p", F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias("_k")).select(
+        "_source", "_tag", F.xxhash64("_tag", "_k").alias("_copy"), "_size", "_p")
+
+
 def decisions(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float,
               cap: float, block: int) -> DataFrame:
-    """``(_t, _s, _z, source_size, target, _ratio, _picked)``: one row per tag, source and size.
-    ``_picked`` is NULL for rows that cannot be told apart."""
+    """``(_t, _s, _z, source_size, target, _ratio, _n, _k)``: one row per tag, source and size, of whose
+    ``_n`` rows ``_k`` are taken once more than the whole part of ``_ratio``."""
     sized = stored(_tagged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")),
                            "doc_id", "source", F.col("size")).select("source", "_size", "_tag"), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
@@ -178,19 +190,44 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
     units = sized.groupBy("source", "_tag", "_size").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("source", "_source")
     units = stored(units.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("source").withColumn(
         "_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "units")
-    flown = units.where("_n = 1 AND _size > 0").select("_source", "_tag", "_size", (F.col("_ratio") - F.floor("_ratio")).alias("_p"))
-    picked = stored(chosen(flown, block), "picked").select(F.col("_tag").alias("_t"), F.col("_source").alias("_s"), "_picked")
+    open_ = units.where("_size > 0").withColumn("_p", F.col("_ratio") - F.floor("_ratio"))
+    flown, repeated = open_.where("_n = 1").select("_source", "_tag", "_size", "_p"), open_.where("_n > 1")
+    copies = None
+    if not repeated.isEmpty():
+        copies = stored(_copies(repeated), "copies")
+        flown = flown.unionByName(copies.select("_source", F.col("_copy").alias("_tag"), "_size", "_p"))
+    picked = stored(chosen(flown, block), "picked").select(F.col("_tag").alias("_t"), F.col("_source").alias("_s"), F.col("_picked").cast("long").alias("_k"))
+    if copies is not None:
+        of_tag = copies.join(picked, (F.col("_copy") == F.col("_t")) & F.col("_source").eqNullSafe(F.col("_s"))).groupBy("_tag", "_source").agg(
+            F.sum("_k").alias("_k")).select(F.col("_tag").alias("_t"), F.col("_source").alias("_s"), "_k")
+        singles = units.where("_n = 1").select(F.col("_tag").alias("_one"), F.col("_source").alias("_of"))
+        picked = picked.join(singles, (F.col("_t") == F.col("_one")) & F.col("_s").eqNullSafe(F.col("_of")), "left_semi").unionByName(of_tag)
     return (units.join(picked, (F.col("_tag") == F.col("_t")) & F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("_tag").alias("_t"), F.col("_source").alias("_s"), F.col("_size").alias("_z"), "source_size", "target", "_ratio",
-        F.when(F.col("_n") == 1, F.coalesce("_picked", F.lit(False))).alias("_picked")))
+        F.col("_tag").alias("_t"), F.col("_source").alias("_s"), F.col("_size").alias("_z"), "source_size", "target", "_ratio", "_n",
+        F.coalesce("_k", F.lit(0)).alias("_k")))
 
 
 def _decided(docs: DataFrame, source_col: str, made: DataFrame) -> DataFrame:
-    """``docs`` with ``source_size``, ``target`` and ``taken``."""
-    part = F.floor(F.col("_size") * F.col("_ratio") + 0.5)
-    whole = F.col("_size") * (F.floor("_ratio") + F.col("_picked").cast("int"))
-    return docs.join(made, (F.col("_tag") == F.col("_t")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))).withColumn(
-        "taken", F.when(F.col("_picked").isNull(), part).otherwise(whole).cast("long"))
+    """``docs`` with ``source_size``, ``target`` and ``taken``. Rows of a tag cannot be told apart: they are
+    numbered in groups of about ``COPIES``, and a group's share of the ``_k`` goes to its first rows."""
+    def joined(some: str) -> DataFrame:
+        return docs.withColumn("_salt", F.monotonically_increasing_id()).join(
+            made.where(some), (F.col("_tag") == F.col("_t")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+
+    def taken(rows: DataFrame, more: Column) -> DataFrame:
+        return rows.withColumn("taken", (F.col("_size") * (F.floor("_ratio") + more)).cast("long"))
+
+    out = taken(joined("_n = 1"), F.col("_k")).drop("_salt")
+    if made.where("_n > 1").isEmpty():
+        return out
+    groups = F.expr(f"(_n - 1) div {COPIES} + 1")
+    rows = joined("_n > 1").withColumn("_salt", F.pmod("_salt", groups))
+    same = Window.partitionBy("_t", "_s", "_z", "_salt")
+    # A group of all rows has all of the _k; of several, each has its share of them, rounded by chance.
+    share = F.when(groups == 1, F.col("_k")).otherwise(F.floor(
+        F.count(F.lit(1)).over(same) * F.col("_k") / F.col("_n") + F.pmod(F.xxhash64("_t", "_salt"), F.lit(1 << 20)) / (1 << 20)))
+    rows = rows.withColumn("_more", (F.row_number().over(same.orderBy(F.lit(0))) <= share).cast("long"))
+    return out.unionByName(taken(rows, F.col("_more")).drop("_salt", "_more"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -198,8 +235,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: ``doc_id, source, size, source_size, target, taken``.
 
     ``taken`` is the document's words times the whole number of times it is taken. Documents without
-    words take nothing. Rows that repeat id, source and size cannot be told apart; each takes the
-    rounded share of its words. A NULL source is a source of its own, the last one.
+    words take nothing. Rows that repeat id, source and size cannot be told apart; each is a unit of its
+    own, and which of them are taken is open. A NULL source is a source of its own, the last one.
     """
     prepare(docs.sparkSession)
     made = stored(decisions(docs, id_col, text_col, source_col, weights, share, cap, block), "decisions")
