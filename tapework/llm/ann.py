@@ -1,11 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
 Candidates and queries are cut into blocks of bounded size; every candidate block meets every query
-block (a stated query set against all rows). A tile multiplies int8 codes; the rounding residuals
-give a bound on the error of each product, so a pair is dropped only when its upper bound lies below
-the query's k-th best lower bound. Surviving pairs are recomputed in double precision from the
-original components and merged into each query's list of k; lists of the tiles of a task are merged
-before they leave it. The result is exact.
+block (a stated query set against all rows), on a grid of groups of the ones and parts of the others. A
+tile multiplies int8 codes; the rounding residuals give a bound on the error of each product, so a pair
+is dropped only when its upper bound lies below the query's k-th best lower bound. Surviving pairs are
+recomputed in double precision from the original components and merged into each query's list of k;
+lists of the tiles of a task are merged before they leave it. The result is exact.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from tapework.llm.common import prepare, stored
 
 BLOCK = 1024
 QUERY_BLOCK = 1024
-#: Parts into which the candidate blocks of a query block are dealt; each gives one list a query.
-SPREAD = 32
+#: The grid: query blocks that share one copy of a candidate block, and candidate blocks of a part, of which
+#: there are ``SPREAD`` at least. A query block is copied once per part, and gets one list from each.
+GROUP = 16
+PART_BLOCKS = 64
+SPREAD = 16
 #: Pairs that a tile handles at once.
 _PAIRS = 1 << 18
 _CODES = 127.0
@@ -48,10 +51,10 @@ def _packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 def blocks(rows: DataFrame, width: int) -> DataFrame:
     """Rows packed into blocks of about ``width`` rows, per dimension. The block number hashes id and
     vector with a row tag, so that a repeated id is spread as well."""
-    n = {r.dim: r["count"] for r in rows.groupBy("dim").count().orderBy(F.desc("count")).limit(1000).collect()}
-    count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for d, c in n.items() for x in (d, max(1, -(-c // width)))]), F.col("dim")), F.lit(1)) if n else F.lit(1)
-    block = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), count).cast("int").alias("block")
-    return rows.select("id", "v", "dim", block).groupBy("dim", "block").applyInPandas(_packed, BLOCKS)
+    counts = rows.groupBy(F.col("dim").alias("_dim")).agg(F.ceil(F.count(F.lit(1)) / F.lit(width)).alias("_n"))
+    tagged = rows.select("id", "v", "dim", F.xxhash64("id", "v", F.monotonically_increasing_id()).alias("_tag"))
+    dealt = tagged.join(counts, F.col("dim") == F.col("_dim")).select("id", "v", "dim", F.pmod("_tag", "_n").cast("int").alias("block"))
+    return dealt.groupBy("dim", "block").applyInPandas(_packed, BLOCKS)
 
 
 def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def _joined(k: int):
                 if key in lists:
                     found = best(*(np.concatenate(x) for x in zip(lists[key][1], found)), k)
                 lists[key] = [q_ids, found]
-                if len(lists) > 8:  # the oldest list leaves; lists are merged again afterwards
+                if len(lists) > 4 * GROUP:  # the oldest list leaves; lists are merged again afterwards
                     yield _listed(*lists.pop(next(iter(lists))))
         for x in lists.values():
             yield _listed(*x)
@@ -148,13 +151,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     asked = usable(queries, id_col, vector_col).distinct()
     left = stored(blocks(asked, query_block), "query-blocks")
     right = stored(blocks(usable(vectors, id_col, vector_col), block), "blocks")
-    # Every candidate block is sent to every query block; the parts of a query block share its work.
-    counts = left.groupBy("dim").agg(F.max("block").alias("last"))
-    sent = right.join(counts, "dim").select(
-        "dim", "ids", "vectors", F.pmod("block", F.lit(SPREAD)).alias("part"), F.explode(F.sequence(F.lit(0), "last")).alias("q_block"))
-    asked_of = left.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-                           F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    tiles = sent.join(asked_of, ["dim", "q_block", "part"])
+    # Groups of query blocks against parts of candidate blocks: a candidate travels once per group, a query
+    # once per part, and a task holds one part of one group.
+    grid = left.groupBy("dim").agg(F.expr(f"max(block) div {GROUP}").alias("last")).join(right.groupBy("dim").agg(
+        F.greatest(F.lit(SPREAD), F.expr(f"max(block) div {PART_BLOCKS} + 1")).cast("int").alias("parts")), "dim")
+    grid = stored(grid, "grid")
+    sent = right.join(grid, "dim").select("dim", "ids", "vectors", F.pmod("block", "parts").alias("part"),
+                                          F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("q_group"))
+    asked_of = left.join(grid, "dim").select(
+        "dim", F.col("block").alias("q_block"), F.expr(f"block div {GROUP}").alias("q_group"), F.col("ids").alias("q_ids"),
+        F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    tiles = sent.join(asked_of, ["dim", "q_group", "part"])
     lists = tiles.mapInPandas(_joined(k), "query_row long, query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (lists.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

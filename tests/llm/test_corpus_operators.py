@@ -316,6 +316,21 @@ def test_mix_edges(spark):
     assert place == {f"s{k:04d}": k for k in range(500)}
 
 
+@pytest.mark.parametrize("copies", [8192, 100])
+def test_mix_of_repeated_rows(spark, monkeypatch, copies):
+    """Rows that cannot be told apart are dealt whole takings, in one group or in many."""
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(1, "word", "b")] * 3000 + [(10 + k // 2, "two words", "c") for k in range(400)] + [(900 + k, "w " * (1 + k % 5), "a") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and (got.taken % got["size"] == 0).all() and (got.taken <= 2 * got["size"]).all()
+    target = filled(got.groupby("source")["size"].sum().to_dict())
+    for s, g in got.groupby("source"):
+        assert abs(g.taken.sum() - target[s]) <= 4 + 0.012 * target[s] * (copies < 8192)
+    kept = mixing.mixed(docs)
+    assert abs(kept.agg(F.sum("taken")).first()[0] - got.taken.sum()) <= 4 + 0.012 * got.taken.sum() * (copies < 8192)
+
+
 def test_flight_keeps_the_balance():
     rng = np.random.default_rng(8)
     size = rng.integers(1, 3000, 400).astype(float)
