@@ -190,7 +190,7 @@ def test_perplexity_query(spark):
 @pytest.mark.parametrize("size", [1 << 20, 40])
 def test_perplexity_of_odd_texts(spark, monkeypatch, size):
     cut = chunked.cut
-    monkeypatch.setattr(classlm, "cut", lambda batches: cut(batches, size))
+    monkeypatch.setattr(classlm, "cut", lambda batches, _: cut(batches, size))
     docs = odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = classlm.score(docs, classes=4).collect()
