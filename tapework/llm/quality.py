@@ -4,8 +4,8 @@ Two views of a document: its text (hashed words, and shares of symbols, capitals
 separators) and its metadata (source, language, both together, whether a length is stated), which has
 nothing of the content. Each view has a logistic classifier. Over a few rounds each scores a pool of
 unlabelled documents and hands its surest ones, with their pseudo-labels, to the other; then both are
-calibrated on held out labelled documents, and the calibrated log odds are combined with weights
-learned there, none of them negative.
+calibrated on labelled documents, each scored by a classifier that has not seen it, and the calibrated
+log odds are combined with weights learned there, none of them negative.
 
 A view that ranks held-out documents no better than chance (``live``) hands nothing over and has weight
 0. What is handed over stays only if it does not raise the receiving view's held-out loss, and views
@@ -36,11 +36,13 @@ ROUNDS = 4
 #: Pseudo-labels that a view hands over in a round, per class at most, and the least certainty.
 HANDED = 150
 SURE = 0.95
-HOLD_OUT = 4  # every fourth labelled document calibrates
+HOLD_OUT = 4  # parts of the labelled documents, each held out once to calibrate
 BUCKETS = 1 << 14
 SHARES = 14
 META = 1 << 10
 KEEP = 0.5
+#: Share of the good documents that may lie below what the bound goes half way up to.
+GOOD_BELOW = 0.01
 
 _CACHE = 200_000
 
@@ -172,10 +174,12 @@ def logistic(rows: Rows, y: np.ndarray, width: int, penalty: float = 0.2, steps:
 def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 100) -> np.ndarray:
     """Platt scaling of one or several score columns: weights, none of them negative, and intercept.
 
-    Smoothed targets and a squared penalty on all of them keep separable data finite. A column that would
-    get a negative weight, or the most negative of several, has weight 0 and the others are fitted anew.
+    Both classes have equal weight, so that even odds lie between them however rare one is. Smoothed
+    targets and a squared penalty on all of them keep separable data finite. A column that would get a
+    negative weight, or the most negative of several, has weight 0 and the others are fitted anew.
     """
     up, down = (y > 0.5).sum(), (y <= 0.5).sum()
+    weight = np.where(y > 0.5, len(y) / max(2 * up, 1), len(y) / max(2 * down, 1))
     t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
     out, used = np.zeros(x.shape[1] + 1), list(range(x.shape[1]))
     while True:
@@ -183,10 +187,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int =
 
         def direction(w: np.ndarray, g: np.ndarray) -> np.ndarray:
             p = _sigmoid(m @ w)
-            return np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + penalty * np.eye(len(w)), g)
+            return np.linalg.solve((m * (weight * p * (1 - p))[:, None]).T @ m + penalty * np.eye(len(w)), g)
 
-        w = _descend(np.zeros(len(used) + 1), lambda w: _loss(m @ w, t).sum() + penalty / 2 * (w @ w),
-                     lambda w: m.T @ (_sigmoid(m @ w) - t) + penalty * w, direction, steps, 1e-9)
+        w = _descend(np.zeros(len(used) + 1), lambda w: (weight * _loss(m @ w, t)).sum() + penalty / 2 * (w @ w),
+                     lambda w: m.T @ (weight * (_sigmoid(m @ w) - t)) + penalty * w, direction, steps, 1e-9)
         if not used or w[:-1].min() >= 0:
             out[[*used, -1]] = w
             return out
@@ -230,31 +234,35 @@ class Model:
 def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, rounds: int = ROUNDS) -> Model:
     """``y``: 1 good, 0 bad for the labelled rows, in a fixed order."""
     model = Model()
-    held = np.arange(len(y)) % HOLD_OUT == HOLD_OUT - 1
-    fit, test = np.nonzero(~held)[0], np.nonzero(held)[0]
-    if len(y) == 0 or y.min() == y.max() or y[fit].min() == y[fit].max():
+    if len(y) == 0 or y.min() == y.max():
         return model
-    if len(test) < 20 or y[test].min() == y[test].max():
-        test = np.arange(len(y))
+    part = np.arange(len(y)) % HOLD_OUT
     views = {"text": (text, pool_text, BUCKETS + SHARES), "meta": (meta, pool_meta, META)}
-    base = max(y[fit].mean(), 1e-3)
+    base = max(y.mean(), 1e-3)
 
     @dataclass
     class View:
         weights: np.ndarray
         scale: np.ndarray
-        odds: np.ndarray  # calibrated, of the held out rows
+        odds: np.ndarray  # calibrated, of the labelled rows while held out
         loss: float
         live: bool
 
     def learnt(view: str, gifts: dict[int, float]) -> View:
         rows, pool, width = views[view]
         more = sorted(gifts.items())
-        w = logistic([rows[i] for i in fit] + [pool[i] for i, _ in more], np.concatenate((y[fit], [v for _, v in more])), width)
-        raw = scores(w, [rows[i] for i in test])
-        scale = calibrate(raw[:, None], y[test])
+
+        def fit(some: np.ndarray) -> np.ndarray:
+            return logistic([rows[i] for i in some] + [pool[i] for i, _ in more], np.concatenate((y[some], [v for _, v in more])), width)
+
+        # Scores of every labelled row by a classifier that has not seen it.
+        raw = np.zeros(len(y))
+        for k in range(HOLD_OUT):
+            out = np.nonzero(part == k)[0]
+            raw[out] = scores(fit(np.nonzero(part != k)[0]), [rows[i] for i in out])
+        scale = calibrate(raw[:, None], y)
         odds = raw * scale[0] + scale[1]
-        return View(w, scale, odds, float(_loss(odds, y[test]).sum()), live(raw, y[test]))
+        return View(fit(np.arange(len(y))), scale, odds, float(_loss(odds, y).sum()), live(raw, y))
 
     # What each view has from the other: pool rows with pseudo-labels.
     gifts: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
@@ -279,9 +287,12 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
     model.handed = (len(gifts["meta"]), len(gifts["text"]))
     model.blind = not (a.live or b.live)
     alone = [np.array(w) for w, v in (((1.0, 0.0, 0.0), a), ((0.0, 1.0, 0.0), b)) if v.live]
-    both = [calibrate(np.column_stack((a.odds, b.odds)), y[test])] if len(alone) == 2 else []
+    both = [calibrate(np.column_stack((a.odds, b.odds)), y)] if len(alone) == 2 else []
     if alone:
-        model.joint = min(alone + both, key=lambda w: _loss(a.odds * w[0] + b.odds * w[1] + w[2], y[test]).sum())
+        model.joint = min(alone + both, key=lambda w: _loss(a.odds * w[0] + b.odds * w[1] + w[2], y).sum()).copy()
+        # Where nearly all good documents lie well above even odds, the bound goes half way up to them.
+        odds = a.odds * model.joint[0] + b.odds * model.joint[1] + model.joint[2]
+        model.joint[2] -= max(0.0, float(np.quantile(odds[y > 0.5], GOOD_BELOW))) / 2
     return model
 
 

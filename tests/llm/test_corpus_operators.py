@@ -423,15 +423,16 @@ def test_calibration_and_logistic_reach_their_minima():
         w = quality.calibrate(x, y)
         up, down = y.sum(), (1 - y).sum()
         t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
+        share = np.where(y > 0.5, 100 / up, 100 / down)
         m = np.column_stack([x, np.ones(200)])
 
         def value(v):
-            return quality._loss(m @ v, t).sum() + 0.005 * (v @ v)
+            return (share * quality._loss(m @ v, t)).sum() + 0.005 * (v @ v)
 
         plain = np.zeros(3)
         scale = np.abs(m).max() ** 2 * 200
         for _ in range(100_000):
-            plain = plain - (m.T @ (quality._sigmoid(m @ plain) - t) + 0.01 * plain) / (0.25 * scale)
+            plain = plain - (m.T @ (share * (quality._sigmoid(m @ plain) - t)) + 0.01 * plain) / (0.25 * scale * share.max())
             plain[:2] = np.maximum(plain[:2], 0)
         assert (w[:2] >= 0).all() and value(w) <= value(plain) + 1e-6
     rows = [(rng.choice(30, 5, replace=False), rng.random(5)) for _ in range(60)]
