@@ -395,7 +395,7 @@ def test_exchange_teaches_the_view_that_lacks_labels():
 
     def rows(n):
         y = (rng.random(n) < 0.7).astype(float)
-        text = [(np.array([rng.integers(0, 40) + (40 if a else 0) for _ in range(3)]), np.ones(3)) for a in y]
+        text = [(np.array([rng.integers(0, 300) + (300 if a else 0) for _ in range(3)]), np.ones(3)) for a in y]
         meta = [quality.meta_features(f"s{int(rng.integers(0, 3) + (3 if a else 0))}", "en", 1.0) for a in y]
         return y, text, meta
 
