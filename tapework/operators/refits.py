@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tapework import schemas as S
 from tapework.operators import series as R
 from tapework.operators import splits
-from tapework.operators.model import KEYS, centred
+from tapework.operators.model import centred
 from tapework.operators.stats import gram, square
 from tapework.session import materialize
 
