@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tapework.llm import chunked, classlm, lexsearch, queries, tokenalign
