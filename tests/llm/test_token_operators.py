@@ -255,6 +255,43 @@ def test_exchange_finds_planted_classes(spark):
     assert (plain == matrix).all()
 
 
+def test_long_words_are_units_of_their_own(spark):
+    """Names of words say nothing where every word is a unit, so scores are those with short names."""
+    rng = np.random.default_rng(4)
+    names = {"left": "left" + "-" * 80 + "one", "right": "right" + "-" * 80 + "one"}
+    rows = []
+    for i in range(120):
+        ws = [x for _ in range(8) for x in (("left", "ab", "cd") if rng.random() < 0.5 else ("right", "ef", "gh"))]
+        rows.append((i, " ".join(ws), " ".join(names.get(w, w) for w in ws)))
+    table = spark.createDataFrame(rows, "doc_id long, short string, text string")
+    short, long = ({r.doc_id: r.score for r in classlm.score(table, classes=4, text_col=c).collect()} for c in ("short", "text"))
+    np.testing.assert_allclose([long[i] for i in range(120)], [short[i] for i in range(120)], rtol=1e-9)
+
+
+def test_moves_set_aside_are_judged_anew(spark, monkeypatch):
+    """The last proposals of a turn are all made together, however few of the earlier ones could be."""
+    # 1 and 2 are alike, and so are 5 and 6, but each is in a class with one of the others: all of them
+    # want to change to the other class, and together they would only swap the classes.
+    line = [x for a in (1, 2) for b in (5, 6) for x in (a, 3, b, 4)]
+    lines, units, size = [(chunked.packed(np.array(line * 5)),)], 7, 5
+    first = np.array([4, 0, 1, 2, 3, 0, 1])
+    neighbours = classlm._neighbours(spark.createDataFrame(lines, "units binary"), units)
+    asked, was, propose = [], [], classlm._moves
+
+    def moves(table, classes, matrix, turn):
+        found = propose(table, classes, matrix, turn)
+        asked.append([(unit, to) for _, unit, to in found])
+        was.append(classes.copy())
+        return found
+
+    monkeypatch.setattr(classlm, "_moves", moves)
+    monkeypatch.setattr(classlm, "TURNS", 1)
+    classes, matrix = classlm.exchange(neighbours, first, size, sweeps=1)
+    made = [all(now[unit] == to for unit, to in found) for found, now in zip(asked, [*was[1:], classes])]
+    assert made == [False] * (len(made) - 1) + [True] and len(made) > 1
+    assert classlm.likelihood(matrix) > classlm.likelihood(classlm._class_matrix(neighbours, first, size))
+
+
 def test_probabilities_add_up_to_one(spark):
     """Over all words and the unseen one of each class, after any two words."""
     rng = np.random.default_rng(3)
