@@ -236,12 +236,6 @@ def _sketch(idf: np.ndarray, rank: int):
         r, y, rows = _random(size, rank), np.zeros((size, rank), np.float32), 0
         for frame in frames:
             for k, p, t, n in _chunks(frame):
-                # Even passages do not overlap; with a document's last one they cover every word.
-                last = np.nonzero(np.r_[np.diff(k) != 0, True])[0]
-                even = (p % 2 == 0) | (p == np.repeat(p[last], np.diff(np.r_[-1, last])))
-                if not even.any():
-                    continue
-                k, p, t, n = k[even], p[even], t[even], n[even]
                 starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
                 rows += len(starts)
                 z = _sums(r, t, w, starts)
