@@ -1,10 +1,13 @@
 """Queries: continuous jobs, run over the tables as staged files until everything is processed."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tapework.catalog.base import PRICES, query, rounded, rsql, using
 from tapework.catalog.features import LAG_SQL, MEAN_SQL, NAMES, SERVED, STD_SQL
-from tapework.session import materialize, scratch
+from tapework.functions import scalar as X
+from tapework.session import scratch
 from tapework.sources import topics
 from tapework.sources.fixtures import messages, ticks
 from tapework.streaming import candles as C
@@ -12,10 +15,26 @@ from tapework.streaming import expiry, latency, online, upkeep
 
 NTZ = "timestamp_ntz"
 CHUNKS = 4
-
-
-def staged(spark, sf, rows=None, broken=False):
-    """Messages as topic records, written in order as a few groups of files."""
+#: Messages of a file, and the files of a micro-batch: of jobs that only Spark's own operators run, and of
+#: those that hold a key's messages of a micro-batch in Python.
+FILE_ROWS = 1 << 16
+FILES = 64
+PYTHON_FILES = 16
+
+
+def in_order(spark, path):
+    """Give the files of one job the times of their order, in which a stream takes them."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [e.getPath() for e in system.listStatus(home) if e.getPath().getName().startswith("part-")]
+    now = int(time.time()) - len(files)
+    for k, file in enumerate(sorted(files, key=lambda f: int(f.getName().split("-")[1]))):
+        system.setTimes(file, (now + k) * 1000, -1)
+
+
+def staged(spark, sf, rows=None, broken=False, files=FILES, order=None):
+    """Messages as topic records, written as files that follow ``order`` (their time, unless given); messages
+    of equal order share a file."""
     rows = messages(spark, sf) if rows is None else rows
     value = F.to_json(F.struct(*topics.FIELDS))
     if broken:
@@ -24,13 +43,13 @@ def staged(spark, sf, rows=None, broken=False):
         value = (F.when(case == 0, F.lit("not json")).when(case == 1, F.to_json(F.struct("timestamp", "close")))
                  .when(case == 2, F.to_json(F.struct(*rest, F.lit("NaN").alias("volume"))))
                  .when(case == 3, F.to_json(F.struct(*rest, F.lit("1e30").alias("volume")))).otherwise(value))
-    records = materialize(rows.select(F.col("ticker").alias("key"), value.alias("value"), "topic", "partition", "offset"), "records")
-    last = records.agg(F.max("offset").alias("m")).select("m").scalar()
+    parts = max(CHUNKS, -(-rows.count() // FILE_ROWS))
+    order = X.parse_timestamp(F.col("timestamp")) if order is None else F.col(order)
     path = scratch(spark, "topic")
-    for k in range(CHUNKS):
-        part = records.where(F.floor(F.col("offset") * CHUNKS / (last + 1)) == k)
-        part.write.mode("append").parquet(path)
-    return C.from_files(spark, path, files_per_trigger=64)
+    rows.repartitionByRange(parts, order).select(
+        F.col("ticker").alias("key"), value.alias("value"), "topic", "partition", "offset").write.parquet(path)
+    in_order(spark, path)
+    return C.from_files(spark, path, files_per_trigger=files)
 
 
 def paths(spark, *names):
@@ -68,7 +87,7 @@ def stream_suppress(spark, sf):
     one = messages(spark, sf).withColumn("offset", F.col("offset") * 2)
     pairs = one.unionByName(one.withColumn("offset", F.col("offset") + 1))
     out, chk = paths(spark, "changed")
-    decoded = topics.decode(staged(spark, sf, pairs))
+    decoded = topics.decode(staged(spark, sf, pairs, files=PYTHON_FILES, order="offset"))
     C.to_table(C.suppressed(decoded), out, chk).awaitTermination()
     return spark.read.parquet(out)
 
@@ -77,14 +96,14 @@ LATEST = """SELECT ticker, period, "interval", "offset", "timestamp", close FROM
     QUALIFY row_number() OVER (PARTITION BY ticker, period, "interval" ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) = 1"""
 
 
-def latest_table(spark, sf):
+def latest_table(spark, records):
     out, chk = paths(spark, "latest")
-    return out, C.keep_latest(topics.decode(staged(spark, sf)), out, chk)
+    return out, C.keep_latest(topics.decode(records), out, chk)
 
 
 @query("stream_latest", using("messages", LATEST))
 def stream_latest(spark, sf):
-    out, q = latest_table(spark, sf)
+    out, q = latest_table(spark, staged(spark, sf))
     q.awaitTermination()
     return C.read_latest(spark, out).select("ticker", "period", "interval", "offset", "timestamp", "close")
 
@@ -93,7 +112,7 @@ def stream_latest(spark, sf):
     PARTITION BY ticker, period, "interval" ORDER BY event_ts DESC, topic DESC, partition DESC, "offset" DESC) AS k FROM messages) CROSS JOIN (VALUES (60), (300), (3600)) t(ttl)
     WHERE k = 1 AND (SELECT max(event_ts) FROM messages) - event_ts < to_seconds(ttl)"""))
 def stream_ttl_latest(spark, sf):
-    out, q = latest_table(spark, sf)
+    out, q = latest_table(spark, staged(spark, sf))
     q.awaitTermination()
     now = F.lit(ticks(spark, sf).agg(F.max("ts")).first()[0])
     parts = [C.read_fresh(spark, out, now, s).select("ticker", "period", "interval", "close", F.lit(s).alias("ttl"))
@@ -153,7 +172,7 @@ def stream_dual_sink(spark, sf):
 @query("stream_status", using("messages", """SELECT 'stopped' AS status, CAST(NULL AS VARCHAR) AS mode, count(*) AS input_rows,
     count(DISTINCT ticker) AS tickers, count(DISTINCT ticker) AS cached_tickers FROM messages"""))
 def stream_status(spark, sf):
-    out, q = latest_table(spark, sf)
+    out, q = latest_table(spark, staged(spark, sf))
     q.awaitTermination()
     landed, chk = paths(spark, "landed")
     C.land(staged(spark, sf), landed, chk).awaitTermination()
@@ -220,7 +239,7 @@ MESSAGE_ROWS = {
 @query("stream_features", using("messages", f"""SELECT ticker, ts, "offset", {rsql(NAMES)} FROM filled""", **MESSAGE_ROWS))
 def stream_features(spark, sf):
     out, chk = paths(spark, "features")
-    timed = C.with_event_time(topics.decode(staged(spark, sf)))
+    timed = C.with_event_time(topics.decode(staged(spark, sf, files=PYTHON_FILES)))
     C.to_table(online.message_features(timed, NAMES), out, chk).awaitTermination()
     return rounded(spark.read.parquet(out), NAMES).withColumn("ts", F.col("ts").cast(NTZ))
 

@@ -21,6 +21,8 @@ from tapework.operators import columns
 
 #: Returns that the longest lag looks back over.
 RING = max(S.LAGS)
+#: Rows of a ticker that are made at once.
+SLICE = 1 << 14
 
 ARRAYS = ("ring", "logs", "prices", "before")
 STATE = T.StructType([T.StructField("last", T.LongType())] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ARRAYS])
@@ -96,16 +98,17 @@ def _follow(names: Sequence[str]):
         if state.exists:
             last, *arrays = state.get
             history = History(last, *(np.array(x, float) for x in arrays))
-        rows = pd.concat(list(parts), ignore_index=True)
-        time = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        rows = rows.assign(_t=time).sort_values(["_t", "offset"], kind="stable")
+        # Numbers only: a message is 48 bytes until its own row is made.
+        held = [(p["ts"].to_numpy("datetime64[us]").astype(np.int64), p["offset"].to_numpy(), p[list(S.PRICES)].to_numpy(float)) for p in parts]
+        time, offset, prices = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((offset, time))
         # Of a time the last arrival counts; what is not later than the history came too late.
-        rows = rows[(rows["_t"] > history.last) & ~rows["_t"].duplicated(keep="last")]
-        if not len(rows):
-            return
-        made = advance(history, rows["_t"].to_numpy(), rows[list(S.PRICES)].to_numpy(float))
-        state.update((history.last, *(getattr(history, n).tolist() for n in ARRAYS)))
-        yield pd.DataFrame({"ticker": key[0], "ts": rows["ts"].to_numpy(), "offset": rows["offset"].to_numpy(), **{n: made[n] for n in names}})
+        order = order[np.r_[time[order][1:] != time[order][:-1], True] & (time[order] > history.last)]
+        for first in range(0, len(order), SLICE):
+            some = order[first:first + SLICE]
+            made = advance(history, time[some], prices[some])
+            state.update((history.last, *(getattr(history, n).tolist() for n in ARRAYS)))
+            yield pd.DataFrame({"ticker": key[0], "ts": time[some].astype("datetime64[us]"), "offset": offset[some], **{n: made[n] for n in names}})
     return run
 
 
