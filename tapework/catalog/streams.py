@@ -172,10 +172,11 @@ def stream_dual_sink(spark, sf):
 @query("stream_status", using("messages", """SELECT 'stopped' AS status, CAST(NULL AS VARCHAR) AS mode, count(*) AS input_rows,
     count(DISTINCT ticker) AS tickers, count(DISTINCT ticker) AS cached_tickers FROM messages"""))
 def stream_status(spark, sf):
-    out, q = latest_table(spark, staged(spark, sf))
+    records = staged(spark, sf)
+    out, q = latest_table(spark, records)
     q.awaitTermination()
     landed, chk = paths(spark, "landed")
-    C.land(staged(spark, sf), landed, chk).awaitTermination()
+    C.land(records, landed, chk).awaitTermination()
     return C.status(q, spark, "instant", messages(spark, sf), C.read_latest(spark, out), spark.read.parquet(landed))
 
 
