@@ -498,3 +498,19 @@ def test_pipeline_on_odd_tables(spark, table):
             stage(spark, now, SMALL).write.parquet(path)
             now = spark.read.parquet(path)
         assert now.count() <= first.count()
+
+
+def test_sketch_sums_all_passages():
+    """A'(A R) over every passage of a document, also those that overlap."""
+    words = [f"w{k % 9}" for k in range(150)]
+    terms = sorted(set(words))
+    idf = np.linspace(0.5, 2.0, len(terms))
+    p, t, n = decontam.rows_of(words, decontam.lookup(terms))
+    frame = pd.DataFrame({"p": [p], "t": [t], "n": [n]})
+    got, = decontam._sketch(idf, 4)(iter([frame]))
+    y = np.concatenate([np.frombuffer(b, np.float32) for b in got["y"]]).reshape(len(terms), 4)
+    a = np.zeros((p.max() + 1, len(terms)))
+    a[p, t] = (1 + np.log(n)) * idf[t]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    np.testing.assert_allclose(y, a.T @ (a @ decontam._random(len(terms), 4)), rtol=1e-4, atol=1e-5)
+    assert got["rows"].sum() == len(a)
