@@ -286,3 +286,34 @@ def test_compaction_keeps_rows_and_bounds_files(spark, tmp_path):
     # The running query writes its last batch again.
     spark.createDataFrame([(24, 0)], "n int, k int").write.mode("overwrite").parquet(f"{path}/batch=24")
     assert rows() == [n for n in range(25) if n % 3 or n > 22]
+
+
+def test_bounded_files_give_the_rows_of_one_batch(spark, monkeypatch):
+    """Messages whose offsets do not follow their times, over many micro-batches: rows as from a single one."""
+    from tapework.catalog import streams
+
+    times = [T0 + dt.timedelta(minutes=(k * 37) % 500 // 2) for k in range(500)]
+    made = spark.createDataFrame(
+        [("t", k % 3, k, "AB"[k % 7 == 0], "1d", "1m", at.isoformat() + "Z", 1.0 + k, 2.0 + k, 0.5 + k, 1.5 + k % 11, 1) for k, at in enumerate(times)],
+        "topic string, partition int, offset long, ticker string, period string, interval string, timestamp string,"
+        " open double, high double, low double, close double, volume long")
+    monkeypatch.setattr(streams, "messages", lambda *_: made)
+    whole = sorted(map(repr, streams.stream_features(spark, None).collect()))
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    monkeypatch.setattr(streams, "PYTHON_FILES", 2)
+    monkeypatch.setattr(online, "SLICE", 16)
+    folders, kept = [], C.from_files
+    monkeypatch.setattr(C, "from_files", lambda s, path, **more: folders.append((path, more)) or kept(s, path, **more))
+    assert sorted(map(repr, streams.stream_features(spark, None).collect())) == whole
+    (path, more), = folders
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert more == {"files_per_trigger": 2} and sum(sizes) == 500 and max(sizes) <= 150
+
+
+def test_status_stages_messages_once(spark, monkeypatch):
+    from tapework.catalog import streams
+
+    calls, stage = [], streams.staged
+    monkeypatch.setattr(streams, "staged", lambda *a, **more: calls.append(a) or stage(*a, **more))
+    assert streams.stream_status(spark, "/root/testdata/sf0.001").count() == 1
+    assert len(calls) == 1
