@@ -29,6 +29,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ PART = 2000
 _WINDOWS = 2048
 _EDGES = ".,;:!?\"'()[]"
 _NNZ = 1 << 14
+#: Rows of the latent space multiplied at once, so that they stay in the processor's cache.
+_ROWS = 256
 _BLOCKS = 16
 
 
@@ -78,26 +82,35 @@ def item_windows(words: list[str]) -> list[list[str]]:
 
 # --- passages ----------------------------------------------------------------------------------
 
+def hits(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, word) of all words of the texts that are among ``known``, in that order, and the
+    places of each text. Places are those of a plain split; Arrow's white space is that of ``str.split``,
+    which only leaves no empty words at the ends, while Python alone knows how to lower a word."""
+    lower = pa.array([(text or "").lower().strip() for text in texts.to_pylist()], pa.large_string())
+    words = pc.utf8_split_whitespace(lower)
+    found = pc.index_in(pc.ascii_trim(words.flatten(), characters=_EDGES), value_set=known)
+    starts = words.offsets.to_numpy()
+    at = np.nonzero(found.is_valid().to_numpy(zero_copy_only=False))[0]
+    text = np.searchsorted(starts, at, "right") - 1
+    return text, at - starts[text], found.drop_null().to_numpy().astype(np.int64), np.diff(starts)
+
+
 def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """Documents that hold each of ``words``, and the number of documents."""
-    places = lookup(words)
     size = len(words)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, n, total = places.keys(), np.zeros(size, np.int64), 0
-        for frame in frames:
-            total += len(frame)
-            for text in frame["_text"]:
-                if text:
-                    hits = {places[w] for w in known & set(bare(set(text.lower().split())))}
-                    if hits:
-                        n[list(hits)] += 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, total = pa.array(words, pa.large_string()), np.zeros(size, np.int64), 0
+        for batch in batches:
+            total += batch.num_rows
+            text, _, word, _ = hits(batch.column("_text"), known)
+            n += np.bincount(np.unique(text * size + word) % size, minlength=size)
         held = np.nonzero(n)[0]
-        yield pd.DataFrame({"term": np.r_[held, -1], "n": np.r_[n[held], total]})
+        yield pa.RecordBatch.from_pydict({"term": np.r_[held, -1], "n": np.r_[n[held], total]})
 
     out = np.zeros(size, np.int64)
     total = 0
-    for r in docs.mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most one row a word
+    for r in docs.select("_text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most one row a word
         if r.term >= 0:
             out[r.term] = r.n
         else:
@@ -105,21 +118,28 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def rows_of(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, term, count) of all passages of a document that hold a term, in that order; ``words``
-    of a plain split."""
-    ids = np.fromiter(map(places.get, bare(words), repeat(-1)), np.int32, len(words))
-    at = np.nonzero(ids >= 0)[0]
-    if not len(at):
-        return (np.empty(0, np.int64),) * 3
-    term = ids[at].astype(np.int64)
-    last = max(0, -(-(len(words) - WINDOW) // STRIDE))
+def passages(text: np.ndarray, at: np.ndarray, term: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, passage, term, count) of all passages that hold a term, in that order, from what ``hits`` gives."""
+    last = np.maximum(0, -(-(size - WINDOW) // STRIDE))
     first = at // STRIDE
-    both, terms = np.r_[first, first - 1], np.r_[term, term]
-    good = (both >= 0) & (both <= last)
-    width = int(term.max()) + 1
-    key, n = np.unique(both[good] * width + terms[good], return_counts=True)
-    return key // width, key % width, n
+    texts, both, terms = np.r_[text, text], np.r_[first, first - 1], np.r_[term, term]
+    good = (both >= 0) & (both <= last[texts])
+    width = int(term.max(initial=0)) + 1
+    base = np.cumsum(last + 1) - last - 1  # passages of the texts before
+    key, n = np.unique((base[texts[good]] + both[good]) * width + terms[good], return_counts=True)
+    place = key // width
+    owner = np.searchsorted(base, place, "right") - 1
+    return owner, place - base[owner], key % width, n
+
+
+def rows_of(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """(passage, term, count) of one document; ``words`` of a plain split."""
+    return passages(*hits(pa.array([" ".join(words)]), pa.array(list(places), pa.large_string())))[1:]
+
+
+def keyed(k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One number for a document's place and its passage."""
+    return k.astype(np.int64) * (1 << 40) + p
 
 
 def able(p: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -129,18 +149,20 @@ def able(p: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def _sparse(words: list[str], most: np.ndarray):
-    places = lookup(words)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc_id"], frame["_text"]):
-                if text:
-                    p, t, n = rows_of(text.lower().split(), places)
-                    if len(p):
-                        held = text if able(p, t, most).any() else None
-                        out.append((doc, p.astype(np.int32), t.astype(np.int32), n.astype(np.int32), held))
-            yield pd.DataFrame(out, columns=["doc_id", "p", "t", "n", "_text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.large_string())
+        for batch in batches:
+            k, p, t, n = passages(*hits(batch.column("_text"), known))
+            if not len(k):
+                continue
+            rows, starts = np.unique(k, return_index=True)
+            heads = np.r_[0, np.nonzero(np.diff(keyed(k, p)))[0] + 1]
+            held = np.isin(rows, k[heads[able(keyed(k, p), t, most)]])
+            cuts = pa.array(np.r_[starts, len(k)].astype(np.int32))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").take(pa.array(rows)),
+                **{c: pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for c, x in (("p", p), ("t", t), ("n", n))},
+                "_text": batch.column("_text").take(pa.array(rows, mask=~held))})
     return run
 
 
@@ -153,20 +175,22 @@ def _matrix(p: np.ndarray, t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tup
 
 
 def _chunks(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole documents of a frame joined until about ``_NNZ`` entries: (document, passage, term, count)."""
-    held, size = [], 0
-    for k, (p, t, n) in enumerate(zip(frame["p"], frame["t"], frame["n"])):
-        for cut in range(0, len(p), _NNZ):  # a very long document in pieces that end with a passage
-            a = cut if cut == 0 else int(np.searchsorted(p, p[cut - 1], "right"))
-            b = len(p) if cut + _NNZ >= len(p) else int(np.searchsorted(p, p[cut + _NNZ - 1], "right"))
-            if a < b:
-                held.append((np.full(b - a, k), p[a:b].astype(np.int64), t[a:b].astype(np.int64), n[a:b].astype(np.float64)))
-                size += b - a
-            if size >= _NNZ:
-                yield tuple(np.concatenate(x) for x in zip(*held))
-                held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+    """Whole documents of a frame joined until about ``_NNZ`` entries: (document, passage, term, count); a
+    very long document in pieces that end with a passage."""
+    sizes = [len(p) for p in frame["p"]]
+    if not sum(sizes):
+        return
+    k = np.repeat(np.arange(len(sizes)), sizes)
+    p, t, n = (np.concatenate(frame[c].tolist()) for c in ("p", "t", "n"))
+    heads = np.r_[0, np.nonzero(np.diff(keyed(k, p)))[0] + 1, len(p)]
+    stops = np.cumsum(sizes).tolist()
+    inner = (x for stop, size in zip(stops, sizes) for x in range(stop - size + _NNZ, stop, _NNZ))
+    ends = heads[np.searchsorted(heads, sorted({*stops, *inner}))]
+    a = 0
+    while a < len(p):
+        b = int(ends[min(np.searchsorted(ends, a + _NNZ), len(ends) - 1)])
+        yield k[a:b], p[a:b].astype(np.int64), t[a:b].astype(np.int64), n[a:b].astype(np.float64)
+        a = b
 
 
 # --- latent space ------------------------------------------------------------------------------
@@ -176,13 +200,14 @@ def _sums(source: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.nda
     second ones and so on, which are at most WINDOW steps for passages (``np.add.reduceat`` is slow)."""
     size = np.diff(np.r_[starts, len(at)])
     order = np.argsort(-size, kind="stable")
-    first, size = starts[order], size[order]
-    held = np.zeros((len(starts), source.shape[1]), np.float32)
-    for j in range(int(size[0])):
-        entries = first[:np.searchsorted(-size, -j)] + j
-        held[:len(entries)] += source[at[entries]] * weight[entries, None]
-    out = np.empty_like(held)
-    out[order] = held
+    out = np.empty((len(starts), source.shape[1]), np.float32)
+    for rows in np.split(order, range(_ROWS, len(order), _ROWS)):
+        first, n = starts[rows], size[rows]
+        held = np.zeros((len(rows), source.shape[1]), np.float32)
+        for j in range(int(n[0])):
+            entries = first[:np.searchsorted(-n, -j)] + j
+            held[:len(entries)] += source[at[entries]] * weight[entries, None]
+        out[rows] = held
     return out
 
 
@@ -236,15 +261,19 @@ def _sketch(idf: np.ndarray, rank: int):
         r, y, rows = _random(size, rank), np.zeros((size, rank), np.float32), 0
         for frame in frames:
             for k, p, t, n in _chunks(frame):
-                starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
+                starts, w = _matrix(keyed(k, p), t, n, idf)
                 rows += len(starts)
                 z = _sums(r, t, w, starts)
                 owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(p)]))
                 order = np.argsort(t, kind="stable")
                 term, owner, w = t[order], owner[order], w[order]
-                heads = np.r_[0, np.nonzero(np.diff(term))[0] + 1, len(term)].tolist()
-                for a, b in zip(heads, heads[1:]):
-                    y[term[a]] += w[a:b] @ z[owner[a:b]]
+                heads = np.r_[0, np.nonzero(np.diff(term))[0] + 1]
+                counts = np.diff(np.r_[heads, len(term)])
+                for m in np.unique(counts).tolist():  # terms of equal counts at once
+                    every, step = heads[counts == m], max(1, _ROWS // m)
+                    for first in np.split(every, range(step, len(every), step)):
+                        at = first[:, None] + np.arange(m)
+                        y[term[first]] += np.matmul(w[at][:, None], z[owner[at]])[:, 0]
         yield pd.DataFrame([(b, 0, rows if b == 0 else 0, np.ascontiguousarray(part).tobytes()) for b, part in enumerate(np.array_split(y, _BLOCKS))],
                            columns=["block", "part", "rows", "y"])
     return run
@@ -301,12 +330,12 @@ def _candidates(space: Space, idf: np.ndarray, bench: Sparse):
 
     def run(frame: pd.DataFrame) -> Iterator[tuple[int, int, int, float]]:
         for k, p, t, n in _chunks(frame):
-            key = k * (1 << 40) + p
+            key = keyed(k, p)
             some = np.repeat(able(key, t, most), np.diff(np.r_[0, np.nonzero(np.diff(key))[0] + 1, len(key)]))
             if not some.any():
                 continue
             k, p, t, n = k[some], p[some], t[some], n[some]
-            starts, w = _matrix(k * (1 << 40) + p, t, n, idf)
+            starts, w = _matrix(keyed(k, p), t, n, idf)
             inside = _sums(space.basis, t, w, starts)
             inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-12)
             ends = np.r_[starts[1:], len(p)]
@@ -410,12 +439,12 @@ def _part(docs: DataFrame, items: list[tuple], kind: str) -> DataFrame:
             windows.append(window)
             owner.append(k)
     terms = sorted(kept)
-    place = {w: i for i, w in enumerate(terms)}
+    place = lookup(terms)
     idf = np.array([rarity[w] for w in terms])
     bench = Sparse.of([{place[w]: (1 + np.log(n)) * idf[place[w]] for w, n in Counter(x for x in window if x in place).items()}
                        for window in windows])
-    sparse = stored(docs.mapInPandas(_sparse(terms, bench.largest(len(terms))),
-                                     f"doc_id {kind}, p array<int>, t array<int>, n array<int>, _text string"), "passages")
+    sparse = stored(docs.mapInArrow(_sparse(terms, bench.largest(len(terms))),
+                                    f"doc_id {kind}, p array<int>, t array<int>, n array<int>, _text string"), "passages")
     space = latent(sparse.select("p", "t", "n"), idf, bench)
     checked = sparse.where(F.col("_text").isNotNull()).mapInPandas(
         _verifier(_candidates(space, idf, bench), {k: (ws, answer_of(items[k][1])) for k, ws in enumerate(texts)}, windows, owner),

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -514,3 +515,41 @@ def test_sketch_sums_all_passages():
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     np.testing.assert_allclose(y, a.T @ (a @ decontam._random(len(terms), 4)), rtol=1e-4, atol=1e-5)
     assert got["rows"].sum() == len(a)
+
+
+def test_hits_of_a_batch_against_a_plain_split():
+    """Words of a whole batch at the places of a plain split, whatever white space, marks and letters; passages of each document as if alone."""
+    known = ["word", "other", "i̇x", "σας", "don't"]
+    texts = [None, "", " \t ", "... word", "\x1cword\x85(other)　\"word!!\" WORD don't.", "İx ΣΑΣ, wor​d", "x " * 47 + "word " + "x " * 40 + "Other", "word " * 70, "no such"]
+    text, place, word, size = decontam.hits(pa.array(texts), pa.array(known, pa.large_string()))
+    plain = [[w.strip(decontam._EDGES) for w in (t or "").lower().split()] for t in texts]
+    want = [(k, i, known.index(w)) for k, ws in enumerate(plain) for i, w in enumerate(ws) if w in known]
+    assert [*zip(text.tolist(), place.tolist(), word.tolist())] == want
+    assert [max(1, len(ws)) for ws in plain] == size.tolist()  # a text without words counts as one empty word
+    got = [*zip(*(x.tolist() for x in decontam.passages(text, place, word, size)))]
+    held = {}
+    for k, i, w in want:
+        for p in {i // decontam.STRIDE, i // decontam.STRIDE - 1}:
+            if 0 <= p <= max(0, -(-(len(plain[k]) - decontam.WINDOW) // decontam.STRIDE)):
+                held[k, p, w] = held.get((k, p, w), 0) + 1
+    assert got == [(*x, n) for x, n in sorted(held.items())]
+
+
+def test_sketch_steps_are_few():
+    """Python steps of the sketch do not follow documents or terms."""
+    import sys
+    rng = np.random.default_rng(7)
+    rows = [decontam.passages(*(np.array(x) for x in ([0] * 60, sorted(rng.choice(400, 60, replace=False)), rng.integers(0, 3000, 60), [400])))[1:] for _ in range(300)]
+    frame = pd.DataFrame(rows, columns=["p", "t", "n"])
+    lines, before = 0, sys.gettrace()
+
+    def trace(step, event, _):
+        nonlocal lines
+        lines += event == "line" and step.f_code.co_filename == decontam.__file__
+        return trace
+    sys.settrace(trace)
+    try:
+        list(decontam._sketch(np.ones(3000), 4)(iter([frame])))
+    finally:
+        sys.settrace(before)
+    assert lines < frame["p"].map(len).sum() / 10
